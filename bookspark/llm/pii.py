@@ -148,6 +148,12 @@ def find(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     return both.select(*[F.col(f"`{c}`") for c in kept], "base_spans", spans.alias("spans"))
 
 
+def count(spans: Column, kind: str) -> Column:
+    """How many of the spans are of the kind."""
+    k = KINDS.index(kind)
+    return F.size(F.filter(spans, lambda s: s["k"] == k))
+
+
 def written(spans: Column) -> Column:
     """kind:start:end of all spans, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
