@@ -85,7 +85,7 @@ def tokens(documents: DataFrame) -> DataFrame:
     words = F.split("text", r"[\s]")
     rows = documents.where(F.col("text").rlike("[0-9@]")).select("id", "row", words.alias("w"))
     marked = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).rlike("[0-9@]") & F.length(F.element_at("w", i)).between(SHORTEST, 2 * LONGEST))
-    rows = rows.select("id", "row", "w", F.explode(F.when(F.size("w") > 0, marked)).alias("i"))
+    rows = rows.select("id", "row", "w", F.explode_outer(marked).alias("i")).where("i is not null")
     at = lambda k: F.lower(F.coalesce(F.get("w", F.col("i") - 1 + k), F.lit("")))
     whole = F.element_at("w", F.col("i"))
     head = F.length(F.regexp_extract(whole, "^[^A-Za-z0-9+@]*", 0))
