@@ -1,4 +1,675 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library and, next to each, the same in DuckDB SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Books are document sources, files documents, pages lines of text; questions
+are the user turns of conversations; heading trees are regions, nations and
+customers. All queries read whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bookspark import sources
+from bookspark.functions import norm_title, py_words, stable_id
+from bookspark.operators import intents, model, notes, retrieval, store, structure, text, topics, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, with_: str = ""):
+    """Register a query under its function's name, with SQL over the adapter's views."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            SQL[function.__name__] = f"WITH {', '.join(VIEWS[v] for v in with_.split())} {sql}" if with_ else sql
+        return function
+
+    return add
+
+
+# --- the adapter ---------------------------------------------------------
+
+VIEWS = {
+    "raw": "raw AS (SELECT source AS book_id, doc_id AS file_id, unnest(range(1, len(l) + 1)) AS page_in_file, unnest(l) AS line FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))",
+    "pages": "pages AS (SELECT * FROM (SELECT book_id, file_id, page_in_file, CASE WHEN page_in_file % 7 = 0 THEN '' ELSE trim(line) END AS text, row_number() OVER (PARTITION BY book_id ORDER BY file_id, page_in_file) AS page_number FROM raw) WHERE text <> '')",
+    "topics": "topics AS (SELECT book_id, file_id * 1000000 + page_in_file AS ins_seq, array_to_string(list_filter(string_split(line, ' '), lambda w: w <> '')[1:4], ' ') AS topic, CASE WHEN page_in_file > 1 THEN book_id END AS subtopic, line AS raw_content, page_in_file AS source_page FROM raw WHERE trim(line) <> '')",
+    "asked": "asked AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS query_id, text AS query, 'single_question' AS scope FROM conversations WHERE role = 'user' AND text IS NOT NULL)",
+    "kw": "kw AS (SELECT query_id, p AS kw_pos, w AS word FROM (SELECT query_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM (SELECT query_id, list_filter(string_split_regex(query, '\\s+'), lambda w: w <> '') AS ws FROM asked)) WHERE length(w) >= 4)",
+    "names": "names AS (SELECT topic AS name FROM topics UNION SELECT subtopic FROM topics WHERE subtopic IS NOT NULL)",
+    "pairs": "words AS (SELECT DISTINCT word FROM kw), pairs AS (SELECT word, name FROM words JOIN names ON contains(translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AND NOT regexp_matches(word, '[%_]') OR regexp_matches(word, '[%_]') AND translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%' || translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '%')",
+    "khits": "own AS (SELECT ins_seq, raw_content, topic AS name FROM topics UNION SELECT ins_seq, raw_content, subtopic FROM topics WHERE subtopic IS NOT NULL), wh AS (SELECT word, raw_content, min(ins_seq) AS ins_seq FROM pairs JOIN own USING (name) GROUP BY word, raw_content), wf AS (SELECT word, raw_content, ins_seq FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY ins_seq) AS k FROM wh) WHERE k <= 20), khits AS (SELECT query_id, kw_pos, ins_seq, raw_content FROM kw JOIN wf USING (word))",
+    "seen": "seen AS (SELECT query_id, raw_content, min(kw_pos) AS kw_pos, arg_min(ins_seq, kw_pos * 1000000000000000 + ins_seq) AS ins_seq FROM khits GROUP BY query_id, raw_content)",
+    "got": "got AS (SELECT query_id, rank, raw_content FROM (SELECT query_id, raw_content, row_number() OVER (PARTITION BY query_id ORDER BY kw_pos, ins_seq) AS rank, query FROM seen JOIN asked USING (query_id)) WHERE rank <= CASE WHEN length(query) > 100 OR contains(query, chr(10)) THEN 20 ELSE 10 END)",
+    "gap": "gap AS (SELECT query_id, CAST(coalesce(n, 0) AS INTEGER) AS n_chunks, coalesce(c, 0) AS n_chars, coalesce(n, 0) = 0 OR coalesce(c, 0) < 300 AS knowledge_gap FROM asked LEFT JOIN (SELECT query_id, count(*) AS n, CAST(sum(length(raw_content)) AS BIGINT) AS c FROM got GROUP BY query_id) USING (query_id))",
+    "nodes": "nodes AS (SELECT r_name AS book_id, [CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS INTEGER)] AS ord, 1 AS level, n_name AS title, n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey), leaves AS (SELECT book_id, list_append(ord, CAST(row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) - 1 AS INTEGER)) AS ord, 2 AS level, c_name AS title, n_name || ' > ' || c_name AS path, c_custkey, c_acctbal FROM nodes JOIN nation ON nodes.title = n_name JOIN customer ON c_nationkey = n_nationkey), tree AS (SELECT book_id, ord, level, title, path FROM nodes UNION ALL SELECT book_id, ord, level, title, path FROM leaves)",
+    "freq": "freq AS (SELECT book_id, topic, count(*) AS frequency_count FROM topics GROUP BY book_id, topic)",
+}
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def raw_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "documents").where("text is not null")
+    return rows.select(F.col("source").alias("book_id"), F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("page_in_file", F.col("p") + 1).drop("p")
+
+
+def raw_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh line is a blank page."""
+    return raw_lines(spark, d).select("book_id", "file_id", F.col("file_id").alias("file_ordinal"), "page_in_file", F.when(F.col("page_in_file") % 7 == 0, "").otherwise(F.col("line")).alias("text"))
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return sources.paginate(raw_pages(spark, d))
+
+
+def topic_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = raw_lines(spark, d).where(F.trim("line") != "")
+    seq = F.col("file_id") * 1000000 + F.col("page_in_file")
+    return rows.select("book_id", seq.alias("ins_seq"), F.array_join(F.slice(py_words(F.col("line")), 1, 4), " ").alias("topic"), F.when(F.col("page_in_file") > 1, F.col("book_id")).alias("subtopic"), F.col("line").alias("raw_content"), F.col("page_in_file").alias("source_page"))
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "conversations").where("role = 'user' and text is not null")
+    return rows.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"), F.lit("single_question").alias("scope"))
+
+
+def trees(spark: SparkSession, d: str) -> DataFrame:
+    """(book_id, structure): regions as books; nations and their customers as headings."""
+    nation, region, customer = (_t(spark, d, t) for t in ("nation", "region", "customer"))
+    leaf = F.array_sort(F.collect_list(F.struct("c_custkey", F.struct(F.col("c_name").alias("title")).alias("n"))))
+    inner = customer.groupBy("c_nationkey").agg(F.transform(leaf, lambda x: x["n"]).alias("children"))
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).join(inner, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    own = F.array_sort(F.collect_list(F.struct("n_name", F.struct(F.col("n_name").alias("title"), "children").alias("n"))))
+    return rows.groupBy(F.col("r_name").alias("book_id")).agg(F.to_json(F.transform(own, lambda x: x["n"])).alias("structure"))
+
+
+def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return structure.flatten_structure(trees(spark, d), 2)
+
+
+def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.search_by_keywords(asked(spark, d), topic_table(spark, d))
+
+
+def got(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.limit_per_query(retrieval.first_seen_distinct(keyword_hits(spark, d)), asked(spark, d))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Questions answered with passages, end to end: search, first-seen distinct, limits, coverage, context."""
+    q = asked(spark, d)
+    found = retrieval.retrieve(q, topic_table(spark, d))
+    return retrieval.knowledge_gap(found, q).join(retrieval.answer_context(found, q), "query_id")
+
+
+# --- S: sources and sinks ------------------------------------------------
+
+
+@query("SELECT book_id, file_id, page_in_file, CAST(page_number AS INTEGER) AS page_number, text FROM pages", "raw pages")
+def s01_paginate(spark, d):
+    return pages(spark, d).select("book_id", "file_id", "page_in_file", "page_number", "text")
+
+
+@query("SELECT file_id, page_in_file, CASE WHEN page_in_file % 7 = 0 THEN '[SOURCE: IMAGE] ' || left(line, 20) || chr(10) || right(line, 10) ELSE line END AS text FROM raw WHERE line <> '' AND (page_in_file % 7 > 0 OR page_in_file % 14 = 0)", "raw")
+def s02_resolve_blank_pages(spark, d):
+    rows = raw_lines(spark, d).where("page_in_file % 14 = 0 and line <> ''")
+    images = F.array(F.struct(F.lit(1).alias("i"), F.substring("line", 1, 20).alias("t")), F.struct(F.lit(2).alias("i"), F.lit("").alias("t")), F.struct(F.lit(3).alias("i"), F.right("line", F.lit(10)).alias("t")))
+    ocr = rows.select("file_id", "page_in_file", F.explode(images).alias("x")).select("file_id", "page_in_file", F.col("x.i").alias("img_index"), F.col("x.t").alias("text"))
+    return sources.resolve_blank_pages(raw_pages(spark, d), ocr).select("file_id", "page_in_file", "text")
+
+
+@query("SELECT p_partkey, trim(regexp_replace('MU ' || p_name || ' ' || p_brand, '\\s+', ' ', 'g')) AS title FROM part")
+def s03_book_title(spark, d):
+    name = F.concat(F.lit("[1-"), F.col("p_size").cast("string"), F.lit("] Notes MU "), F.col("p_name"), F.lit(" chapter 3 "), F.col("p_brand"), F.lit(".pdf"))
+    return _t(spark, d, "part").select("p_partkey", sources.book_title(name).alias("title"))
+
+
+
+
+@query("SELECT book_id, 'file ' || CAST(min(file_id) AS VARCHAR) AS title, 'unknown' AS subject, 'file ' || CAST(min(file_id) AS VARCHAR) AS source_file_name, CAST(count(*) AS INTEGER) AS total_pages FROM pages GROUP BY book_id", "raw pages")
+def s04_books_from_pages(spark, d):
+    return sources.books_from_pages(pages(spark, d), F.concat(F.lit("file "), F.col("file_id").cast("string")))
+
+
+@query("SELECT o_custkey AS book_id, arg_max(o_orderkey, o_orderkey) AS title, max(o_orderkey) AS version FROM orders GROUP BY o_custkey")
+def s05_upsert(spark, d):
+    rows = _t(spark, d, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("title"), F.col("o_orderkey").alias("version"))
+    return store.upsert(rows.where("title % 2 = 0"), rows.where("title % 2 = 1").unionByName(rows.where("title % 2 = 0")), "book_id")
+
+
+@query("SELECT DISTINCT lower(topic) AS topic_key, true AS explained FROM topics", "raw topics")
+def s06_registry_round_trip(spark, d):
+    path = f"{_folder(spark)}/registry"
+    sources.write_registry(topic_table(spark, d).select(F.lower("topic").alias("topic_key"), F.lit(True).alias("explained")).distinct(), path)
+    return sources.read_registry(spark, path, "topic_key string, explained boolean")
+
+
+@query("SELECT book_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS markdown FROM pages GROUP BY book_id", "raw pages")
+def s07_write_markdown(spark, d):
+    path = f"{_folder(spark)}/markdown"
+    sources.write_markdown(text.full_text(pages(spark, d)).withColumnRenamed("full_text", "markdown"), path)
+    return spark.read.option("lineSep", "\u0000").text(path).select(F.col("book_id").cast("string").alias("book_id"), F.col("value").alias("markdown"))
+
+
+@query("SELECT vec_id, len(embedding) AS dim, round(CAST(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS DOUBLE), 4) AS total FROM embeddings")
+def s08_write_embeddings(spark, d):
+    path = f"{_folder(spark)}/vectors"
+    sources.write_embeddings(_t(spark, d, "embeddings").select("vec_id", "embedding"), path)
+    return spark.read.parquet(path).select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder for what a sink writes, in the shared one."""
+    import tempfile
+    import uuid
+
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='bookspark-')}/{uuid.uuid4().hex}"
+
+
+# --- Q: stored knowledge -------------------------------------------------
+
+
+@query("SELECT book_id, count(*) AS pages FROM pages WHERE book_id = 'src3' GROUP BY book_id", "raw pages")
+def q01_get_book_by_id(spark, d):
+    return store.book_by_id(pages(spark, d).groupBy("book_id").agg(F.count("*").alias("pages")), "src3")
+
+
+@query("SELECT book_id, count(*) AS pages FROM pages GROUP BY book_id", "raw pages")
+def q02_list_all_books(spark, d):
+    return pages(spark, d).groupBy("book_id").agg(F.count("*").alias("pages"))
+
+
+@query("SELECT ins_seq, topic, subtopic, raw_content FROM topics WHERE book_id = 'src3'", "raw topics")
+def q03_get_topics_by_book(spark, d):
+    return store.topics_by_book(topic_table(spark, d), "src3").select("ins_seq", "topic", "subtopic", "raw_content")
+
+
+@query("SELECT book_id, ins_seq, topic, subtopic, raw_content FROM topics", "raw topics")
+def q04_get_all_topics(spark, d):
+    return topic_table(spark, d).select("book_id", "ins_seq", "topic", "subtopic", "raw_content")
+
+
+@query("SELECT ins_seq, topic, source_page AS page FROM topics", "raw topics")
+def q05_decode_topic_row(spark, d):
+    rows = topic_table(spark, d).withColumn("metadata", F.to_json(F.struct(F.col("source_page").alias("page"))))
+    return store.decode_topics(rows).select("ins_seq", "topic", F.variant_get("metadata", "$.page", "int").alias("page"))
+
+
+# --- T: texts ------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, array_to_string(w[i * 100 + 1 : i * 100 + 100], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // 100 + 1)) AS i FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0)")
+def t01_chunk_words(spark, d):
+    return text.chunk_words(_t(spark, d, "documents").select("doc_id", "text"), 100)
+
+
+@query("SELECT book_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS toc_text FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page_number) AS k FROM pages) WHERE k <= 15 GROUP BY book_id", "raw pages")
+def t02_toc_window(spark, d):
+    return text.toc_window(pages(spark, d))
+
+
+@query("SELECT book_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS full_text FROM pages GROUP BY book_id", "raw pages")
+def t03_full_text(spark, d):
+    return text.full_text(pages(spark, d))
+
+
+@query("SELECT book_id, left(string_agg(text, chr(10) || chr(10) ORDER BY page_number), 50000) AS head FROM pages WHERE book_id NOT LIKE '%1' GROUP BY book_id", "raw pages")
+def t04_fallback_head(spark, d):
+    p = pages(spark, d)
+    return text.fallback_head(text.full_text(p), p.where("book_id like '%1'"))
+
+
+ITEMS = "items AS (SELECT query_id AS request_id, unnest(l) AS item, unnest(range(0, len(l))) AS item_pos FROM (SELECT query_id, CASE WHEN contains(query, chr(10)) THEN list_filter(list_transform(string_split(query, chr(10)), lambda x: trim(x)), lambda x: x <> '') WHEN contains(query, ',') THEN list_filter(list_transform(string_split(query, ','), lambda x: trim(x)), lambda x: x <> '') ELSE [trim(query)] END AS l FROM asked))"
+VIEWS["items"] = ITEMS
+
+
+@query("SELECT request_id, CAST(item_pos AS INTEGER) AS item_pos, item FROM items", "asked items")
+def t05_split_items(spark, d):
+    return asked(spark, d).select(F.col("query_id").alias("request_id"), F.posexplode(text.split_items(F.col("query"))).alias("item_pos", "item"))
+
+
+@query("SELECT query_id, left(string_agg(raw_content, ' ' ORDER BY rank), 200) AS snippet FROM got GROUP BY query_id", "raw topics asked kw names pairs khits seen got")
+def t06_context_snippet(spark, d):
+    rows = got(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "raw_content"))), lambda x: x["raw_content"]).alias("chunks"))
+    return rows.select("query_id", text.context_snippet(F.col("chunks")).alias("snippet"))
+
+
+@query("SELECT query_id, 'Answer for ' || left(query, 30) AS answer, replace('Answer for ' || left(query, 30), ' ', '_') || '.docx' AS file FROM asked", "asked")
+def t07_short_title(spark, d):
+    title = text.answer_title(F.col("query"))
+    return asked(spark, d).select("query_id", title.alias("answer"), text.file_name(title).alias("file"))
+
+
+# --- R: retrieval --------------------------------------------------------
+
+R_ALL = "raw topics asked kw names pairs khits seen got"
+
+
+@query("SELECT q.query_id, t.ins_seq FROM (SELECT CAST(ins_seq AS VARCHAR) AS query_id, translate(left(topic, 6), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM topics WHERE ins_seq % 997 = 1) q JOIN (SELECT *, translate(topic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS a, translate(subtopic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b FROM topics) t ON t.a LIKE '%' || q.w || '%' OR coalesce(t.b LIKE '%' || q.w || '%', false)", "raw topics")
+def r01_search_topics(spark, d):
+    q = topic_table(spark, d).where("ins_seq % 997 = 1").select(F.col("ins_seq").cast("string").alias("query_id"), F.substring("topic", 1, 6).alias("query"))
+    return retrieval.search_topics(q, topic_table(spark, d)).select("query_id", "ins_seq")
+
+
+@query("SELECT query_id, kw_pos, ins_seq FROM khits", "raw topics asked kw names pairs khits")
+def r02_search_by_keywords(spark, d):
+    return keyword_hits(spark, d).select("query_id", F.col("kw_pos").cast("long").alias("kw_pos"), "ins_seq")
+
+
+@query("SELECT query_id, kw_pos, ins_seq FROM khits WHERE NOT starts_with(query_id, '1') UNION ALL SELECT query_id, -1, ins_seq FROM asked, topics WHERE query_id = '1:0'", "raw topics asked kw names pairs khits")
+def r03_route_scope(spark, d):
+    q = asked(spark, d)
+    q = q.where("query_id = '1:0' or not startswith(query_id, '1')").withColumn("scope", F.when(F.col("query_id") == "1:0", "full_book").otherwise(F.col("scope")))
+    return retrieval.hits(q, topic_table(spark, d)).select("query_id", F.col("kw_pos").cast("long").alias("kw_pos"), "ins_seq")
+
+
+@query("SELECT query_id, kw_pos, ins_seq, raw_content FROM khits", "raw topics asked kw names pairs khits")
+def r04_hits(spark, d):
+    return retrieval.hits(asked(spark, d), topic_table(spark, d)).select("query_id", F.col("kw_pos").cast("long").alias("kw_pos"), "ins_seq", "raw_content")
+
+
+@query("SELECT query_id, raw_content, kw_pos, ins_seq FROM seen", "raw topics asked kw names pairs khits seen")
+def r05_first_seen_distinct(spark, d):
+    return retrieval.first_seen_distinct(keyword_hits(spark, d)).select("query_id", "raw_content", F.col("kw_pos").cast("long").alias("kw_pos"), "ins_seq")
+
+
+@query("SELECT query_id, CAST(rank AS INTEGER) AS rank, raw_content FROM got", R_ALL)
+def r06_limit_per_query(spark, d):
+    return got(spark, d)
+
+
+@query("SELECT * FROM gap", R_ALL + " gap")
+def r07_knowledge_gap(spark, d):
+    return retrieval.knowledge_gap(got(spark, d), asked(spark, d))
+
+
+@query("SELECT query_id, coalesce(c, 'No book content provided.') AS context FROM asked LEFT JOIN (SELECT query_id, string_agg(raw_content, chr(10) || '---' || chr(10) ORDER BY rank) AS c FROM got GROUP BY query_id) USING (query_id)", R_ALL)
+def r08_answer_context(spark, d):
+    return retrieval.answer_context(got(spark, d), asked(spark, d))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS query_id, string_agg(text, chr(10) ORDER BY turn) AS query, 'multiple_questions' AS scope FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id")
+def r09_paper_retrieval(spark, d):
+    rows = _t(spark, d, "conversations").where("role = 'user' and text is not null")
+    return retrieval.paper_queries(rows.select(F.col("conv_id").cast("string").alias("paper_id"), F.col("turn").alias("pos"), F.col("text").alias("question")))
+
+
+LASTS = "lw AS (SELECT query_id, ws[-1] AS l, ws[1] AS f FROM (SELECT query_id, list_filter(string_split_regex(query, '\\s+'), lambda w: w <> '') AS ws FROM asked) WHERE len(ws) > 0), tl AS (SELECT *, translate(topic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS a, translate(subtopic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b FROM topics), hit1 AS (SELECT query_id, ins_seq FROM (SELECT query_id, translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM lw) JOIN tl ON contains(a, w) OR coalesce(contains(b, w), false)), hit2 AS (SELECT query_id, ins_seq FROM (SELECT query_id, translate(f, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM lw WHERE query_id NOT IN (SELECT query_id FROM hit1)) JOIN tl ON contains(a, w) OR coalesce(contains(b, w), false))"
+VIEWS["lasts"] = LASTS
+
+
+@query("SELECT query_id, CAST(k AS INTEGER) AS rank, ins_seq FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ins_seq) AS k FROM (SELECT * FROM hit1 UNION ALL SELECT * FROM hit2)) WHERE k <= 3", "raw topics asked lasts")
+def r10_last_word_retrieval(spark, d):
+    return retrieval.last_word_retrieval(asked(spark, d), topic_table(spark, d)).select("query_id", "rank", "ins_seq")
+
+
+@query("SELECT book_id AS query_id, string_agg('TOPIC: ' || topic || chr(10) || 'CONTENT: ' || raw_content || chr(10), chr(10) || '---' || chr(10) ORDER BY ins_seq) AS context FROM topics GROUP BY book_id", "raw topics")
+def r11_labelled_context(spark, d):
+    rows = topic_table(spark, d).select(F.col("book_id").alias("query_id"), F.col("ins_seq").alias("rank"), "topic", "raw_content", F.expr("cast(array() as array<string>)").alias("key_points"))
+    return retrieval.labelled_context(rows)
+
+
+@query("SELECT request_id || ':' || CAST(item_pos AS VARCHAR) AS query_id, request_id, CAST(item_pos AS INTEGER) AS item_pos, item AS query, 'single_question' AS scope FROM items", "asked items")
+def r12_per_item_retrieval(spark, d):
+    return retrieval.item_queries(asked(spark, d).select(F.col("query_id").alias("request_id"), F.col("query").alias("text")))
+
+
+@query("SELECT query_id, CASE WHEN knowledge_gap AND contains(query, ',') THEN 'The provided material does not contain sufficient information.' ELSE '## ' || query || chr(10) || chr(10) || coalesce(p, '') END AS answer FROM asked JOIN gap USING (query_id) LEFT JOIN (SELECT query_id, string_agg(CAST(rank AS VARCHAR) || '. ' || raw_content, chr(10) ORDER BY rank) AS p FROM got GROUP BY query_id) USING (query_id)", R_ALL + " gap")
+def r13_answer(spark, d):
+    q, found = asked(spark, d).withColumn("allow_external_knowledge", ~F.col("query").contains(",")), got(spark, d)
+    return retrieval.answer(q, found, retrieval.knowledge_gap(found, q))
+
+
+# --- C: structure --------------------------------------------------------
+
+
+def heading_lines(spark, d):
+    """Tree nodes as heading lines, with a body line after each."""
+    n = tree_nodes(spark, d).select("book_id", "ord", F.concat(F.expr("repeat('#', level)"), F.lit(" "), F.col("title")).alias("h"), F.concat(F.lit("Body of "), F.col("title"), F.lit(".")).alias("b"))
+    key = lambda last: F.get("ord", F.lit(0)) * 2000000 + (F.coalesce(F.get("ord", F.lit(1)), F.lit(-1)) + 1) * 2 + last
+    rows = n.select("book_id", F.explode(F.array(F.struct(key(0).cast("long").alias("line_no"), F.col("h").alias("line")), F.struct(key(1).cast("long").alias("line_no"), F.col("b").alias("line")))).alias("x"))
+    return rows.select("book_id", "x.line_no", "x.line")
+
+
+VIEWS["numbered"] = "numbered AS (SELECT *, CAST(ord[1] AS BIGINT) * 2000000 + (coalesce(ord[2], -1) + 1) * 2 AS line_no FROM tree)"
+
+
+@query("SELECT book_id, line_no, CASE WHEN level = 2 THEN CAST(ord[1] AS BIGINT) * 2000000 END AS parent_line, level, title FROM numbered", "nodes numbered")
+def c00_extract_structure(spark, d):
+    return structure.extract_structure(heading_lines(spark, d))
+
+
+@query("SELECT book_id, array_to_string(ord, '.') AS ord, level, title, path FROM tree", "nodes")
+def c01_flatten_structure(spark, d):
+    return tree_nodes(spark, d).select("book_id", F.array_join(F.col("ord").cast("array<string>"), ".").alias("ord"), "level", "title", "path")
+
+
+@query("SELECT ins_seq, lower(regexp_replace(trim(topic), '^((\\d+\\.)+|\\w+\\.)\\s*', '')) AS norm FROM topics WHERE NOT regexp_matches(topic, '[^\\x00-\\x7F]')", "raw topics")
+def c02_norm_title(spark, d):
+    return topic_table(spark, d).where(r"not topic rlike '[^\\x00-\\x7F]'").select("ins_seq", norm_title(F.col("topic")).alias("norm"))
+
+
+def tree_mappings(spark, d):
+    """Each customer maps its balance to its heading, by a path in other case and numbering; some lead nowhere."""
+    c = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = F.concat(F.lit("1. "), F.lower("n_name"), F.lit(" > "), F.upper("c_name"), F.when(F.col("c_custkey") % 10 == 0, " x").otherwise(""))
+    return c.select(F.col("r_name").alias("book_id"), path.alias("title"), (F.col("c_custkey") % 7).cast("int").alias("unit_no"), F.col("c_custkey").alias("map_pos"), F.concat(F.lit("Balance "), F.col("c_custkey").cast("string"), F.lit(".")).alias("source_text"))
+
+
+def resolved(spark, d):
+    return structure.resolve_path(tree_mappings(spark, d), tree_nodes(spark, d))
+
+
+@query("SELECT book_id, array_to_string(ord, '.') AS ord, c_custkey AS map_pos FROM leaves WHERE c_custkey % 10 <> 0", "nodes")
+def c03_resolve_path(spark, d):
+    return resolved(spark, d).select("book_id", F.array_join(F.col("ord").cast("array<string>"), ".").alias("ord"), "map_pos")
+
+
+@query("SELECT book_id, array_to_string(ord, '.') AS ord, 'Balance ' || CAST(c_custkey AS VARCHAR) || '.' AS raw_content FROM leaves WHERE c_custkey % 10 <> 0", "nodes")
+def c04_attach_content(spark, d):
+    out = structure.attach_content(resolved(spark, d))
+    return out.select("book_id", F.array_join(F.col("ord").cast("array<string>"), ".").alias("ord"), F.array_join("raw_content", "|").alias("raw_content"))
+
+
+@query("SELECT book_id, CAST(0 AS INTEGER) AS unit_no, line_no AS node_line, 'Body of ' || title || '.' AS source_text FROM numbered", "nodes numbered")
+def c04a_map_by_position(spark, d):
+    lines = heading_lines(spark, d).withColumn("unit_no", F.lit(0))
+    return structure.map_by_position(lines, structure.extract_structure(lines))
+
+
+@query("SELECT DISTINCT t.book_id, t.ins_seq AS s_id, q.title FROM topics t JOIN (SELECT DISTINCT book_id, topic AS title FROM topics WHERE ins_seq % 97 = 1) q ON t.book_id = q.book_id AND contains(lower(t.raw_content), lower(q.title)) AND len(list_intersect(list_distinct(list_filter(string_split_regex(lower(regexp_replace(t.raw_content, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' +'), lambda w: w <> '')), list_filter(string_split_regex(lower(regexp_replace(q.title, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' +'), lambda w: w <> ''))) = len(list_distinct(list_filter(string_split_regex(lower(regexp_replace(q.title, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' +'), lambda w: w <> '')))", "raw topics")
+def c04b_map_by_mention(spark, d):
+    t = topic_table(spark, d)
+    titles = t.where("ins_seq % 97 = 1").select("book_id", F.col("topic").alias("title")).distinct()
+    return structure.map_by_mention(t.select("book_id", F.col("ins_seq").alias("s_id"), F.col("raw_content").alias("sentence")), titles).select("book_id", "s_id", "title")
+
+
+@query("SELECT book_id, title AS topic, split_part(path, ' > ', 1) AS subtopic, CAST(c_custkey % 7 AS INTEGER) AS source_page, CAST(0.5 AS DOUBLE) AS importance_score, 'Balance ' || CAST(c_custkey AS VARCHAR) || '.' AS raw_content, 'sub_concept' AS topic_type FROM leaves WHERE c_custkey % 10 <> 0", "nodes")
+def c05_topic_rows(spark, d):
+    content = resolved(spark, d).drop("title").join(tree_nodes(spark, d).select("book_id", "ord", "titles"), ["book_id", "ord"]).withColumnRenamed("unit_no", "page_number")
+    return structure.topic_rows(content).select("book_id", "topic", "subtopic", "source_page", "importance_score", "raw_content", "topic_type")
+
+
+@query("SELECT file_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS consolidated_content FROM (SELECT file_id, list_filter(list_transform(string_split_regex(string_agg(replace(replace(replace(line, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)), chr(10) ORDER BY page_in_file), chr(10) || '+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM raw GROUP BY file_id)", "raw")
+def c06_consolidate(spark, d):
+    rows = raw_lines(spark, d).groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_in_file", "line"))), lambda x: x["line"]).alias("raw_content"))
+    return structure.consolidate(rows).select("file_id", "consolidated_content")
+
+
+# --- W: notes ------------------------------------------------------------
+
+
+def noted(spark, d):
+    """A node a line of a book, its content the line; every fifth is blank."""
+    t = topic_table(spark, d).where("source_page <= 40")
+    return t.select("book_id", F.col("ins_seq").alias("ord"), (F.col("source_page") % 3 + 1).cast("int").alias("level"), F.col("topic").alias("title"), F.when(F.col("ins_seq") % 5 == 0, "").otherwise(F.col("raw_content")).alias("content"))
+
+
+VIEWS["noted"] = "noted AS (SELECT book_id, ins_seq AS ord, source_page % 3 + 1 AS level, topic AS title, CASE WHEN ins_seq % 5 = 0 THEN '' ELSE raw_content END AS content FROM topics WHERE source_page <= 40)"
+_S = "list_filter(list_transform(string_split_regex(replace(replace(replace(content, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)), chr(10) || '+'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"SELECT ord, CASE WHEN len(s) = 0 THEN '' WHEN ord % 3 = 0 THEN '- ' || title WHEN ord % 3 = 1 THEN '- ' || array_to_string(s[1:3], chr(10) || '- ') ELSE '- ' || array_to_string(s, chr(10) || '- ') END AS note FROM (SELECT ord, title, {_S} AS s FROM noted)", "raw topics noted")
+def w01_write_notes(spark, d):
+    depth = F.element_at(F.array(F.lit("none"), F.lit("short"), F.lit("detailed")), (F.col("ord") % 3 + 1).cast("int"))
+    return noted(spark, d).select("ord", notes.write_notes(F.col("title"), F.col("content"), depth).alias("note"))
+
+
+@query("SELECT ord, count(*) FILTER (WHERE trim(content) <> '') OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n, last_value(CASE WHEN trim(content) <> '' THEN title END IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM noted", "raw topics noted")
+def w02_already_explained(spark, d):
+    out = notes.already_explained(noted(spark, d))
+    return out.select("ord", F.size("explained").cast("long").alias("n"), F.try_element_at("explained", F.lit(-1)).alias("latest"))
+
+
+@query("SELECT ord, trim(content) AS text FROM noted WHERE content <> ''", "raw topics noted")
+def w03_strip_first_heading(spark, d):
+    rows = noted(spark, d).where("content <> ''")
+    return rows.select("ord", notes.strip_first_heading(F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), F.col("content"))).alias("text"))
+
+
+@query("SELECT book_id, trim(string_agg(repeat('#', CAST(level AS INTEGER)) || ' ' || title || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY ord)) AS markdown FROM noted WHERE trim(content) <> '' GROUP BY book_id", "raw topics noted")
+def w04_assemble_book(spark, d):
+    return notes.assemble_book(noted(spark, d))[0]
+
+
+@query("SELECT request_id, string_agg('# ' || item || chr(10) || chr(10) || item || '!' || chr(10) || chr(10), '' ORDER BY item_pos) AS markdown FROM items GROUP BY request_id", "asked items")
+def w05_assemble_items(spark, d):
+    rows = t05_split_items(spark, d).withColumn("answer", F.concat("item", F.lit("!")))
+    return notes.assemble_items(rows)
+
+
+@query("SELECT query_id, chr(10) || repeat('=', 60) || chr(10) || upper(query_id) || chr(10) || repeat('=', 60) || chr(10) || chr(10) || replace(replace('## ' || query || chr(10) || '### x', '### ', chr(10) || '--- '), '## ', chr(10) || chr(10) || '## ') || chr(10) || chr(10) || repeat('=', 60) || chr(10) AS shown FROM asked", "asked")
+def w06_terminal_format(spark, d):
+    return asked(spark, d).select("query_id", notes.terminal_format(F.col("query_id"), F.concat(F.lit("## "), "query", F.lit("\n### x"))).alias("shown"))
+
+
+@query("SELECT book_id, count(*) AS n, CAST(sum(level) AS BIGINT) AS levels FROM noted WHERE trim(content) <> '' AND level <= 2 GROUP BY book_id", "raw topics noted")
+def w07_toc(spark, d):
+    out = notes.toc(notes.assemble_book(noted(spark, d))[0], 2)
+    return out.groupBy("book_id").agg(F.count("*").alias("n"), F.sum("level").alias("levels"))
+
+
+@query("SELECT ord, CASE WHEN n > 0 THEN '- ' || s ELSE 'None yet.' END AS explained FROM (SELECT a.ord, count(b.ord) AS n, string_agg(b.title, chr(10) || '- ' ORDER BY b.ord) AS s FROM noted a LEFT JOIN noted b ON a.book_id = b.book_id AND b.ord < a.ord AND b.ord >= a.ord - 3 AND trim(b.content) <> '' GROUP BY a.ord)", "raw topics noted")
+def w08_rewrite_node(spark, d):
+    from pyspark.sql.window import Window
+
+    near = Window.partitionBy("book_id").orderBy("ord").rangeBetween(-3, -1)
+    rows = noted(spark, d).withColumn("e", F.collect_list(F.when(F.trim("content") != "", F.col("title"))).over(near))
+    return rows.select("ord", notes.explained_context(F.col("e"), True).alias("explained"))
+
+
+# --- I: intents ----------------------------------------------------------
+
+_INPUT = "CASE WHEN substr(query_id, -1) = '0' THEN ' Quit ' WHEN substr(query_id, -1) = '2' THEN 'help' ELSE query END"
+
+
+def inputs(spark, d):
+    last = F.right("query_id", F.lit(1))
+    return asked(spark, d).select("query_id", F.when(last == "0", " Quit ").when(last == "2", "help").otherwise(F.col("query")).alias("text"))
+
+
+@query("SELECT query_id, CASE WHEN substr(query_id, -1) = '0' THEN 'exit' WHEN substr(query_id, -1) = '2' THEN 'help' END AS command FROM asked", "asked")
+def i01_fixed_command(spark, d):
+    return inputs(spark, d).select("query_id", intents.fixed_command(F.col("text")).alias("command"))
+
+
+@query("SELECT url, regexp_replace(url, '.', '') IS NOT NULL AND page_id % 2 = 0 AS is_ingest FROM pages")
+def i02_is_ingest_request(spark, d):
+    rows = _t(spark, d, "pages").select("url", F.concat(F.lit('"C:\\x'), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".PDF").otherwise(".txt"), F.lit('"')).alias("text"))
+    return intents.ingest_requests(rows, rows.select(F.lit("y.pdf").alias("path"))).select("url", "is_ingest")
+
+
+@query("SELECT query_id, CASE WHEN contains(query, chr(10)) THEN 'multiple_questions' ELSE 'single_question' END AS scope, 'question_answer' AS task_type FROM asked", "asked")
+def i03_classify_intent(spark, d):
+    c = intents.classify_intent(F.col("query"))
+    return asked(spark, d).select("query_id", c["scope"].alias("scope"), c["task_type"].alias("task_type"))
+
+
+@query("SELECT query_id, 'question_answer' AS task_type, 'single_question' AS scope, true AS allow_external_knowledge, query AS normalized_query FROM asked", "asked")
+def i04_fallback_intent(spark, d):
+    rows = asked(spark, d).select("query_id", F.col("query").alias("text"), *[F.lit(None).cast("boolean" if f.startswith("allow") else "string").alias(f) for f in intents.FIELDS])
+    return intents.with_fallback(rows).select("query_id", "task_type", "scope", "allow_external_knowledge", "normalized_query")
+
+
+@query("SELECT query_id, 'rewrite_topics' AS task_type, 'full_book' AS scope, 'detailed' AS depth FROM asked", "asked")
+def i05_default_intents(spark, d):
+    return asked(spark, d).select("query_id", *intents.default_intent("rewrite")).select("query_id", "task_type", "scope", "depth")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'retrieve' WHEN source LIKE '%1' THEN 'rewrite' ELSE 'refused' END AS route FROM documents")
+def i06_route_intent(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.col("source").alias("book_id"), F.when(F.col("doc_id") % 2 == 0, "single_question").otherwise("full_book").alias("scope"))
+    return intents.route_intent(rows, rows.where("book_id like '%1'")).select("doc_id", "route")
+
+
+# --- M: model calls ------------------------------------------------------
+
+
+@query("SELECT query_id, 'Q: ' || query || chr(10) || 'External: true' AS prompt FROM asked", "asked")
+def m01_build_prompts(spark, d):
+    return asked(spark, d).select("query_id", model.build_prompt("Q: {q}\nExternal: {x}", q=F.col("query"), x=F.lit(True)).alias("prompt"))
+
+
+@query("SELECT query_id, CAST(0.7 AS DOUBLE) AS temperature, 15000 AS max_tokens FROM asked", "asked")
+def m02_generation_config(spark, d):
+    return model.with_settings(asked(spark, d).withColumn("task", F.lit("answer"))).select("query_id", "temperature", "max_tokens")
+
+
+@query("SELECT query_id, list_last(string_split(query, chr(10))) AS answer FROM asked", "asked")
+def m03_generate(spark, d):
+    return model.generate(asked(spark, d).select("query_id", F.col("query").alias("prompt"))).select("query_id", "answer")
+
+
+def _answers(spark, d):
+    kind = F.length("query") % 4
+    body = F.to_json(F.struct(F.col("query").alias("title"), F.when(kind == 3, "wrong").otherwise("core_concept").alias("kind")))
+    return asked(spark, d).select("query_id", F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n``` and more"))).when(kind == 1, F.lit("sorry")).otherwise(body).alias("answer"))
+
+
+@query("SELECT query_id, query AS title FROM asked WHERE length(query) % 4 IN (0, 2)", "asked")
+def m04_parse_answer(spark, d):
+    good, _ = model.parse_answer(_answers(spark, d), {"title": None, "kind": list(topics.TYPES)})
+    return good.select("query_id", "title")
+
+
+@query("SELECT query_id, CASE WHEN length(query) % 2 = 0 THEN 'a|' || query ELSE left(query, 100) END AS items FROM asked", "asked")
+def m05_parse_string_list(spark, d):
+    rows = asked(spark, d).withColumn("answer", F.when(F.length("query") % 2 == 0, F.concat(F.lit("```json"), F.to_json(F.array(F.lit("a"), F.col("query"))), F.lit("```"))).otherwise("no list"))
+    return rows.select("query_id", F.array_join(model.parse_string_list(F.col("answer"), F.col("query")), "|").alias("items"))
+
+
+@query("SELECT query_id, CASE WHEN contains(query, chr(10)) THEN 'second' ELSE 'first' END AS answer FROM asked WHERE length(query) % 5 <> 0", "asked")
+def m06_retry_then_fail(spark, d):
+    def answers(prompts, config):
+        return ["" if len(p) % 5 == 0 or "\n" in p and config["attempt"] == 1 else ("first", "second")[config["attempt"] - 1] for p in prompts]
+
+    done, _ = model.retry_then_fail(asked(spark, d).select("query_id", F.col("query").alias("prompt")), answers, F.col("answer") != "")
+    return done.select("query_id", "answer")
+
+
+@query("SELECT query_id, CASE WHEN length(query) % 4 = 1 THEN 'core_concept' WHEN length(query) % 4 = 3 THEN 'core_concept' ELSE 'core_concept' END AS topic_type, 'detailed' AS explanation_depth FROM asked", "asked")
+def m07_default_on_failure(spark, d):
+    good, _ = model.parse_answer(_answers(spark, d), {"kind": list(topics.TYPES)})
+    rows = asked(spark, d).select("query_id").join(good.select("query_id", "kind"), "query_id", "left")
+    return rows.select("query_id", model.default_on_failure(F.col("kind"), F.lit(topics.FAILED[0])).alias("topic_type"), F.lit(topics.FAILED[1]).alias("explanation_depth"))
+
+
+# --- G: topic intelligence -----------------------------------------------
+
+_FOLD = "array_to_string(list_filter(string_split_regex(regexp_replace(lower(regexp_replace(trim(topic), '^((\\d+\\.)+|[\\p{L}\\p{N}_]+\\.)\\s*', '')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' +'), lambda w: w <> ''), ' ')"
+
+
+@query(f"SELECT arg_min(topic, r) AS canonical_topic_name, CAST(count(*) - 1 AS BIGINT) AS n_alternatives FROM (SELECT *, row_number() OVER (ORDER BY n DESC, length(topic) DESC, topic) AS r, {_FOLD} AS k FROM (SELECT topic, count(*) AS n FROM topics GROUP BY topic)) GROUP BY k", "raw topics")
+def g01_normalize_topics(spark, d):
+    return topics.normalize_topics(topic_table(spark, d)).select("canonical_topic_name", F.size("alternative_names").cast("long").alias("n_alternatives"))
+
+
+
+
+@query()
+def g02_dedup_topics(spark, d):
+    return topics.dedup_topics(topic_table(spark, d))
+
+
+@query("SELECT ins_seq, CASE WHEN contains(topic, ' ') THEN split_part(topic, ' ', 1) ELSE topic END AS topic FROM topics", "raw topics")
+def g03_apply_merges(spark, d):
+    t = topic_table(spark, d)
+    pairs = t.where("topic like '% %'").select(F.split_part("topic", F.lit(" "), F.lit(1)).alias("primary"), "topic").distinct()
+    return topics.apply_merges(t, pairs.groupBy("primary").agg(F.collect_list("topic").alias("secondary"))).select("ins_seq", "topic")
+
+
+@query("SELECT * FROM freq", "raw topics freq")
+def g04_topic_frequency(spark, d):
+    return topics.topic_frequency(topic_table(spark, d))
+
+
+@query("SELECT ins_seq, CASE WHEN length(raw_content) < 40 THEN 'none' WHEN length(raw_content) < 120 THEN 'brief' ELSE 'detailed' END AS explanation_depth, CASE WHEN frequency_count >= 3 OR source_page = 1 THEN 'core_concept' ELSE 'sub_concept' END AS topic_type FROM topics JOIN freq USING (book_id, topic) WHERE NOT regexp_matches(lower(raw_content), '(is defined as|means|refers to|for example|such as|step|first|then|=)')", "raw topics freq")
+def g05_classify_topics(spark, d):
+    t = topic_table(spark, d)
+    rows = t.join(topics.topic_frequency(t), ["book_id", "topic"]).where("not lower(raw_content) rlike '(is defined as|means|refers to|for example|such as|step|first|then|=)'")
+    c = topics.classify(F.col("frequency_count"), F.col("source_page"), F.col("raw_content"))
+    return rows.select("ins_seq", c["explanation_depth"].alias("explanation_depth"), c["topic_type"].alias("topic_type"))
+
+
+_MENTION = "m AS (SELECT DISTINCT book_id, ins_seq AS s_id, w AS topic, raw_content AS sentence FROM (SELECT *, unnest(list_filter(string_split_regex(raw_content, '\\s+'), lambda x: length(x) >= 9 AND regexp_matches(x, '^[a-z]+$'))[1:3]) AS w FROM topics))"
+VIEWS["mention"] = _MENTION
+
+
+def mentions(spark, d):
+    words = F.slice(F.filter(py_words(F.col("raw_content")), lambda w: (F.length(w) >= 9) & w.rlike("^[a-z]+$")), 1, 3)
+    return topic_table(spark, d).select("book_id", F.col("ins_seq").alias("s_id"), F.explode(words).alias("topic"), F.col("raw_content").alias("sentence")).distinct()
+
+
+@query("SELECT a.book_id, a.topic, string_agg(DISTINCT b.topic, ',' ORDER BY b.topic) AS others FROM m a JOIN m b ON a.book_id = b.book_id AND a.s_id = b.s_id AND a.topic <> b.topic GROUP BY a.book_id, a.topic", "raw topics mention")
+def g06_other_topics(spark, d):
+    return topics.other_topics(mentions(spark, d)).select("book_id", "topic", F.array_join("others", ",").alias("others"))
+
+
+VIEWS["edge"] = "pr AS (SELECT a.book_id, a.s_id, a.topic AS src, b.topic AS dst, instr(lower(a.sentence), lower(a.topic)) AS p, instr(lower(b.sentence), lower(b.topic)) AS q FROM m a JOIN m b ON a.book_id = b.book_id AND a.s_id = b.s_id AND a.topic <> b.topic), edge AS (SELECT book_id, src, dst, 'related_to' AS relation FROM (SELECT *, row_number() OVER (PARTITION BY book_id, least(src, dst), greatest(src, dst) ORDER BY s_id, p, q, src) AS k FROM pr WHERE p < q OR p = q AND src < dst) WHERE k = 1)"
+
+
+@query("SELECT * FROM edge", "raw topics mention edge")
+def g07_map_relationships(spark, d):
+    return topics.map_relationships(mentions(spark, d))
+
+
+@query("SELECT book_id, src AS topic, string_agg(dst || ' (' || relation || ')', ', ' ORDER BY dst) AS context FROM edge GROUP BY book_id, src", "raw topics mention edge")
+def g08_relationship_context(spark, d):
+    return topics.relationship_context(topics.map_relationships(mentions(spark, d)))
+
+
+def registry(spark, d):
+    t = topic_table(spark, d)
+    old = t.where("source_page = 1").select(F.lower("topic").alias("topic_key"), F.lit("old").alias("canonical_name"), F.lit("brief").alias("explanation_depth"), F.lit("{}").alias("metadata"), F.lit(True).alias("explained"), F.col("ins_seq").alias("version")).dropDuplicates(["topic_key"])
+    return topics.register_topics(old, t.where("source_page = 2").select(F.col("topic").alias("name"), F.lit("detailed").alias("depth"), F.col("ins_seq").alias("version")))
+
+
+VIEWS["registry"] = "registry AS (SELECT k AS topic_key, coalesce(n, 'old') AS canonical_name, CASE WHEN n IS NULL THEN 'brief' ELSE 'detailed' END AS explanation_depth FROM (SELECT k, arg_max(topic, ins_seq) FILTER (WHERE source_page = 2) AS n FROM (SELECT *, lower(topic) AS k FROM topics WHERE source_page <= 2) GROUP BY k))"
+
+
+@query("SELECT * FROM registry", "raw topics registry")
+def g09_register_topics(spark, d):
+    return registry(spark, d).select("topic_key", "canonical_name", "explanation_depth")
+
+
+@query("SELECT ins_seq, topic_key IS NOT NULL AS explained FROM topics LEFT JOIN registry ON lower(topic) = topic_key", "raw topics registry")
+def g10_is_explained(spark, d):
+    return topics.is_explained(topic_table(spark, d).select("ins_seq", F.col("topic").alias("name")), registry(spark, d)).select("ins_seq", "explained")
+
+
+@query("SELECT ins_seq, explanation_depth AS depth FROM topics LEFT JOIN registry ON lower(topic) = topic_key", "raw topics registry")
+def g11_get_explanation_depth(spark, d):
+    return topics.explanation_depth(topic_table(spark, d).select("ins_seq", F.col("topic").alias("name")), registry(spark, d)).select("ins_seq", "depth")
+
+
+# --- V: vectors ----------------------------------------------------------
+
+
+def asked_vectors(spark, d):
+    return _t(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query()
+def v01_embed(spark, d):
+    out = vectors.embed(_t(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("embedding").alias("dim"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
+
+
+@query("SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20")
+def v02_cosine_scores(spark, d):
+    return vectors.cosine_scores(asked_vectors(spark, d), _t(spark, d, "embeddings")).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, round(dist, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS k FROM (SELECT q.vec_id AS query_id, v.vec_id, pow(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 2) AS dist FROM embeddings q, embeddings v WHERE q.vec_id < 20)) WHERE k <= 5")
+def v03_knn_l2(spark, d):
+    return vectors.knn_l2(asked_vectors(spark, d), _t(spark, d, "embeddings"), 5).withColumn("distance", F.round("distance", 5))
