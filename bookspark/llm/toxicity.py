@@ -24,6 +24,8 @@ from bookspark.llm._shared import add_columns
 SAMPLE = 6000
 ORDER, GAP, DECAY = 3, 2, 0.6
 LANDMARKS, COMMON = 72, 8
+#: Sentences of one text that training takes at most, those most like a landmark.
+SENTENCES = 8
 #: A likeness under this counts as none.
 LEAST = 0.35
 #: Distinct words whose likenesses a task keeps; then it starts anew.
@@ -206,12 +208,12 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
         words = _Words(Kernel(shared.value))
         for batch in batches:
             found = _vectors(words, batch.column(0).cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([[s.tolist() for s in x] for x in found], pa.list_(pa.list_(pa.float64())))], names=["y", "x"])
+            best = [x[np.argsort(-x.max(axis=1), kind="stable")[:SENTENCES]] if len(x) else x for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in best], pa.binary())], names=["y", "x"])
 
-    data = chosen.mapInArrow(vectors, "y int, x array<array<double>>").collect()
-    width = len(picked)
-    texts = [np.array(r["x"], float).reshape(-1, width) for r in data]
-    return {"landmarks": picked, "base": rate} | _fit(kernel, texts, np.array([r["y"] for r in data]), rate)
+    data = chosen.mapInArrow(vectors, "y int, x binary").collect()
+    texts = [np.frombuffer(r["x"], np.float32).reshape(-1, len(picked)).astype(float) for r in data]
+    return {"landmarks": picked, "base": rate} | _fit(kernel, texts, np.array([r["y"] for r in data]))
 
 
 def _landmarks(words: list[str], most: int) -> list[str]:
@@ -226,7 +228,7 @@ def _landmarks(words: list[str], most: int) -> list[str]:
     return out
 
 
-def _fit(kernel: Kernel, texts: list[np.ndarray], y: np.ndarray, rate: float) -> dict:
+def _fit(kernel: Kernel, texts: list[np.ndarray], y: np.ndarray) -> dict:
     """Nyström map, the machine over sentences, and a logistic curve over the texts' worst sentences."""
     own = kernel(kernel.landmarks)
     values, axes = np.linalg.eigh((own + own.T) / 2)
