@@ -3,8 +3,8 @@
 Two strings are alike if they share subsequences of ORDER characters; each
 counts less the wider it is spread, up to ORDER + GAP characters. So an insult
 with inserted, dropped or inflected letters is still close to the insult.
-Nyström landmarks, words that mark toxic texts most and common ones, turn the
-kernel into short vectors. A sentence is its words' best likeness to each landmark. A
+Nyström landmarks, the words that mark toxic texts most, turn the kernel into
+short vectors. A sentence is its words' best likeness to each landmark. A
 linear support vector machine is trained on labelled sentences: those of clean
 texts are negative, and of a toxic text the sentence that the machine of the
 round before finds worst is positive. A text is scored by its worst sentence.
@@ -18,12 +18,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookspark.llm._shared import add_columns
+from bookspark.llm._shared import add_columns, cut
 
 #: Labelled texts of each class that training takes at most, on average: a bounded sample by hash of the text.
 SAMPLE = 6000
 ORDER, GAP, DECAY = 3, 2, 0.6
-LANDMARKS, COMMON = 72, 8
+LANDMARKS = 72
 #: Sentences of one text that training takes at most, those most like a landmark.
 SENTENCES = 8
 #: A likeness under this counts as none.
@@ -73,15 +73,16 @@ class Kernel:
         self.codes = np.unique(code)
         self.table = np.zeros((len(self.codes), len(landmarks)))
         np.add.at(self.table, (np.searchsorted(self.codes, code), owner), weight / norms[owner])
+        self.most = self.table.max(axis=1) if len(landmarks) else np.zeros(0)
 
     def __call__(self, words: list[str]) -> np.ndarray:
         owner, code, weight = _subsequences(words)
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         hit = self.codes[at] == code
-        # enough of a word's weight must be shared before its likeness can reach LEAST
+        # no landmark can give more than the most that any gives for each subsequence
         squares = np.bincount(owner, weight**2, len(words))
-        shared = np.bincount(owner[hit], weight[hit], len(words))
-        near = shared >= LEAST * np.sqrt(squares)
+        bound = np.bincount(owner[hit], weight[hit] * self.most[at[hit]], len(words))
+        near = bound >= LEAST * np.sqrt(squares)
         out = np.zeros((len(words), len(self.landmarks)))
         hit &= near[owner]
         if hit.any():
@@ -113,7 +114,7 @@ def words_of(text: str) -> list[str]:
 
 
 _MARKS = ".,;:!?\"'()[]{}<>«»“”„…¿¡*_~`|/\\"
-_ENDS = (".", "!", "?", ".\"", "!\"", "?\"", "…")
+_ENDS = frozenset(".!?…")
 
 
 class _Words:
@@ -153,9 +154,12 @@ class _Words:
         found = [(k, n) for k, w in enumerate(words) if (n := self.known[w]) >= 0]
         if not found:
             return np.zeros((0, len(self.kernel.landmarks)))
-        ends = np.array([w.endswith(_ENDS) for w in words])
-        number = np.cumsum(ends) - ends
-        own = number[[k for k, _ in found]]
+        own, at, number = [], 0, 0
+        for k, _ in found:
+            number += sum(w[-1] in _ENDS for w in words[at:k])
+            at = k
+            own.append(number)
+        own = np.array(own)
         rows = np.array([self.rows[n] for _, n in found])
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         return np.maximum.reduceat(rows, first, axis=0)
@@ -172,14 +176,18 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
 
     Null texts and labels are left out. Without texts of both classes every text gets the base score.
     """
-    marks = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").alias("y")).where("y in (0, 1)").distinct()
-    rows = documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null").join(marks, "id").select("text", "y")
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    marks = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct()
+    sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if len(sizes) < 2:
         return {"landmarks": [], "base": rate}
     bound = F.when(F.col("y") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < bound * 1_000_003)
+    ids = cut(marks.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < bound * 1_000_003))
+    if ids.count() > 4 * sample:
+        raise ValueError("the sample is far larger than its bound")
+    # the sample is bounded, so its ids go to the documents and not the other way round
+    rows = documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    chosen = cut(rows.join(F.broadcast(ids), "id").select("text", "y"))
 
     def count(batches):
         from collections import Counter
@@ -197,8 +205,9 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     part = {y: max(1.0, min(sample, n)) for y, n in sizes.items()}
     score = F.col("toxic") * F.log((F.col("toxic") + 0.5) / part[1] / ((F.col("clean") + 0.5) / part[0]))
     marking = [r["word"] for r in counts.where("toxic >= 3").withColumn("s", score).where("s > 0").orderBy(F.desc("s"), "word").limit(8 * landmarks).collect()]
-    common = [r["word"] for r in counts.where("clean >= 3").orderBy(F.desc("clean"), "word").limit(COMMON).collect()]
-    picked = _landmarks(marking, landmarks) + [w for w in common if w not in marking]
+    picked = _landmarks(marking, landmarks)
+    if not picked:
+        return {"landmarks": [], "base": rate}
     kernel = Kernel(picked)
     shared = documents.sparkSession.sparkContext.broadcast(picked)
 
