@@ -8,27 +8,28 @@ from pyspark.sql import functions as F
 from bookspark.functions import ascii_lower
 
 
-def _trigrams(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3))))
+def _grams(c: Column, n: int) -> Column:
+    """The different substrings of n characters."""
+    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - (n - 1))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(n))))
 
 
 def containing(words: DataFrame, names: DataFrame) -> DataFrame:
     """(word) x (name) -> pairs where name LIKE %word%, A-Z in any case; % and _ in a word are wildcards.
 
-    A word of three characters or more without a wildcard meets names on its
-    rarest trigram, by equality, and is then checked; the few others are
-    compared as patterns.
+    A word's longest run without wildcards meets names by equality, on its
+    rarest trigram or, if it is shorter than that, as a whole; then the
+    pattern is checked. Words of wildcards alone meet all names.
     """
-    words, names = words.select("word").distinct(), names.select("name").where("name is not null").distinct()
-    low = words.withColumn("w", ascii_lower(F.col("word")))
+    words, names = words.select("word").where("word is not null").distinct(), names.select("name").where("name is not null").distinct()
+    runs = F.split(ascii_lower(F.col("word")), "[%_]")
+    pattern = F.concat(F.lit("%"), F.replace(ascii_lower(F.col("word")), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    low = words.select("word", pattern.alias("p"), F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("size"), r.alias("run"))))["run"].alias("w"))
     own = names.withColumn("n", ascii_lower(F.col("name")))
-    plain = low.where((F.length("w") >= 3) & ~F.col("w").rlike("[%_]"))
-    grams = own.where(F.length("n") >= 3).select("name", "n", F.explode(_trigrams(F.col("n"))).alias("g"))
+    grams = own.select("name", "n", F.explode(_grams(F.col("n"), 3)).alias("g"))
     sizes = grams.groupBy("g").agg(F.count("*").alias("size"))
-    asked = plain.select("word", "w", F.explode(_trigrams(F.col("w"))).alias("g")).join(sizes, "g", "left")
-    rare = asked.groupBy("word", "w").agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "g")).alias("r")).where("r.size > 0").select("word", "w", F.col("r.g").alias("g"))
-    found = rare.join(grams, "g").where(F.col("n").contains(F.col("w"))).select("word", "name")
-    other = low.where((F.length("w") < 3) | F.col("w").rlike("[%_]"))
-    pattern = F.concat(F.lit("%"), F.replace(F.col("w"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    liked = other.withColumn("p", pattern).join(own, F.expr("n LIKE p")).select("word", "name")
-    return found.unionByName(liked)
+    asked = low.where(F.length("w") >= 3).select("word", "p", F.explode(_grams(F.col("w"), 3)).alias("g")).join(sizes, "g", "left")
+    rare = asked.groupBy("word", "p").agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "g")).alias("r")).where("r.size > 0").select("word", "p", F.col("r.g").alias("g"))
+    found = rare.join(grams, "g").where("n LIKE p").select("word", "name")
+    short = own.select("name", "n", F.explode(F.concat(F.array(F.lit("")), _grams(F.col("n"), 1), _grams(F.col("n"), 2))).alias("g"))
+    return found.unionByName(low.where(F.length("w") < 3).join(short, F.col("w") == F.col("g")).where("n LIKE p").select("word", "name"))
