@@ -9,6 +9,10 @@ of most letters is the text's.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import cache
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +26,8 @@ SAMPLE = 3000
 GRAMS = 20_000
 #: Score that a change of language costs, and the most that one word can say.
 SWITCH, MOST = 6.0, 8.0
-#: Distinct words whose scores a task keeps; then it starts anew.
-CACHED = 150_000
+#: Distinct words that a training task counts before it turns them into trigrams.
+HELD = 200_000
 #: A language is a candidate for a script if it has this share of its letters in it.
 SCRIPT_SHARE = 0.01
 
@@ -37,20 +41,49 @@ SCRIPTS = (
 )
 
 
-def script_of(word: str) -> str | None:
-    """The script of a word's first letter; None without letters."""
-    for c in word:
-        if c.isalpha():
-            o = ord(c)
-            return next((name for name, a, b in SCRIPTS if a <= o <= b), "other")
-    return None
+#: Scripts by number; 1 is any other.
+NAMES = ["none", "other", *dict.fromkeys(name for name, _, _ in SCRIPTS)]
+#: Words of a text whose passes run beside each other, and the most numbers that a block of such runs has.
+RUN, BLOCK = 64, 2_000_000
+
+
+@cache
+def _alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it counts in trigrams, and its script's number if it is a letter (0: none, 1: other)."""
+    letter = np.array([chr(o).isalpha() for o in range(0x110000)])
+    script = letter.astype(np.uint8)
+    for name, a, b in SCRIPTS:
+        script[a : b + 1][letter[a : b + 1]] = NAMES.index(name)
+    keep = letter.copy()
+    keep[0x80:] = True
+    return keep, script
 
 
-def grams_of(word: str) -> list[str]:
-    """Trigrams of a word's letters between two borders."""
-    letters = "".join(c for c in word if c.isalpha() or c in "'-" or not c.isascii()).strip("'-")
-    padded = f"<{letters}>"
-    return [padded[i : i + 3] for i in range(max(1, len(padded) - 2))] if letters else []
+def read_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Trigrams of distinct words that hold no white space, as numbers, and the word of each; then each word's script and letters.
+
+    A trigram is a letter, or other character beyond ASCII, with its
+    neighbours in the word or the word's border. Characters that do not count are passed over.
+    """
+    keep, script = _alphabet()
+    points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    border = points == 32
+    owner = np.cumsum(border) - 1
+    kinds = script[points]
+    at = np.flatnonzero(kinds)
+    letters = np.bincount(owner[at], minlength=len(words))
+    first = at[np.flatnonzero(np.diff(owner[at], prepend=-1))]
+    scripts = np.zeros(len(words), np.int64)
+    scripts[owner[first]] = kinds[first]
+    chosen = keep[points] | border
+    points, owner = points[chosen], owner[chosen]
+    mid = np.flatnonzero(points != 32)
+    return (points[mid - 1] << 42) | (points[mid] << 21) | points[mid + 1], owner[mid], scripts, letters[: len(words)]
+
+
+def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(keys, return_inverse=True)
+    return own, np.bincount(at, weights, len(own)).astype(np.int64)
 
 
 def train(documents: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, grams: int = GRAMS) -> dict:
@@ -60,116 +93,130 @@ def train(documents: DataFrame, text: str = "text", lang: str = "lang", sample:
     """
     rows = documents.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return {"langs": [], "grams": {}, "scores": np.zeros((0, 0)), "rest": np.zeros(0), "scripts": {}}
+    langs = sorted(sizes)
+    if not langs:
+        return {"langs": [], "keys": np.zeros(0, np.int64), "scores": np.zeros((1, 0)), "allowed": np.ones((len(NAMES), 0), bool)}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
 
     def count(batches):
-        from collections import Counter
-
         import pyarrow as pa
 
-        counts: Counter = Counter()
+        seen: dict[str, Counter] = {}
+
+        def totals():
+            for name, words in seen.items():
+                keys, owner, scripts, letters = read_words(list(words))
+                times = np.fromiter(words.values(), np.int64, len(words))
+                for kind, (own, n) in (("g", _sums(keys, times[owner])), ("s", _sums(scripts, times * letters))):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array([kind] * len(own), pa.string()), pa.array(own), pa.array(n)], names=["lang", "kind", "item", "n"])
+            seen.clear()
+
         for batch in batches:
-            for t, l in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word, n in Counter(t.lower().split()).items():
-                    for g in grams_of(word):
-                        counts[l, "g", g] += n
-                    if s := script_of(word):
-                        counts[l, "s", s] += n * len(word)
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in keys], pa.string()) for i in range(3)], pa.array(list(counts.values()), pa.int64())], names=["lang", "kind", "item", "n"])
-
-    counts = chosen.mapInArrow(count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+            for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen.setdefault(name, Counter()).update(t.lower().split())
+                if sum(map(len, seen.values())) > HELD:
+                    yield from totals()
+        yield from totals()
+
+    counts = chosen.mapInArrow(count, "lang string, kind string, item long, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))).where(F.col("place") <= grams)
-    langs = sorted(sizes)
-    at = {l: k for k, l in enumerate(langs)}
-    numbers: dict[str, int] = {}
-    found, letters = [], {}
-    for r in ranked.collect():
-        if r["kind"] == "g":
-            found.append((numbers.setdefault(r["item"], len(numbers)), at[r["lang"]], r["n"]))
+    at = {name: k for k, name in enumerate(langs)}
+    found = [(r["kind"], r["item"], at[r["lang"]], r["n"]) for r in ranked.collect()]
+    keys = np.array(sorted({item for kind, item, _, _ in found if kind == "g"}), np.int64)
+    table, letters = np.zeros((len(keys) + 1, len(langs))), np.zeros((len(NAMES), len(langs)))
+    for kind, item, l, n in found:
+        if kind == "g":
+            table[np.searchsorted(keys, item), l] = n
         else:
-            letters.setdefault(r["item"], np.zeros(len(langs)))[at[r["lang"]]] += r["n"]
-    table = np.zeros((len(numbers), len(langs)))
-    for g, l, n in found:
-        table[g, l] = n
-    total = table.sum(axis=0) + 0.5 * (len(numbers) + 1)
-    every = sum(letters.values(), np.zeros(len(langs)))
-    scripts = {s: n / np.maximum(every, 1) >= SCRIPT_SHARE for s, n in letters.items()}
-    return {"langs": langs, "grams": numbers, "scores": np.log((table + 0.5) / total), "rest": np.log(0.5 / total), "scripts": {s: m for s, m in scripts.items() if m.any()}}
-
-
-class _Scorer:
-    def __init__(self, model: dict):
-        self.model, self.langs = model, model["langs"]
-        self.known: dict[str, int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.known, self.table, self.letters, self.size = {}, np.zeros((1024, len(self.langs))), np.zeros(1024, np.int64), 0
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        get = self.known.get
-        out = np.array([get(w, -1) for w in words], np.int64)
-        if len(out) and out.min() < 0:
-            for k in np.flatnonzero(out < 0).tolist():
-                n = get(words[k], -1)
-                out[k] = self._add(words[k]) if n < 0 else n
-        return out
-
-    def _add(self, word: str) -> int:
-        if self.size == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        model, script = self.model, script_of(word)
-        if script is not None:
-            rows = [model["scores"][n] if (n := model["grams"].get(g)) is not None else model["rest"] for g in grams_of(word)]
-            score = np.sum(rows, axis=0)
-            score = np.maximum(score - score.max(), -MOST)
-            allowed = model["scripts"].get(script)
-            if allowed is not None:
-                score = np.where(allowed, score, -2 * MOST)
-            self.table[self.size] = score
-            self.letters[self.size] = sum(map(str.isalpha, word))
-        self.known[word] = self.size
-        self.size += 1
-        return self.size - 1
-
-
-def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best label of each row of scores; texts of `sizes` rows follow each other, all passed over at once."""
-    n, labels = scores.shape
-    order = np.argsort(-sizes, kind="stable")
-    starts = (np.cumsum(sizes) - sizes)[order]
-    falling = sizes[order]
-    active = np.searchsorted(-falling, -np.arange(1, (falling[0] if len(falling) else 0) + 1), side="right")
-    came = np.zeros((n, labels), np.int8)
-    stay = np.arange(labels, dtype=np.int8)
-    now = np.zeros((len(sizes), labels))
-    ends = np.zeros(len(sizes), np.int64)
+            letters[item, l] = n
+    scores = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table)))
+    allowed = letters / np.maximum(letters.sum(axis=0), 1) >= SCRIPT_SHARE
+    return {"langs": langs, "keys": keys, "scores": scores, "allowed": allowed | ~allowed.any(axis=1, keepdims=True)}
+
+
+def word_scores(model: dict, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The score of each language for each of some distinct words, the best 0, and the words' letters; without letters all are 0."""
+    grams, owner, scripts, letters = read_words(words)
+    out = np.zeros((len(words), len(model["langs"])))
+    if not len(grams):
+        return out, letters
+    keys = model["keys"]
+    at = np.searchsorted(keys, grams)
+    at[np.append(keys, -1)[at] != grams] = len(keys)
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    own = owner[starts]
+    sums = np.add.reduceat(model["scores"][at], starts, axis=0)
+    sums = np.maximum(sums - sums.max(axis=1, keepdims=True), -MOST)
+    sums[~model["allowed"][scripts[own]]] = -2 * MOST
+    out[own] = sums
+    out[letters == 0] = 0
+    return out, letters
+
+
+def _passes(now: np.ndarray, active: np.ndarray, rows, switch: float, kept: list | None = None) -> np.ndarray:
+    """Forward pass over runs of falling lengths: now is (..., labels, runs), active[t] the runs longer than t; kept takes the values before each word."""
     for t, m in enumerate(active.tolist()):
-        if t:
-            if m < len(now):
-                ends[m : len(now)] = now[m:].argmax(axis=1)
-                now = now[:m]
-            best = now.argmax(axis=1)
-            changed = now[np.arange(m), best] - switch
-            jump = changed[:, None] > now
-            came[starts[:m] + t] = np.where(jump, best[:, None].astype(np.int8), stay)
-            now = np.where(jump, changed[:, None], now)
-        else:
-            now = now[:m]
-        now = now + scores[starts[:m] + t]
-        now -= now.max(axis=1, keepdims=True)
-    ends[: len(now)] = now.argmax(axis=1) if len(now) else 0
-    out = np.zeros(n, np.int64)
-    for t in range(len(active) - 1, -1, -1):
-        m = active[t]
-        at = starts[:m] + t
-        out[at] = ends[:m]
-        ends[:m] = came[at, ends[:m]]
+        own = now[..., :m]
+        if kept is not None:
+            kept.append(own.copy())
+        np.maximum(own, own.max(axis=-2, keepdims=True) - switch, out=own)
+        own += rows(t, m)
+    return now
+
+
+def viterbi(scores: np.ndarray, words: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The best label of each word; texts of `sizes` words follow each other, and `words` are rows of scores.
+
+    Texts are cut into runs that all pass beside each other: first from every
+    label, for the best value between any two ends of a run; those give each
+    text's best labels at its cuts, and a second pass from these the words between.
+    The result is that of one pass over the whole text.
+    """
+    labels = scores.shape[1]
+    counts = -(-sizes // RUN)
+    text = np.repeat(np.arange(len(sizes)), counts)
+    place = np.arange(len(text)) - (np.cumsum(counts) - counts)[text]
+    starts = (np.cumsum(sizes) - sizes)[text] + place * RUN
+    lengths = np.minimum(RUN, sizes[text] - place * RUN)
+    order = np.argsort(-lengths, kind="stable")
+    step = max(1, BLOCK // (labels * labels))
+    blocks = []
+    for k in range(0, len(order), step):
+        runs = order[k : k + step]
+        active = np.searchsorted(-lengths[runs], -np.arange(lengths[runs[0]]), side="left")
+        blocks.append((runs, active, lambda t, m, first=starts[runs]: scores[words[first[:m] + t]].T))
+    between = np.zeros((len(text), labels, labels))
+    for runs, active, rows in blocks:
+        now = np.full((labels, labels, len(runs)), -np.inf)
+        now[np.arange(labels), np.arange(labels)] = 0
+        between[runs] = np.moveaxis(_passes(now, active, rows, switch), -1, 0)
+    texts = np.argsort(-counts, kind="stable")
+    live = np.searchsorted(-counts[texts], -np.arange(counts.max(initial=0)), side="left")
+    heads = (np.cumsum(counts) - counts)[texts]
+    value, came = np.zeros((len(sizes), labels)), np.zeros((len(text), labels), np.int64)
+    for j, m in enumerate(live.tolist()):
+        ways = value[:m, :, None] + between[heads[:m] + j]
+        came[heads[:m] + j] = ways.argmax(axis=1)
+        value[:m] = ways.max(axis=1)
+    last, first_of, last_of = value.argmax(axis=1), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+    for j in range(len(live) - 1, -1, -1):
+        m = live[j]
+        at = heads[:m] + j
+        last_of[at] = last[:m]
+        last[:m] = first_of[at] = came[at, last[:m]]
+    out = np.zeros(len(words), np.int64)
+    for runs, active, rows in blocks:
+        now, kept = np.full((labels, len(runs)), -np.inf), []
+        now[first_of[runs], np.arange(len(runs))] = 0
+        _passes(now, active, rows, switch, kept)
+        label = last_of[runs]
+        for t in range(len(active) - 1, -1, -1):
+            before, m = kept[t], active[t]
+            out[starts[runs[:m]] + t] = label[:m]
+            best = before.argmax(axis=0)
+            lane = np.arange(m)
+            label[:m] = np.where(before[best, lane] - switch > before[label[:m], lane], best, label[:m])
     return out
 
 
@@ -184,40 +231,36 @@ def identify(documents: DataFrame, model: dict, text: str = "text") -> DataFrame
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        scorer = _Scorer(shared.value)
-        langs = scorer.langs
-
-        def some(texts: list) -> list[tuple]:
-            if scorer.size > CACHED:
-                scorer.clear()
-            words = [t.decode().lower().split() if t and langs else [] for t in texts]
-            numbers = [scorer.numbers(w) for w in words]
-            sizes = np.array([len(x) for x in numbers], np.int64)
-            every = np.concatenate([*numbers, np.zeros(0, np.int64)])
-            labels = viterbi(scorer.table[every], sizes) if len(every) else every
-            letters = scorer.letters[every]
+        import pyarrow as pa
+
+        model = shared.value
+        langs, names = model["langs"], pa.array([*model["langs"], "und"], pa.string())
+
+        def some(texts: list) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+            parted = [t.decode().lower().split() if t and langs else [] for t in texts]
+            sizes = np.array([len(w) for w in parted], np.int64)
+            numbers = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(parted)))}
+            words = np.fromiter(map(numbers.__getitem__, chain.from_iterable(parted)), np.int64, int(sizes.sum()))
+            scores, letters = word_scores(model, list(numbers))
+            labels = viterbi(scores, words, sizes)
             owner = np.repeat(np.arange(len(texts)), sizes)
-            weight = np.bincount(owner * max(1, len(langs)) + labels, letters, len(texts) * max(1, len(langs))).reshape(len(texts), -1)
-            out, first = [], 0
-            for k, n in enumerate(sizes.tolist()):
-                own = labels[first : first + n]
-                total = weight[k].sum()
-                if total <= 0:
-                    out.append(("und", 0.0, []))
-                else:
-                    best = int(weight[k].argmax())
-                    borders = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), n]
-                    out.append((langs[best], float(weight[k][best] / total), [{"start": a, "end": b, "lang": langs[own[a]]} for a, b in zip(borders, borders[1:])]))
-                first += n
-            return out
+            width = max(1, len(langs))
+            weight = np.bincount(owner * width + labels, letters[words], len(texts) * width).reshape(len(texts), width)
+            total = weight.sum(axis=1)
+            pred = np.where(total > 0, weight.argmax(axis=1), len(langs))
+            lead = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0))
+            ends = np.append(lead, len(words))[1:]
+            spoken = total[owner[lead]] > 0
+            lead, ends = lead[spoken], ends[spoken]
+            base = (np.cumsum(sizes) - sizes)[owner[lead]]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[lead], minlength=len(texts)))])
+            spans = pa.StructArray.from_arrays([pa.array(lead - base), pa.array(ends - base), names.take(pa.array(labels[lead]))], names=["start", "end", "lang"])
+            return pred, weight.max(axis=1) / np.maximum(total, 1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
 
         def run(texts):
-            rows: list[tuple] = []
-            for part in parts(texts):
-                rows += some(part)
-            return [list(c) for c in zip(*rows)]
+            pred, score, spans = zip(*map(some, parts(texts)))
+            return [names.take(pa.array(np.concatenate(pred))), pa.array(np.concatenate(score)), pa.concat_arrays(spans)]
 
         return run
 
     return add_columns(documents, text, "lang_pred string, score double, lang_spans array<struct<start: long, end: long, lang: string>>", make)
-

@@ -130,6 +130,36 @@ def test_mixed_text_has_spans(spark):
     assert [r["lang_pred"] for r in got[1:]] == ["und", "und"]
 
 
+def test_label_runs_against_one_pass():
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 3, 64, 65, 128, 500, 1, 0, 1300, 63])
+    for labels in (1, 2, 4):
+        scores = -8 * rng.random((50, labels))
+        words = rng.integers(0, 50, sizes.sum())
+        got, first = langid.viterbi(scores, words, sizes), 0
+        for n in sizes.tolist():
+            own, now, back = scores[words[first : first + n]], np.zeros(labels), []
+            for t in range(n):
+                best = now.argmax()
+                jump = (now[best] - langid.SWITCH > now) & (t > 0)
+                back.append(np.where(jump, best, np.arange(labels)))
+                now = np.where(jump, now[best] - langid.SWITCH, now) + own[t]
+            want, label = [], now.argmax()
+            for b in back[::-1]:
+                want.append(label)
+                label = b[label]
+            assert got[first : first + n].tolist() == want[::-1]
+            first += n
+
+
+def test_trigrams_of_words():
+    words = ["a1b", "don't", "12", "—", "ж"]
+    grams, owner, scripts, letters = langid.read_words(words)
+    text = ["".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0)) for g in grams.tolist()]
+    assert list(zip(owner.tolist(), text)) == [(0, " ab"), (0, "ab "), (1, " do"), (1, "don"), (1, "ont"), (1, "nt "), (3, " — "), (4, " ж ")]
+    assert [langid.NAMES[k] for k in scripts] == ["latin", "latin", "none", "none", "cyrillic"] and letters.tolist() == [2, 4, 0, 0, 1]
+
+
 def test_fuzzy_lines_keep_the_first(spark):
     line = "the quick brown fox jumps over the lazy dog and then it rests in the warm sun for a while"
     near = line.replace("warm", "cold")
