@@ -1,16 +1,19 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-A line's signature comes from its character shingles that start after a
-character other than a lower-case ASCII letter: one hash each, sorted on a
-circle. The circle has BANDS marks, and a band is the next ROWS smallest
-hashes after a mark: a one-permutation MinHash, in which a thin stretch
-borrows from the next. Lines that share a band are candidates of the band's
-two leaders; their Jaccard similarity is then computed exactly over the
-shingles at all positions, and union-find over the pairs that pass keeps the
-first line of each component.
-
-Copies of a line are one row before any band is shuffled, so a bucket holds
-different lines only, and it gives at most two pairs a line, never all pairs.
+A line's signature comes from its character shingles at all positions: one
+hash each, sorted on a circle. The circle has BANDS marks, and a band is the
+next ROWS smallest hashes after a mark: a one-permutation MinHash, in which a
+thin stretch borrows from the next. All lines that share a band are candidates
+of each other; their Jaccard similarity is computed exactly over the same
+shingles, and union-find over the pairs that pass keeps the first line of each
+component.
+
+A bucket's members are first compared with two leaders, which joins most
+copies. Members that are then still in different components are compared with
+each other: pair by pair in a small bucket, and in a crowded one by an exact
+similarity join, so that no pair that shares a band is left out. Pairs whose
+set sizes or parity sketches rule a link out are dropped before their texts
+are fetched; that test never drops a link.
 """
 
 from __future__ import annotations
@@ -22,29 +25,44 @@ from bookspark.llm._shared import components, cut, without
 
 BANDS = 6
 ROWS = 3
-#: Characters of the shingles that are hashed, and of those whose sets are compared.
-ANCHORED, COMPARED = 10, 5
+#: Characters of the shingles that are hashed and whose sets are compared.
+COMPARED = 5
 SIMILARITY = 0.8
 #: Shorter lines are left alone: they recur without being copies.
 LEAST_CHARS = 40
+#: Open members of a bucket up to which all its pairs are listed.
+CROWD = 2000
 
 
 def banded(lines: DataFrame) -> DataFrame:
-    """lines with bands, an array of hashes; each step is a column of its own, computed once."""
-    pattern = f"(?s)[^a-z](?=(.{{{ANCHORED}}}))"
+    """lines with bands, an array of hashes, size, the number of shingles, and x and y, which bits an odd number of them hit."""
     marks = [F.lit((k * ((1 << 64) // BANDS)) - (1 << 63)).cast("long") for k in range(BANDS)]
-    out = lines.withColumn("found", F.regexp_extract_all(F.concat(F.lit("\n"), "line"), F.lit(pattern), F.lit(1)))
-    out = out.withColumn("hashes", F.transform("found", lambda s: F.xxhash64(s))).drop("found")
-    out = out.withColumn("circle", F.sort_array(F.concat(F.array_distinct("hashes"), F.array(*marks)))).drop("hashes")
+    out = lines.withColumn("found", _all_shingles(F.col("line")))
+    out = out.withColumn("hashes", F.array_distinct(F.transform("found", lambda s: F.xxhash64(s)))).drop("found")
+    bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(v, 1).bitwiseAND(F.lit(63)).cast("int"))
+    half = lambda k: F.aggregate("hashes", F.lit(0).cast("long"), lambda s, v: F.when(v.bitwiseAND(F.lit(1)) == k, s.bitwiseXOR(bit(v))).otherwise(s))
+    out = out.withColumns({"size": F.size("hashes"), "x": half(0), "y": half(1), "circle": F.sort_array(F.concat("hashes", F.array(*marks)))}).drop("hashes")
     out = out.withColumn("turned", F.concat("circle", F.slice("circle", 1, ROWS + 1)))
     runs = [F.xxhash64(F.slice("turned", F.array_position("turned", m).cast("int") + 1, ROWS)) for m in marks]
     return out.withColumn("bands", F.array_distinct(F.array(*runs))).drop("circle", "turned")
 
 
+def possible(a: str, b: str) -> Column:
+    """Sketches under these names allow a similarity of SIMILARITY: sets of n members together differ in (1 - s) / (1 + s) of n at most."""
+    n = F.col(f"{a}.size") + F.col(f"{b}.size")
+    differ = sum(F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in "xy")
+    sizes = F.abs(F.col(f"{a}.size") - F.col(f"{b}.size"))
+    return F.greatest(differ, sizes) * (1 + SIMILARITY) <= n * (1 - SIMILARITY) + 1e-6
+
+
+def _all_shingles(line: Column) -> Column:
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{COMPARED}}}))"), F.lit(1))
+    return F.when(F.length(line) >= COMPARED, found).otherwise(F.array(line))
+
+
 def shingles(line: Column) -> Column:
     """The set of the line's character shingles; a short line is one shingle."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{COMPARED}}}))"), F.lit(1))
-    return F.array_distinct(F.when(F.length(line) >= COMPARED, found).otherwise(F.array(line)))
+    return F.array_distinct(_all_shingles(line))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -61,22 +79,66 @@ def _lines(documents: DataFrame, text: str, doc_id: str) -> DataFrame:
     return rows.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(7), F.col("line"))})
 
 
-def links(lines: DataFrame) -> DataFrame:
-    """(line, a, b) -> (a, b) of different lines' a with Jaccard similarity of SIMILARITY or more, leaders of bands with their members.
+def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """pairs(a, b, ...) of which the lines' Jaccard similarity is SIMILARITY or more.
 
     Should two texts have one a, neither is linked, only copied exactly.
     """
-    # explode() would add a test of the bands' number, with all that they are made of, ahead of everything
-    members = banded(lines.select("a", "line")).select("a", F.explode_outer("bands").alias("band")).distinct().repartition("band")
-    leaders = members.groupBy("band").agg(F.min("a").alias("first"), F.min_by("a", F.xxhash64("a", "band")).alias("other"), F.count("*").alias("n")).where("n > 1")
-    pairs = members.join(leaders, "band").select("a", F.explode(F.array("first", "other")).alias("leader")).where("a != leader")
-    pairs = cut(pairs.select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b")).distinct())
+    pairs = cut(pairs)
     named = pairs.select("a").unionAll(pairs.select("b")).distinct()
     texts = lines.select("a", "b", "line").join(named, "a").groupBy("a").agg(F.first("line").alias("line"), F.min("b").alias("x"), F.max("b").alias("y"))
     texts = cut(texts.where("x = y").select(F.col("a").alias("h"), "line"))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("l_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("l_b")), "b")
-    both = both.where(F.least(F.length("l_a"), F.length("l_b")) >= SIMILARITY / 2 * F.greatest(F.length("l_a"), F.length("l_b")))
-    return both.where(jaccard(F.col("l_a"), F.col("l_b")) >= SIMILARITY).select("a", "b")
+    return both.where(jaccard(F.col("l_a"), F.col("l_b")) >= SIMILARITY).select(*pairs.columns)
+
+
+def crossing(crowded: DataFrame, lines: DataFrame) -> DataFrame:
+    """crowded(a, c, k) of different a -> (a, b, ca, cb): candidates of different c; no pair of SIMILARITY is lost.
+
+    Prefix filter: shingles are ordered by rarity, and two similar lines share
+    one of each other's first n - ceil(SIMILARITY * n) + 1.
+    """
+    texts = lines.select("a", "line").join(crowded, "a").groupBy("a", "c").agg(F.first("line").alias("line"))
+    own = texts.select("a", "c", F.array_distinct(F.transform(_all_shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("s"))
+    own = own.select("a", "c", F.size("s").alias("size"), F.explode("s").alias("t"))
+    sizes = own.groupBy("t").agg(F.count("*").alias("n"))
+    ranked = own.join(sizes, "t").groupBy("a", "c", "size").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("s"))
+    most = F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1
+    first = ranked.select("a", "c", F.explode(F.slice("s", F.lit(1), most.cast("int"))).alias("x")).where("x.n > 1").select("a", "c", F.col("x.t").alias("t"))
+    return _pairs(cut(first.join(crowded.select("a", "k"), "a")), "t")
+
+
+def _pairs(rows: DataFrame, key: str) -> DataFrame:
+    """rows(a, c, k, key) -> (a, b, ca, cb) of the same key and different c whose sketches k allow a link."""
+    pairs = rows.select("a", F.col("c").alias("ca"), F.col("k").alias("ka"), key).join(rows.select(F.col("a").alias("b"), F.col("c").alias("cb"), F.col("k").alias("kb"), key), key)
+    return pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & possible("ka", "kb")).select("a", "b", "ca", "cb").distinct()
+
+
+def linked(lines: DataFrame) -> DataFrame:
+    """(line, a, b) -> (node, component): components of the lines' a by all links of lines that share a band."""
+    signed = cut(banded(lines.select("a", "line")).select("a", "bands", F.struct("size", "x", "y").alias("k")))
+    sketches = signed.groupBy("a").agg(F.first("k").alias("k"))
+    members = signed.select("a", F.explode("bands").alias("band")).distinct().repartition("band")
+    leaders = members.groupBy("band").agg(F.min("a").alias("first"), F.min_by("a", F.xxhash64("a", "band")).alias("other"), F.count("*").alias("n")).where("n > 1")
+    members = cut(members.join(leaders, "band").select("a", "band", "first", "other"))
+    stars = members.select("a", F.explode(F.array("first", "other")).alias("leader")).where("a != leader")
+    stars = stars.select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b")).distinct()
+    stars = stars.join(sketches.select("a", F.col("k").alias("ka")), "a").join(sketches.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b").where(possible("ka", "kb"))
+    groups = cut(components(similar(stars.select("a", "b"), lines)))
+    # leaders have met all others
+    rest = members.where("a != first and a != other").select("a", "band").join(groups, F.col("a") == F.col("node"), "left").select("a", "band", F.coalesce("component", "a").alias("c"))
+    counts = rest.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
+    rest = cut(rest.join(counts.select("band", "n"), "band").join(sketches, "a"))
+    few, crowded = rest.where(F.col("n") <= CROWD), rest.where(F.col("n") > CROWD).groupBy("a", "c").agg(F.first("k").alias("k"))
+    pairs = _pairs(few, "band")
+    if not crowded.isEmpty():
+        pairs = pairs.unionByName(crossing(cut(crowded), lines))
+    joined = cut(components(similar(pairs.distinct(), lines).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    if joined.isEmpty():
+        return groups
+    moved = joined.select(F.col("node").alias("was"), F.col("component").alias("now"))
+    alone = joined.join(groups.select("node"), "node", "left_anti")
+    return groups.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")).unionByName(alone)
 
 
 def repeated_lines(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -88,7 +150,7 @@ def repeated_lines(documents: DataFrame, text: str = "text", doc_id: str = "doc_
     lines = _lines(documents, text, doc_id)
     place = F.struct("id", "row", "n")
     known = cut(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
-    groups = components(links(lines))
+    groups = linked(lines)
     named = known.join(groups, F.col("a") == F.col("node"), "left").select("a", "b", "first", "copies", F.coalesce("component", "a").alias("c"), F.col("component").isNotNull().alias("near"))
     firsts = named.where("near").groupBy("c").agg(F.min("first").alias("kept"))
     copied = named.where("copies > 1 or near").join(firsts, "c", "left").select("a", "b", F.coalesce("kept", "first").alias("kept"))

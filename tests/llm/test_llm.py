@@ -168,6 +168,30 @@ def test_fuzzy_lines_keep_the_first(spark):
     assert got[1] == f"{line}\nshort" and got[2] == "short" and got[3].startswith("another")
 
 
+@pytest.mark.parametrize("crowd", [3, 1000])
+def test_crowded_bands_lose_no_pair(spark, monkeypatch, crowd):
+    monkeypatch.setattr(lines, "CROWD", crowd, raising=False)
+    rng = np.random.default_rng(5)
+    word = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
+    shared, texts = word(8), []
+    for _ in range(40):  # one passage with tails of its own, and a copy of each with one other letter
+        tail = word(6)
+        texts += [f"{shared} {tail}", f"{shared} {tail[:-1]}#"]
+    texts += ["ab" * 30, "ab" * 100]
+    df = spark.createDataFrame([(k, t, t) for k, t in enumerate(texts)], "doc_id long, text string, line string")
+    bands = {r["doc_id"]: set(r["bands"]) for r in lines.banded(df).collect()}
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    near = [(a, b) for a in label for b in label if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    shares = [(a, b) for a, b in near if bands[a] & bands[b]]
+    assert len(shares) >= 0.95 * len(near) >= 38
+    for _ in texts:
+        for a, b in shares:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["id"] for r in lines.repeated_lines(df).collect()}
+    assert got == {k for k in range(len(texts)) if label[k] != k}
+
+
 def test_components_against_brute_force(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))]
