@@ -37,7 +37,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(RAW)) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<start>[a-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
     re.I | re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -89,8 +89,8 @@ def _close(path: list[Element], tags: set[str], fences: set[str]) -> bool:
     return False
 
 
-def beside(e: Element, in_article: bool) -> bool:
-    """The element never holds article text, by its name or what the site calls it."""
+def beside(e: Element, in_article: bool, articles: int = 0) -> bool:
+    """The element never holds article text, by its name or what the site calls it; the page has so many articles."""
     if e.tag in DROPPED or e.tag == "header" and not in_article:
         return True
     if e.attributes and e.tag not in ("html", "body", "main"):
@@ -99,33 +99,41 @@ def beside(e: Element, in_article: bool) -> bool:
             if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
             if name in ("class", "id"):
-                words = _NAME.findall(value)
-                if e.tag == "article":
-                    words = [w for w in words if w.startswith("comment")]
-                if not BESIDE.isdisjoint(words):
+                # names as a whole: a part may say what the element has or has not
+                words = value.split() if e.tag != "article" else [w for w in _NAME.findall(value) if w.startswith("comment")]
+                if not BESIDE.isdisjoint(words) and not _holds_article(e, articles):
                     return True
     return False
 
 
-def trimmed(root: Element) -> list[Element]:
-    """The elements that hold the article, all that is beside it taken out."""
-    found: dict[str, list[Element]] = {"article": [], "main": [], "body": []}
+def _articles(e: Element) -> tuple[int, bool]:
+    """How many articles that are no comments stand in e, and whether a main element or a first heading does."""
+    n, main, stack = 0, False, [e]
+    while stack:
+        for c in stack.pop().children:
+            if not isinstance(c, str):
+                n += c.tag == "article" and not beside(c, False)
+                main = main or c.tag in ("main", "h1")
+                stack.append(c)
+    return n, main
 
-    def clean(e: Element, in_article: bool) -> None:
-        stack = [(e, in_article)]
-        while stack:
-            x, inside = stack.pop()
-            x.children = [c for c in x.children if isinstance(c, str) or not beside(c, inside)]
-            for c in x.children:
-                if not isinstance(c, str):
-                    if c.tag in found and not (c.tag == "article" and inside):
-                        found[c.tag].append(c)
-                    stack.append((c, inside or c.tag == "article"))
-
-    clean(root, False)
-    for tag in ("article", "main", "body"):
-        if any(_has_text(e) for e in found[tag]):
-            return found[tag][::-1] if tag == "article" and len(found[tag]) > 1 else found[tag][:1] if tag != "article" else found[tag]
+
+def _holds_article(e: Element, articles: int) -> bool:
+    """All articles of the page, its main element or first heading are in e."""
+    if e.tag == "article":
+        return False
+    n, main = _articles(e)
+    return main or 0 < articles == n
+
+
+def trimmed(root: Element) -> list[Element]:
+    """The elements that hold the page's text, all that is beside it taken out."""
+    articles = _articles(root)[0]
+    stack = [(root, False)]
+    while stack:
+        x, inside = stack.pop()
+        x.children = [c for c in x.children if isinstance(c, str) or not beside(c, inside, articles)]
+        stack += [(c, inside or c.tag == "article") for c in x.children if not isinstance(c, str)]
     return [root]
 
 
@@ -202,12 +210,12 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", least_pages: int = 5, share: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", url: str = "url", least_pages: int = 5, share: float = 0.5, many_pages: int = 200) -> DataFrame:
     """pages with text, the main text of each page.
 
     A subtree is template if it stands on at least `least_pages` different
-    pages of its host and on at least `share` of them; pages with the same
-    subtrees are one page here. Null or empty html gives an empty text;
+    pages of its host and on at least `share` of them or on `many_pages`;
+    pages with the same subtrees are one page here. Null or empty html gives an empty text;
     repeated rows stay. A column text is replaced.
     """
     kept = without(pages, ["text"])
@@ -227,7 +235,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", least_pages:
     counted = hashes.groupBy("__host", "whole").agg(F.first("hashes").alias("hashes"))
     sizes = counted.groupBy("__host").agg(F.count("*").alias("pages"))
     common = counted.select("__host", F.explode("hashes").alias("h")).groupBy("__host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    common = common.join(sizes, "__host").where(F.col("n") >= share * F.col("pages")).select("__host", "h")
+    common = common.join(sizes, "__host").where((F.col("n") >= share * F.col("pages")) | (F.col("n") >= many_pages)).select("__host", "h")
     mine = hashes.select("__key", "__host", F.explode("hashes").alias("h")).join(common, ["__host", "h"]).groupBy("__key").agg(F.collect_set("h").alias("__template"))
     both = named.join(mine, "__key", "left")
 

@@ -257,6 +257,28 @@ def test_page_text_and_site_templates(spark):
     assert got == {k: f"Only on page {k}" for k in range(6)} | {9: ""}
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<body><div style='overflow:hidden' title=\"hidden gems\"><p>One</p><a href=/hidden-falls>two</a> <a href='/x?id=menu'>three</a></div>", "One two three"),
+        ("<body><div hidden>no</div><div HIDDEN=''>no</div><p id=menu>no</p><p>yes</p>", "yes"),
+        ("<body><div class='content has-sidebar'><p>Main text</p></div><div class='x sidebar'>no</div>", "Main text"),
+        ("<body><div class='social'><article><p>Text</p></article></div>", "Text"),
+        ("<body><div class=related><article>one</article></div><article>two</article>", "two"),
+        ("<body><p>Before</p><article>one</article><p>Between</p><div><article>two</article></div><article class=comment-body>no</article><p>After</p>", "Before one Between two After"),
+    ],
+)
+def test_main_text_stays_in_page_order(html, text):
+    assert pagetext.text_of(html) == text
+
+
+def test_templates_of_large_hosts(spark):
+    page = "<body><div><p>{t}</p></div><p>Only on page {k}</p>"
+    rows = [(k, "https://site.org/a", page.format(k=k, t="Section template" if k < 8 else f"Own {k}")) for k in range(30)]
+    got = pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), many_pages=8).select("page_id", "text")
+    assert dict(map(tuple, got.collect())) == {k: f"Only on page {k}" if k < 8 else f"Own {k} Only on page {k}" for k in range(30)}
+
+
 def test_archives_round_trip(spark):
     rows = [(3, "u", "same"), (1, "u", "same"), (1, "u", "same"), (None, None, "same"), (4, "a\r\nb", "é" * 100_000), (5, "u", None), (6, "u", "")]
     got = warc.round_trip(prepare(spark), spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
