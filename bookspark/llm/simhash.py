@@ -189,6 +189,19 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
+def _grouped(documents: DataFrame, text: str, doc_id: str, budget: int, width: int) -> DataFrame:
+    """near_duplicates() with __root, the component's smallest fingerprint."""
+    kept = without(documents, ["fingerprint", "component_id"])
+    found = cut(fingerprints(kept.withColumn("__id", F.col(f"`{doc_id}`")), text, width, "__bits"))
+    keys = cut(found.groupBy(F.col("__bits").alias("bits")).agg(F.min("__id").alias("least")))
+    groups = components(links(keys.select("bits"), budget))
+    named = keys.join(groups, F.col("bits") == F.col("node"), "left").select("bits", "least", F.coalesce("component", "bits").alias("__root"))
+    roots = named.groupBy("__root").agg(F.min("least").alias("component_id"))
+    named = named.join(roots, "__root").select(F.col("bits").alias("__key"), "component_id", "__root")
+    out = found.join(named, F.col("__bits") == F.col("__key"))
+    return out.select(*[F.col(f"`{c}`") for c in kept.columns], F.lower(F.lpad(F.hex("__bits"), 16, "0")).alias("fingerprint"), "component_id", "__root")
+
+
 def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", budget: int = 4, width: int = 4) -> DataFrame:
     """documents with fingerprint (16 hex digits) and component_id, the smallest id reachable by links of `budget` bits.
 
@@ -196,19 +209,12 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     Repeated rows stay. A null id is never the smallest unless all ids of its
     component are null. Columns of these names are replaced.
     """
-    kept = without(documents, ["fingerprint", "component_id"])
-    found = cut(fingerprints(kept.withColumn("__id", F.col(f"`{doc_id}`")), text, width, "__bits"))
-    keys = cut(found.groupBy(F.col("__bits").alias("bits")).agg(F.min("__id").alias("least")))
-    groups = components(links(keys.select("bits"), budget))
-    named = keys.join(groups, F.col("bits") == F.col("node"), "left").select("bits", "least", F.coalesce("component", "bits").alias("root"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(roots, "root").select(F.col("bits").alias("__key"), "component_id")
-    out = found.join(named, F.col("__bits") == F.col("__key"))
-    return out.select(*[F.col(f"`{c}`") for c in kept.columns], F.lower(F.lpad(F.hex("__bits"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(documents, text, doc_id, budget, width).drop("__root")
 
 
-def one_each(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """documents with one of each component: a row whose id is the component's smallest; of repeated ids one row."""
-    out = near_duplicates(documents, text, doc_id, **options)
-    mine = out.where(F.col(f"`{doc_id}`").eqNullSafe(F.col("component_id")))
-    return mine.select(*[F.col(f"`{c}`") for c in documents.columns]).dropDuplicates([doc_id])
+def one_each(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", budget: int = 4, width: int = 4) -> DataFrame:
+    """documents with one row of each component: the smallest id, of repeated ids the smallest hash of the text."""
+    # a component's rows are told by its root: ids can be null or stand in several components
+    mine = _grouped(documents, text, doc_id, budget, width).where(F.col(f"`{doc_id}`").eqNullSafe(F.col("component_id")))
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    return mine.groupBy("__root").agg(F.min_by(row, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("r")).select("r.*")

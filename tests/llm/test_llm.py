@@ -222,6 +222,16 @@ def test_fingerprint_links_against_brute_force(spark):
     assert {k: found.get(k, k) for k in keys} == label
 
 
+def test_one_row_of_each_component(spark):
+    first, second, third = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [(None, first), (None, first), (None, second), (7, third), (7, " ".join(f"d{k}" for k in range(60))), (9, third), (None, third), (3, None)]
+    docs = prepare(spark).createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string")
+    got = simhash.one_each(docs)
+    assert got.columns == docs.columns
+    want = [(None, first), (None, second), (7, third), (7, rows[4][1]), (3, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_repeats_against_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(100):
