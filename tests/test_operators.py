@@ -130,6 +130,12 @@ def test_similar_names_lose_no_pair(spark):
     assert got == want
 
 
+def test_long_chains_of_similar_names_are_one_group(spark):
+    names = [" ".join(f"w{k + i:03d}" for i in range(4)) for k in range(90)]
+    got = topics.dedup_topics(spark.createDataFrame([(n,) for n in [*names, "far off"]], "topic string")).collect()
+    assert [(r["primary"], r["secondary"]) for r in got] == [(names[0], names[1:])]
+
+
 def test_commands_and_routes(spark):
     df = spark.createDataFrame([(" QUIT ",), ("",), ("help",), ("what",)], "t string")
     assert [r[0] for r in df.select(intents.fixed_command(F.col("t"))).collect()] == ["exit", None, "help", None]
