@@ -1,8 +1,8 @@
 """Personal data by patterns and by bootstrapped context, in DataFrame functions only.
 
 Base entities (email, ip, card, phone) come from fixed patterns. They seed a
-bootstrapping: every identifier-like token stands in two lexical patterns, the
-two words before it and the words on both sides. Patterns and instances are a
+bootstrapping: every identifier-like token, run of digit groups and base entity
+stands in two lexical patterns, the two words before it and the words on both sides. Patterns and instances are a
 graph. Its scores are computed in rounds: a pattern is as trustworthy as the
 share of known instances of a kind among its instances, an instance as its
 patterns together. Instances of trusted patterns that no base pattern finds
@@ -32,6 +32,11 @@ ROUNDS = 3
 LEAST_SEEDS, LEAST_SHARE, LEAST_SCORE = 3, 0.5, 0.8
 #: Characters of identifier-like tokens.
 SHORTEST, LONGEST = 5, 64
+#: Candidates beside the base entities: words with a digit or an @, and groups of digits with spaces between, as in cards and phones.
+WORD = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+RUN = r"(?<!\S)[+(]*+[0-9][0-9().+-]*+(?: ++\(?+[0-9][0-9().+-]*+){1,18}+(?![^\s,;:!?])"
+#: Characters on each side in which the context's words are looked up; of a longer word the nearest ones count.
+NEAR = 256
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -76,40 +81,45 @@ def entities(text: Column, kind: str) -> Column:
     return F.when(test & text.rlike(pattern), out).otherwise(F.expr("cast(array() as array<struct<start:bigint,k:int,end:bigint>>)"))
 
 
+def _matches(rows: DataFrame, pattern: str) -> DataFrame:
+    """rows with start and whole of each match of the pattern in text."""
+    parts = rows.where(F.col("text").rlike(pattern)).withColumns({"gap": F.split("text", pattern, -1), "found": F.regexp_extract_all("text", F.lit(pattern), F.lit(0))})
+    parts = parts.select(*rows.columns, "gap", "found", F.posexplode("found").alias("i", "whole"))
+    length = lambda parts, n: F.length(F.array_join(F.slice(parts, F.lit(1), n), ""))
+    return parts.select(*rows.columns, (length("gap", F.col("i") + 1) + length("found", F.col("i"))).alias("start"), "whole")
+
+
 def tokens(documents: DataFrame) -> DataFrame:
-    """(id, row, text) -> (id, row, start, end, token, before, around): identifier-like tokens and their patterns.
+    """(id, row, text) -> (id, row, start, end, token, k, before, around): candidates and their patterns.
 
-    Tokens are what single white-space characters part, without punctuation at
-    their ends; they have a digit or an @.
+    Base entities have their kind k, with inner spaces and wherever they are
+    attached. Others are identifier-like: words and runs of digit groups that
+    no base entity overlaps, without punctuation at their ends.
     """
-    words = F.split("text", r"[\s]")
-    rows = documents.where(F.col("text").rlike("[0-9@]")).select("id", "row", words.alias("w"))
-    marked = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).rlike("[0-9@]") & F.length(F.element_at("w", i)).between(SHORTEST, 2 * LONGEST))
-    rows = rows.select("id", "row", "w", F.explode_outer(marked).alias("i")).where("i is not null")
-    at = lambda k: F.lower(F.coalesce(F.get("w", F.col("i") - 1 + k), F.lit("")))
-    whole = F.element_at("w", F.col("i"))
-    head = F.length(F.regexp_extract(whole, "^[^A-Za-z0-9+@]*", 0))
-    core = F.regexp_replace(whole, "^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$", "")
-    start = F.length(F.array_join(F.slice("w", F.lit(1), F.col("i") - 1), " ")) + F.when(F.col("i") > 1, 1).otherwise(0) + head
-    out = rows.select("id", "row", start.cast("long").alias("start"), core.alias("token"), F.concat_ws(" ", at(-2), at(-1)).alias("before"), F.concat(at(-1), F.lit(" _ "), at(1)).alias("around"))
-    out = out.where(F.length("token").between(SHORTEST, LONGEST) & F.col("token").rlike("[0-9@]"))
-    return out.withColumn("end", F.col("start") + F.length("token"))
-
-
-def base_kind(token: Column) -> Column:
-    """The place in KINDS of the base pattern that a whole token fits, or null."""
-    out = F.lit(None).cast("int")
-    for k in range(len(KINDS) - 1, -1, -1):
-        kind = KINDS[k]
-        out = F.when(token.rlike(f"^(?:{PATTERNS[kind]})$") & _valid(kind, token), F.lit(k)).otherwise(out)
-    return out
+    rows = documents.where(F.col("text").rlike("[0-9@]")).select("id", "row", "text", F.concat(*[entities(F.col("text"), k) for k in KINDS]).alias("base"))
+    known = rows.select("id", "row", "text", F.explode("base").alias("s"))
+    known = known.select("id", "row", "text", "s.start", "s.end", F.expr("substring(text, cast(s.start + 1 as int), cast(s.end - s.start as int))").alias("token"), "s.k")
+    other = _matches(rows, WORD).unionByName(_matches(rows, RUN))
+    head = F.length(F.regexp_extract("whole", "^[^A-Za-z0-9+@(]*", 0))
+    other = other.withColumns({"token": F.regexp_replace("whole", "^[^A-Za-z0-9+@(]+|[^A-Za-z0-9]+$", ""), "start": (F.col("start") + head).cast("long")})
+    other = other.where(F.length("token").between(SHORTEST, LONGEST) & F.col("token").rlike("[0-9@]")).withColumn("end", F.col("start") + F.length("token"))
+    other = other.where(~F.exists("base", lambda b: (F.col("start") < b["end"]) & (b["start"] < F.col("end"))))
+    out = known.unionByName(other.select("id", "row", "text", "start", "end", "token", F.lit(None).cast("int").alias("k")))
+    left = F.expr(f"lower(substring(text, cast(greatest(start - {NEAR}, 0) + 1 as int), cast(least(start, {NEAR}) as int)))")
+    right = F.expr(f"lower(substring(text, cast(end + 1 as int), {NEAR}))")
+    # punctuation between the token and white space belongs to no word
+    out = out.withColumns({"left": F.regexp_replace(left, r"(^|\s)[^A-Za-z0-9\s]++$", "$1"), "right": F.regexp_replace(right, r"^[^A-Za-z0-9\s]++", "")})
+    two, one = r"(?<!\S)(\S++)\s++(\S++)\s*+$", r"(?<!\S)(\S++)\s*+$"
+    last = F.regexp_extract("left", one, 1)
+    before = F.concat_ws(" ", F.regexp_extract("left", two, 1), last)
+    return out.select("id", "row", "start", "end", "token", "k", before.alias("before"), F.concat(last, F.lit(" _ "), F.regexp_extract("right", r"^\s*+(\S++)", 1)).alias("around"))
 
 
 def discovered(found: DataFrame) -> DataFrame:
-    """tokens -> (token, k): instances that trusted patterns give a kind, base ones left out."""
+    """tokens(token, k, before, around) -> (token, k): instances that trusted patterns give a kind, base ones left out."""
     edges = found.select("token", F.explode(F.array(F.concat(F.lit("b:"), F.col("before")), F.concat(F.lit("a:"), F.col("around")))).alias("pattern"))
     edges = cut(edges.where(F.col("pattern").rlike(r"^(b:.*\S \S|a:\S.* _ \S)")).distinct())
-    seeds = edges.select("token").distinct().withColumn("k", base_kind(F.col("token"))).where("k is not null").withColumn("score", F.lit(1.0))
+    seeds = found.where("k is not null").groupBy("token").agg(F.min("k").alias("k")).withColumn("score", F.lit(1.0))
     seeds = cut(seeds)
     # only patterns of at least one seed can ever be trusted in the first round, and only their instances later
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
@@ -139,7 +149,7 @@ def find(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     base = F.array_sort(F.concat(*[entities(body, k) for k in KINDS]))
     rows = documents.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(body).alias("row"), body.alias("text"))
     found = cut(tokens(rows))
-    new = found.join(discovered(found), "token").select("id", "row", F.struct("start", "k", "end").alias("s"))
+    new = found.where("k is null").drop("k").join(discovered(found), "token").select("id", "row", F.struct("start", "k", "end").alias("s"))
     new = new.groupBy("id", "row").agg(F.collect_set("s").alias("more"))
     all_rows = documents.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(body).alias("__row"), base.alias("base_spans"))
     both = all_rows.join(new.withColumnsRenamed({"id": "__id", "row": "__row2"}), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__row2")), "left")

@@ -92,6 +92,21 @@ def test_contexts_find_unseen_identifiers(spark):
     assert found[8] == "email:16:28" and found[9] == ""
 
 
+@pytest.mark.parametrize(
+    "known, unseen, want",
+    [
+        ("please call us at +44 20 7946 09{k}1 any day", "please call us at 020 7946 0123 any day", "phone:18:31"),
+        ("please write  mailto:me{k}@x.org\n\ntoday", "please write  mailto: my-name-at-9 today", "email:22:34"),
+        ("so\n\nwrite  to  me{k}@x.org, today", "so\n\nwrite  to  my-name-at-9, today", "email:15:27"),
+    ],
+)
+def test_contexts_of_spaced_and_attached_entities(spark, known, unseen, want):
+    texts = [*(known.format(k=k) for k in range(8)), unseen, "other 12345 words"]
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", pii.written(F.col("spans")).alias("s"))
+    found = dict(map(tuple, got.collect()))
+    assert found[8] == want and found[9] == ""
+
+
 def test_encoding_equals_the_library(spark):
     import random
 
