@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +58,37 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as df has columns of the name, so that none clashes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+#: Numbers that small() sends to all executors, some 40 MB at most.
+SMALL = 1_000_000
+
+
+def small(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    """rows of a few numbers, or of lists of `weight` numbers, marked for broadcast if they are SMALL together; give a checkpoint, which is cheap to count."""
+    found = rows.limit(SMALL + 1).count() if weight is None else rows.agg(F.sum(weight + 1)).first()[0] or 0
+    return F.broadcast(rows) if found <= SMALL else rows
+
+
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """df as a Parquet table of the shared folder, deleted at the end: for rows that are wide, or read by column."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    yield df.sparkSession.read.parquet(path)
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def add_columns(df: DataFrame, source: str | Column, new: str, function: Callable[[], Callable], kind: str = "binary") -> DataFrame:
     """df with the columns of the DDL `new`, made batch by batch.
 

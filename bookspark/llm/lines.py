@@ -12,128 +12,135 @@ A bucket's members are first compared with two leaders, which joins most
 copies. Members that are then still in different components are compared with
 each other: pair by pair in a small bucket, and in a crowded one by an exact
 similarity join, so that no pair that shares a band is left out. Pairs whose
-set sizes or parity sketches rule a link out are dropped before their texts
-are fetched; that test never drops a link.
+set sizes rule a link out are dropped before their texts are fetched.
+
+Shingles are SHINGLE UTF-16 units, so a character beyond the basic plane
+counts as two, and they are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookspark.llm._shared import components, cut, without
+from bookspark.llm._shared import components, cut, small, stored, unused, without
 
-BANDS = 6
-ROWS = 3
-#: Characters of the shingles that are hashed and whose sets are compared.
-COMPARED = 5
+BANDS = 10
+ROWS = 5
+SHINGLE = 5
 SIMILARITY = 0.8
-#: Shorter lines are left alone: they recur without being copies.
-LEAST_CHARS = 40
-#: Open members of a bucket up to which all its pairs are listed.
-CROWD = 2000
+#: Lines with fewer characters between their white space are left alone; 1 leaves only blank lines alone.
+LEAST_CHARS = 1
+#: Open members of a bucket up to which its pairs are listed.
+CROWD = 1000
 
+#: White space that is no part of a line.
+_BLANK = " \t\r\f\v"
 
-def banded(lines: DataFrame) -> DataFrame:
-    """lines with bands, an array of hashes, size, the number of shingles, and x and y, which bits an odd number of them hit."""
-    marks = [F.lit((k * ((1 << 64) // BANDS)) - (1 << 63)).cast("long") for k in range(BANDS)]
-    out = lines.withColumn("found", _all_shingles(F.col("line")))
-    out = out.withColumn("hashes", F.array_distinct(F.transform("found", lambda s: F.xxhash64(s)))).drop("found")
-    bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(v, 1).bitwiseAND(F.lit(63)).cast("int"))
-    half = lambda k: F.aggregate("hashes", F.lit(0).cast("long"), lambda s, v: F.when(v.bitwiseAND(F.lit(1)) == k, s.bitwiseXOR(bit(v))).otherwise(s))
-    out = out.withColumns({"size": F.size("hashes"), "x": half(0), "y": half(1), "circle": F.sort_array(F.concat("hashes", F.array(*marks)))}).drop("hashes")
-    out = out.withColumn("turned", F.concat("circle", F.slice("circle", 1, ROWS + 1)))
-    runs = [F.xxhash64(F.slice("turned", F.array_position("turned", m).cast("int") + 1, ROWS)) for m in marks]
-    return out.withColumn("bands", F.array_distinct(F.array(*runs))).drop("circle", "turned")
 
+#: 32-bit hashes of a line's shingles that may fall together.
+TOGETHER = 4
 
-def possible(a: str, b: str) -> Column:
-    """Sketches under these names allow a similarity of SIMILARITY: sets of n members together differ in (1 - s) / (1 + s) of n at most."""
-    n = F.col(f"{a}.size") + F.col(f"{b}.size")
-    differ = sum(F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in "xy")
-    sizes = F.abs(F.col(f"{a}.size") - F.col(f"{b}.size"))
-    return F.greatest(differ, sizes) * (1 + SIMILARITY) <= n * (1 - SIMILARITY) + 1e-6
 
+def shingles(line: Column, named: Callable[[Column], Column] = F.xxhash64) -> Column:
+    """Hashes of the line's shingles in order, repeats included; a line of fewer characters is one shingle."""
 
-def _all_shingles(line: Column) -> Column:
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{COMPARED}}}))"), F.lit(1))
-    return F.when(F.length(line) >= COMPARED, found).otherwise(F.array(line))
+    def windows(units: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(units) - (2 * SHINGLE - 1), F.lit(1)), F.lit(2))
+        return F.transform(starts, lambda at: named(F.substring(units, at, F.lit(2 * SHINGLE))))
 
+    # the one-element array has the line encoded once, not for each window
+    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), windows), 0)
+
+
+def banded(lines: DataFrame) -> DataFrame:
+    """lines with size, the number of different shingles, and bands, an array of hashes; line is left out."""
+    marks = [F.lit((k * ((1 << 32) // BANDS)) - (1 << 31)).cast("int") for k in range(BANDS)]
+    kept = [c for c in lines.columns if c != "line"]
+    # 32-bit hashes are enough to propose candidates
+    out = lines.select(*kept, F.sort_array(F.array_distinct(shingles(F.col("line"), F.hash))).alias("__hashes"))
+    out = out.select(*kept, F.concat("__hashes", F.slice("__hashes", 1, ROWS)).alias("__turned"), F.sort_array(F.concat("__hashes", F.array(*marks))).alias("__circle"))
+    # as many hashes as stand before mark k stand before its run
+    runs = [F.xxhash64(F.slice("__turned", F.array_position("__circle", m).cast("int") - k, ROWS)) for k, m in enumerate(marks)]
+    return out.select(*kept, (F.size("__circle") - BANDS).alias("size"), F.array_distinct(F.array(*runs)).alias("bands"))
 
-def shingles(line: Column) -> Column:
-    """The set of the line's character shingles; a short line is one shingle."""
-    return F.array_distinct(_all_shingles(line))
 
+def possible(a: Column, b: Column) -> Column:
+    """Sets of about these sizes can have a similarity of SIMILARITY; 32-bit hashes that fall together are allowed for."""
+    return F.least(a, b) + TOGETHER >= SIMILARITY * (F.greatest(a, b) - TOGETHER)
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two lines by their shingle sets, each of which is made once."""
-    sets = F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b")))
-    sizes = F.transform(sets, lambda s: F.struct((F.size(s["a"]) + F.size(s["b"])).alias("both"), F.size(F.array_union(s["a"], s["b"])).alias("all")))
-    return F.get(F.transform(sizes, lambda n: (n["both"] - n["all"]) / n["all"]), 0)
 
+def alike(a: Column, b: Column, n: Column) -> Column:
+    """Two lines with n different shingles, each counted by itself, have a Jaccard similarity of SIMILARITY or more.
 
-def _lines(documents: DataFrame, text: str, doc_id: str) -> DataFrame:
+    Sets of n elements that have s in common have n / (1 + s) together.
+    """
+    return (1 + SIMILARITY) * F.size(F.array_union(shingles(a), shingles(b))) <= n + 1e-6
+
+
+def _lines(documents: DataFrame, text: str, doc_id: str, least_chars: int) -> DataFrame:
     """(id, row, n, line, a, b): the lines that count; a and b are together a 128-bit name of the line's text."""
     rows = documents.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("row"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("n", "line"))
-    rows = rows.withColumn("line", F.trim("line")).where(F.length("line") >= LEAST_CHARS)
+    rows = rows.withColumn("line", F.btrim("line", F.lit(_BLANK))).where(F.length("line") >= least_chars)
     return rows.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(7), F.col("line"))})
 
 
-def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """pairs(a, b, ...) of which the lines' Jaccard similarity is SIMILARITY or more.
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs(a, b, ...) of which the lines' Jaccard similarity is SIMILARITY or more, by texts(a, size, line)."""
+    mine, its = (texts.select(F.col("a").alias(x), F.col("size").alias(f"n_{x}"), F.col("line").alias(f"l_{x}")) for x in "ab")
+    n = F.col("n_a") + F.col("n_b")
+    both = pairs.join(mine, "a").join(its, "b").where(possible(F.col("n_a"), F.col("n_b")))
+    return both.where(alike(F.col("l_a"), F.col("l_b"), n)).select(*pairs.columns)
 
-    Should two texts have one a, neither is linked, only copied exactly.
-    """
-    pairs = cut(pairs)
-    named = pairs.select("a").unionAll(pairs.select("b")).distinct()
-    texts = lines.select("a", "b", "line").join(named, "a").groupBy("a").agg(F.first("line").alias("line"), F.min("b").alias("x"), F.max("b").alias("y"))
-    texts = cut(texts.where("x = y").select(F.col("a").alias("h"), "line"))
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("l_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("l_b")), "b")
-    return both.where(jaccard(F.col("l_a"), F.col("l_b")) >= SIMILARITY).select(*pairs.columns)
 
-
-def crossing(crowded: DataFrame, lines: DataFrame) -> DataFrame:
-    """crowded(a, c, k) of different a -> (a, b, ca, cb): candidates of different c; no pair of SIMILARITY is lost.
+def crossing(crowded: DataFrame, texts: DataFrame) -> DataFrame:
+    """crowded(a, c, size) of different a -> (a, b, ca, cb): candidates of different c; no pair of SIMILARITY is lost.
 
     Prefix filter: shingles are ordered by rarity, and two similar lines share
     one of each other's first n - ceil(SIMILARITY * n) + 1.
     """
-    texts = lines.select("a", "line").join(crowded, "a").groupBy("a", "c").agg(F.first("line").alias("line"))
-    own = texts.select("a", "c", F.array_distinct(F.transform(_all_shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("s"))
+    own = crowded.select("a", "c").join(texts.select("a", "line"), "a").select("a", "c", F.array_distinct(shingles(F.col("line"))).alias("s"))
     own = own.select("a", "c", F.size("s").alias("size"), F.explode("s").alias("t"))
     sizes = own.groupBy("t").agg(F.count("*").alias("n"))
     ranked = own.join(sizes, "t").groupBy("a", "c", "size").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("s"))
     most = F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1
-    first = ranked.select("a", "c", F.explode(F.slice("s", F.lit(1), most.cast("int"))).alias("x")).where("x.n > 1").select("a", "c", F.col("x.t").alias("t"))
-    return _pairs(cut(first.join(crowded.select("a", "k"), "a")), "t")
+    first = ranked.select("a", "c", "size", F.explode(F.slice("s", F.lit(1), most.cast("int"))).alias("x")).where("x.n > 1")
+    return _pairs(cut(first.select("a", "c", "size", F.col("x.t").alias("t"))), "t")
 
 
 def _pairs(rows: DataFrame, key: str) -> DataFrame:
-    """rows(a, c, k, key) -> (a, b, ca, cb) of the same key and different c whose sketches k allow a link."""
-    pairs = rows.select("a", F.col("c").alias("ca"), F.col("k").alias("ka"), key).join(rows.select(F.col("a").alias("b"), F.col("c").alias("cb"), F.col("k").alias("kb"), key), key)
-    return pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & possible("ka", "kb")).select("a", "b", "ca", "cb").distinct()
-
-
-def linked(lines: DataFrame) -> DataFrame:
-    """(line, a, b) -> (node, component): components of the lines' a by all links of lines that share a band."""
-    signed = cut(banded(lines.select("a", "line")).select("a", "bands", F.struct("size", "x", "y").alias("k")))
-    sketches = signed.groupBy("a").agg(F.first("k").alias("k"))
-    members = signed.select("a", F.explode("bands").alias("band")).distinct().repartition("band")
-    leaders = members.groupBy("band").agg(F.min("a").alias("first"), F.min_by("a", F.xxhash64("a", "band")).alias("other"), F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(leaders, "band").select("a", "band", "first", "other"))
+    """rows(a, c, size, key) -> (a, b, ca, cb) of the same key and different c whose sizes allow a link."""
+    pairs = rows.select("a", F.col("c").alias("ca"), F.col("size").alias("na"), key).join(rows.select(F.col("a").alias("b"), F.col("c").alias("cb"), F.col("size").alias("nb"), key), key)
+    return pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & possible(F.col("na"), F.col("nb"))).select("a", "b", "ca", "cb").distinct()
+
+
+def linked(signed: DataFrame, lines: DataFrame) -> DataFrame:
+    """signed(a, size, bands) of lines(a, b, line) -> (node, component): components of a by all links of lines that share a band.
+
+    Should two texts have one a, neither is linked, only copied exactly.
+    """
+    members = signed.select("a", "size", F.explode("bands").alias("band")).repartition("band")
+    # the greatest size is for a plan with one exchange; a partition has at most half as many leaders' rows as members
+    leaders = members.groupBy("band").agg(F.min("a").alias("first"), F.max("a").alias("other"), F.max("size").alias("most")).where("first < other and most >= 0")
+    members = cut(members.join(leaders.hint("shuffle_hash"), "band").select("a", "size", "band", "first", "other"))
+    named = cut(members.select("a").distinct())
+    # where few lines have candidates, the others' texts are not shuffled
+    texts = lines.select("a", "b", "line").join(small(named), "a").groupBy("a").agg(F.first("line").alias("line"), F.min("b").alias("x"), F.max("b").alias("y"))
+    texts = cut(texts.where("x = y").select("a", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("size")))
     stars = members.select("a", F.explode(F.array("first", "other")).alias("leader")).where("a != leader")
     stars = stars.select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b")).distinct()
-    stars = stars.join(sketches.select("a", F.col("k").alias("ka")), "a").join(sketches.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b").where(possible("ka", "kb"))
-    groups = cut(components(similar(stars.select("a", "b"), lines)))
+    groups = cut(components(similar(stars, texts)))
     # leaders have met all others
-    rest = members.where("a != first and a != other").select("a", "band").join(groups, F.col("a") == F.col("node"), "left").select("a", "band", F.coalesce("component", "a").alias("c"))
+    rest = members.where("a != first and a != other").select("a", "size", "band").join(groups, F.col("a") == F.col("node"), "left").select("a", "size", "band", F.coalesce("component", "a").alias("c"))
     counts = rest.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
-    rest = cut(rest.join(counts.select("band", "n"), "band").join(sketches, "a"))
-    few, crowded = rest.where(F.col("n") <= CROWD), rest.where(F.col("n") > CROWD).groupBy("a", "c").agg(F.first("k").alias("k"))
+    rest = cut(rest.join(counts.select("band", "n"), "band"))
+    few, crowded = rest.where(F.col("n") <= CROWD), rest.where(F.col("n") > CROWD).select("a", "c", "size").distinct()
     pairs = _pairs(few, "band")
     if not crowded.isEmpty():
-        pairs = pairs.unionByName(crossing(cut(crowded), lines))
-    joined = cut(components(similar(pairs.distinct(), lines).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        pairs = pairs.unionByName(crossing(cut(crowded), texts)).distinct()
+    joined = cut(components(similar(pairs, texts).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
     if joined.isEmpty():
         return groups
     moved = joined.select(F.col("node").alias("was"), F.col("component").alias("now"))
@@ -141,39 +148,47 @@ def linked(lines: DataFrame) -> DataFrame:
     return groups.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")).unionByName(alone)
 
 
-def repeated_lines(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated_lines(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", least_chars: int = LEAST_CHARS) -> DataFrame:
     """(id, row, gone): by document, the numbers of its lines (from 0) that copy an earlier line, near or exact.
 
     A line is first by document id (null first), then by its place. Lines
-    under LEAST_CHARS code points, white space aside, are left alone.
+    under least_chars code points, white space aside, are left alone.
     """
-    lines = _lines(documents, text, doc_id)
-    place = F.struct("id", "row", "n")
-    known = cut(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
-    groups = linked(lines)
-    named = known.join(groups, F.col("a") == F.col("node"), "left").select("a", "b", "first", "copies", F.coalesce("component", "a").alias("c"), F.col("component").isNotNull().alias("near"))
-    firsts = named.where("near").groupBy("c").agg(F.min("first").alias("kept"))
-    copied = named.where("copies > 1 or near").join(firsts, "c", "left").select("a", "b", F.coalesce("kept", "first").alias("kept"))
-    gone = lines.select("id", "row", "n", "a", "b").join(copied, ["a", "b"]).where(~F.struct("id", "row", "n").eqNullSafe(F.col("kept")))
+    lines = _lines(documents, text, doc_id, least_chars)
+    # copies of a line are one row before its shingles are made
+    known = lines.groupBy("a", "b").agg(F.min(F.struct("id", "row", "n")).alias("first"), F.count("*").alias("copies"), F.first("line").alias("line"))
+    with stored(banded(known)) as known:
+        groups = linked(known.select("a", "size", "bands"), lines)
+        named = known.join(groups, F.col("a") == F.col("node"), "left").select("a", "b", "first", "copies", F.coalesce("component", "a").alias("c"), F.col("component").isNotNull().alias("near"))
+        firsts = named.where("near").groupBy("c").agg(F.min("first").alias("kept"))
+        copied = cut(named.where("copies > 1 or near").join(firsts, "c", "left").select("a", "b", F.coalesce("kept", "first").alias("kept")))
+    gone = lines.select("id", "row", "n", "a", "b").join(small(copied), ["a", "b"]).where(~F.struct("id", "row", "n").eqNullSafe(F.col("kept")))
     return gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("n")).alias("gone"))
 
 
-def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def _cleaned(documents: DataFrame, text: str, doc_id: str, least_chars: int, n_lines: str, n_gone: str) -> DataFrame:
+    """documents without their repeated lines, with their numbers under these names, which documents don't have."""
+    gone = cut(repeated_lines(documents, text, doc_id, least_chars))
+    row, its_id, its_row, numbers = unused(documents, "row", "id", "its_row", "numbers")
+    body = F.col(f"`{text}`")
+    gone = small(gone.select(F.col("id").alias(its_id), F.col("row").alias(its_row), F.col("gone").alias(numbers)), F.size(numbers))
+    both = documents.withColumn(row, F.xxhash64(body)).join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(its_id)) & (F.col(row) == F.col(its_row)), "left")
+    left = F.array_join(F.filter(F.split(body, "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n")
+    columns = [F.when(F.col(numbers).isNull(), body).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns]
+    return both.select(*columns, F.coalesce(F.size(F.split(body, "\n")), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias(n_gone))
+
+
+def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", least_chars: int = LEAST_CHARS) -> DataFrame:
     """documents with n_lines, n_gone and the text without its repeated lines.
 
     A null text stays null, with no lines; an empty one has one line. Repeated rows
     share their lines' fate. Columns of the new names are replaced.
     """
-    kept = without(documents, ["n_lines", "n_gone"])
-    gone = repeated_lines(documents, text, doc_id)
-    body = F.col(f"`{text}`")
-    both = kept.withColumns({"__row": F.xxhash64(body)}).join(gone.select(F.col("id").alias("__id"), F.col("row").alias("__row2"), "gone"), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__row2")), "left")
-    left = F.array_join(F.filter(F.split(body, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    columns = [F.when(F.col("gone").isNull(), body).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in kept.columns]
-    return both.select(*columns, F.coalesce(F.size(F.split(body, "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"))
+    return _cleaned(without(documents, ["n_lines", "n_gone"]), text, doc_id, least_chars, "n_lines", "n_gone")
 
 
-def drop_repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", least_chars: int = LEAST_CHARS) -> DataFrame:
     """documents without their repeated lines; one that loses every line with a word goes, one that had none stays."""
-    out = deduplicate(documents, text, doc_id)
-    return out.where((F.col("n_gone") <= 0) | F.col(f"`{text}`").rlike(r"\S")).select(*[F.col(f"`{c}`") for c in documents.columns])
+    n_lines, n_gone = unused(documents, "n_lines", "n_gone")
+    out = _cleaned(documents, text, doc_id, least_chars, n_lines, n_gone)
+    return out.where((F.col(n_gone) <= 0) | F.col(f"`{text}`").rlike(r"\S")).select(*[F.col(f"`{c}`") for c in documents.columns])

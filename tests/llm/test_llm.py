@@ -180,7 +180,8 @@ def test_fuzzy_lines_keep_the_first(spark):
     near = line.replace("warm", "cold")
     docs = spark.createDataFrame([(1, f"{line}\nshort"), (2, f"{near}\nshort"), (3, f"{line}\nanother line that is long enough to count but is not like the one above")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in lines.deduplicate(docs).collect()}
-    assert got[1] == f"{line}\nshort" and got[2] == "short" and got[3].startswith("another")
+    assert got[1] == f"{line}\nshort" and got[2] == "" and got[3].startswith("another")
+    assert {r["text"] for r in lines.deduplicate(docs, least_chars=6).collect()} == {f"{line}\nshort", "short", got[3]}
 
 
 @pytest.mark.parametrize("crowd", [3, 1000])
@@ -207,6 +208,29 @@ def test_crowded_bands_lose_no_pair(spark, monkeypatch, crowd):
     assert got == {k for k in range(len(texts)) if label[k] != k}
 
 
+def test_recall_of_bands_and_links(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(2, 9))))
+    vocabulary, texts = [word() for _ in range(3000)], []
+    for _ in range(900):
+        line = " ".join(rng.choice(vocabulary, rng.integers(8, 60)))
+        texts.append(line)
+        for _ in range(rng.integers(1, 7)):  # letters here and there
+            at = rng.integers(0, len(line))
+            line = line[:at] + "#" + line[at + 1 :]
+        texts.append(line)
+    texts += ["x y " + "ha " * 20, "x y " + "ha " * 90]
+    df = spark.createDataFrame([(k, t, t.strip()) for k, t in enumerate(texts)], "doc_id long, text string, line string")
+    sets = [{t.strip()[i : i + 5] for i in range(len(t.strip()) - 4)} for t in texts]
+    near = [(k, k + 1) for k in range(0, len(texts), 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])]
+    bands = {r["doc_id"]: set(r["bands"]) for r in lines.banded(df).collect()}
+    hard = [(a, b) for a, b in near if len(sets[a] & sets[b]) < 0.85 * len(sets[a] | sets[b])]
+    assert len(near) > 500 and len(hard) > 50
+    assert sum(bool(bands[a] & bands[b]) for a, b in hard) >= 0.95 * len(hard)
+    gone = {r["id"] for r in lines.repeated_lines(df).collect()}
+    assert gone <= {b for _, b in near} and len(gone) >= 0.95 * len(near) and len(texts) - 1 in gone
+
+
 def test_components_against_brute_force(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))]
