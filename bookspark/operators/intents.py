@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from bookspark.functions import py_strip
 
 FIELDS = ("task_type", "scope", "depth", "language_level", "format_type", "allow_external_knowledge", "normalized_query")
-#: The intents that commands imply.
+#: The vocabularies of a classification.
+TASKS = ("rewrite_book", "summarize_book", "study_notes", "revision_notes", "question_answer")
+SCOPES = ("full_book", "specific_topic", "single_question")
+LENGTHS = ("very_short", "short", "medium", "detailed")
+LEVELS = ("simple", "standard", "advanced")
+FORMATS = ("paragraph", "bullet", "exam_oriented")
+#: What a request means when its classification failed, and the intents that commands imply; a null query is the request's own.
+FALLBACK = ("question_answer", "single_question", "medium", "standard", "paragraph", True, None)
 DEFAULTS = {
-    "rewrite": ("rewrite_topics", "full_book", "detailed", "standard", "mixed", True, "Full Book Rewrite"),
-    "export": ("question_answer", "selected_topics", "medium", "standard", "paragraph", True, ""),
-    "ask": ("question_answer", "single_question", "medium", "standard", "paragraph", True, ""),
+    "rewrite": ("rewrite_book", "full_book", "medium", "standard", "paragraph", False, "rewrite book"),
+    "export": ("rewrite_book", "full_book", "medium", "standard", "exam_oriented", False, "rewrite book"),
+    "ask": ("question_answer", "single_question", "medium", "standard", "paragraph", False, None),
 }
 
 
@@ -40,20 +47,25 @@ def classify_intent(text: Column) -> dict[str, Column]:
     """The default rules of classification, by keyword; each field from a closed vocabulary."""
     low = F.lower(text)
     has = lambda *words: low.rlike(r"\b(" + "|".join(words) + r")\b")
-    task = F.when(has("summary", "summarize", "summarise"), "summarize_book").when(has("revision"), "revision_notes").when(has("notes"), "study_notes").when(has("rewrite"), "rewrite_topics").otherwise("question_answer")
-    scope = F.when(has("book", "everything", "all chapters"), "full_book").when(text.contains("\n"), "multiple_questions").otherwise("single_question")
+    task = F.when(has("summary", "summarize", "summarise"), "summarize_book").when(has("revision"), "revision_notes").when(has("notes"), "study_notes").when(has("rewrite"), "rewrite_book").otherwise("question_answer")
+    whole = has("book", "everything", "all chapters")
     return {
-        "task_type": task, "scope": scope,
-        "depth": F.when(has("brief", "short"), "short").when(has("detailed", "detail"), "detailed").otherwise("medium"),
-        "language_level": F.when(has("simple", "easy"), "simple").otherwise("standard"),
-        "format_type": F.when(has("points", "bullets", "list"), "points").when(has("table"), "table").otherwise("paragraph"),
-        "allow_external_knowledge": task == "question_answer", "normalized_query": py_strip(text),
+        "task_type": task,
+        "scope": F.when(task == "question_answer", "single_question").when(whole, "full_book").otherwise("specific_topic"),
+        "depth": F.when(has("very short"), "very_short").when(has("brief", "short"), "short").when(has("detailed", "detail"), "detailed").otherwise("medium"),
+        "language_level": F.when(has("simple", "easy"), "simple").when(has("advanced"), "advanced").otherwise("standard"),
+        "format_type": F.when(has("points", "bullet", "bullets", "list"), "bullet").when(has("exam"), "exam_oriented").otherwise("paragraph"),
+        "allow_external_knowledge": F.lit(True), "normalized_query": py_strip(text),
     }
 
 
+def _given(values: tuple, text: Column) -> dict[str, Column]:
+    return {k: text if k == "normalized_query" and v is None else F.lit(v) for k, v in zip(FIELDS, values)}
+
+
 def fallback_intent(text: Column) -> dict[str, Column]:
     """What a request means when its classification failed."""
-    return {k: F.lit(v) for k, v in zip(FIELDS[:-1], DEFAULTS["ask"])} | {"normalized_query": text}
+    return _given(FALLBACK, text)
 
 
 def with_fallback(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -63,8 +75,9 @@ def with_fallback(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns({f: F.when(missing, other[f]).otherwise(F.col(f)) for f in FIELDS})
 
 
-def default_intent(kind: str) -> list[Column]:
-    return [F.lit(v).alias(f) for f, v in zip(FIELDS, DEFAULTS[kind])]
+def default_intent(kind: str, text: Column | None = None) -> dict[str, Column]:
+    """The intent of a command; `text` is the question of `ask`."""
+    return _given(DEFAULTS[kind], F.lit(None).cast("string") if text is None else text)
 
 
 def route_intent(intents: DataFrame, books: DataFrame) -> DataFrame:

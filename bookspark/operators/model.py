@@ -8,16 +8,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookspark.session import importable
+from bookspark.session import cut, importable
 
-#: Generation settings by task (temperature, most tokens); others get the first.
-SETTINGS = {"default": (0.1, 15000), "structure": (0.1, 15000), "mapping": (0.1, 15000), "consolidate": (0.1, 45000), "notes": (0.2, 30000), "answer": (0.7, 15000)}
+#: Generation settings by task (temperature, top_p, top_k, most tokens), null where the model decides; other tasks get the first.
+SETTINGS = {
+    "default": (0.1, 1.0, 1, None),
+    "structure": (0.1, None, None, 30000),
+    "mapping": (0.1, None, None, 30000),
+    "consolidate": (0.2, None, None, 45000),
+    "notes": (0.7, None, None, 30000),
+    "rewrite_node": (0.7, None, None, 30000),
+    "questions": (0.1, None, None, None),
+    "answer": (0.2, None, None, None),
+}
 
 
 def build_prompt(template: str, **slots: Column) -> Column:
     """The template with each {slot} filled once; values are never searched for slots again.
 
-    Structs, arrays and maps become JSON, booleans true and false, nulls empty.
+    Give structs, arrays and maps as JSON (to_json); booleans become true and false, nulls empty.
     """
     import re
 
@@ -27,21 +36,16 @@ def build_prompt(template: str, **slots: Column) -> Column:
     return F.concat(*parts)
 
 
-def slot(value: Column, nested: bool = False) -> Column:
-    return F.to_json(value) if nested else value.cast("string")
-
-
 def settings(spark: SparkSession) -> DataFrame:
-    rows = [(task, t, 1.0, 1, n) for task, (t, n) in SETTINGS.items()]
+    rows = [(task, *values) for task, values in SETTINGS.items()]
     return spark.createDataFrame(rows, "task string, temperature double, top_p double, top_k int, max_tokens int")
 
 
 def with_settings(prompts: DataFrame) -> DataFrame:
     """prompts(task) with their task's settings; the table is a handful of rows."""
-    own = settings(prompts.sparkSession)
-    base = SETTINGS["default"]
-    out = prompts.join(F.broadcast(own), "task", "left")
-    return out.fillna({"temperature": base[0], "top_p": 1.0, "top_k": 1, "max_tokens": base[1]})
+    known = F.coalesce(F.col("task"), F.lit("")).isin(*SETTINGS)
+    named = prompts.withColumn("__task", F.when(known, F.col("task")).otherwise("default"))
+    return named.join(F.broadcast(settings(prompts.sparkSession).withColumnRenamed("task", "__task")), "__task").drop("__task")
 
 
 def echo(prompts: list[str], config: dict) -> list[str]:
@@ -111,13 +115,16 @@ def parse_string_list(answer: Column, source: Column) -> Column:
 
 
 def retry_then_fail(prompts: DataFrame, function: Callable, good: Column, attempts: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(answered, failed): rows whose answer isn't good are tried again, up to `attempts` times."""
+    """(answered, failed): rows whose answer isn't good are tried again, up to `attempts` times.
+
+    Each attempt's answers are kept, so that a model that varies is asked once.
+    """
     left, done = prompts, None
     for k in range(attempts):
-        tried = generate(left, function, {"attempt": k + 1})
+        tried = cut(generate(left, function, {"attempt": k + 1}))
         now = tried.where(good)
         done = now if done is None else done.unionByName(now)
-        left = tried.where(~good).drop("answer", "error")
+        left = tried.where(~F.coalesce(good, F.lit(False))).drop("answer", "error")
     return done, left
 
 

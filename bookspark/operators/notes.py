@@ -11,6 +11,7 @@ from bookspark.functions import joined, py_strip
 #: Lines of a brief note; how requested depths are written.
 BRIEF = 3
 DEPTHS = {"very_short": "brief", "short": "brief", "medium": "detailed", "detailed": "detailed", "none": "none", "brief": "brief"}
+#: Fixed value: why a book is rejected.
 NO_NOTES = "No final notes generated."
 
 
@@ -39,24 +40,38 @@ def refer_to_explained(notes: DataFrame) -> DataFrame:
     return rows.groupBy("book_id", "node").agg(joined(line, F.col("pos"), "\n").alias("note"))
 
 
-def relationship_context(pairs: Column) -> Column:
-    """`a (rel), b (rel)` of an array of strings, or `None identified.`."""
-    return F.when(F.size(pairs) > 0, F.array_join(pairs, ", ")).otherwise("None identified.")
-
-
 def explained_context(titles: Column, as_list: bool = False) -> Column:
     text = F.concat(F.lit("- "), F.array_join(titles, "\n- ")) if as_list else F.array_join(titles, ", ")
     return F.when(F.size(titles) > 0, text).otherwise("None yet.")
 
 
 def already_explained(nodes: DataFrame) -> DataFrame:
-    """(book_id, ord, title, content) with explained: titles of earlier nodes that had text."""
+    """(book_id, ord, title, content) with n_explained and last_explained: how many earlier nodes had text, and the last one's title.
+
+    The titles themselves are explained_titles(); a node's are its book's first n_explained.
+    """
     before = Window.partitionBy("book_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    return nodes.withColumn("explained", F.collect_list(F.when(py_strip(F.col("content")) != "", F.col("title"))).over(before))
+    own = F.when(py_strip(F.coalesce("content", F.lit(""))) != "", F.col("title"))
+    return nodes.withColumns({"n_explained": F.count(own).over(before), "last_explained": F.last(own, True).over(before)})
+
+
+def explained_titles(nodes: DataFrame) -> DataFrame:
+    """(book_id, titles): each book's nodes that have text, in order."""
+    own = nodes.where(py_strip(F.coalesce("content", F.lit(""))) != "")
+    return own.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"]).alias("titles"))
+
+
+def rewrite_nodes(nodes: DataFrame, depth: Column) -> DataFrame:
+    """(book_id, ord, title, content) with explained, the context of earlier titles as a list, and rewritten, the default note, trimmed."""
+    counted = already_explained(nodes).join(explained_titles(nodes), "book_id", "left")
+    earlier = F.slice(F.coalesce("titles", F.expr("cast(array() as array<string>)")), F.lit(1), F.col("n_explained").cast("int"))
+    note = py_strip(write_notes(F.col("title"), F.coalesce("content", F.lit("")), depth))
+    return counted.select(*nodes.columns, explained_context(earlier, True).alias("explained"), note.alias("rewritten"))
 
 
 def strip_first_heading(text: Column) -> Column:
     """Text without its first heading line, wherever it is, trimmed."""
+    # Fixed value: the pattern of a heading line.
     return py_strip(F.regexp_replace(text, r"(?md)\A((?s:.*?))^(#+\s*.*?\n\n|\s*#+\s*.*?\n)", "$1"))
 
 
@@ -75,9 +90,10 @@ def assemble_items(answers: DataFrame) -> DataFrame:
 
 
 def terminal_format(title: Column, text: Column, width: int = 60) -> Column:
+    """Title between rules, then the text, then a rule; the title stands between spaces and a blank line ends it."""
     body = F.replace(F.replace(text, F.lit("### "), F.lit("\n--- ")), F.lit("## "), F.lit("\n\n## "))
     rule = "=" * width
-    return F.concat(F.lit(f"\n{rule}\n"), F.upper(title), F.lit(f"\n{rule}\n\n"), body, F.lit(f"\n\n{rule}\n"))
+    return F.concat(F.lit(f"\n{rule}\n "), F.upper(title), F.lit(f" \n{rule}\n\n"), body, F.lit(f"\n\n{rule}\n\n"))
 
 
 def toc(documents: DataFrame, depth: int = 3) -> DataFrame:

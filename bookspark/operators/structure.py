@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bookspark.functions import joined, norm_title, py_strip, py_words, stable_id
+from bookspark.session import cut
 
-#: A heading line has at most so many characters; levels of a tree.
-LONGEST_HEADING, DEEPEST = 120, 8
+#: Fixed value: a heading line has at most so many characters.
+LONGEST_HEADING = 120
 _TREE = "array<struct<title: string, children: string>>"
 
 
@@ -32,23 +33,28 @@ def extract_structure(lines: DataFrame) -> DataFrame:
     """
     heads = lines.withColumn("level", heading_level(F.col("line"))).where("level is not null")
     before = Window.partitionBy("book_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = {k: F.last(F.when(F.col("level") == k, F.col("line_no")), True).over(before) for k in range(1, DEEPEST)}
-    parent = F.greatest(*[F.when(F.col("level") > k, lasts[k]) for k in lasts])
+    # the place of the last heading of each level so far: levels are as few as a heading line has numbers
+    deepest = heads.agg(F.max("level")).first()[0] or 0
+    lasts = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("line_no")), True).over(before)) for k in range(1, deepest)]
+    parent = F.greatest(*lasts) if len(lasts) > 1 else lasts[0] if lasts else F.lit(None).cast(heads.schema["line_no"].dataType)
     return heads.select("book_id", "line_no", parent.alias("parent_line"), F.col("level").cast("int").alias("level"), heading_title(F.col("line")).alias("title"))
 
 
-def flatten_structure(trees: DataFrame, depth: int = DEEPEST) -> DataFrame:
-    """(book_id, structure JSON) -> nodes in preorder: ord, level, title, path, parent_path.
+def flatten_structure(trees: DataFrame) -> DataFrame:
+    """(book_id, structure JSON) -> nodes in preorder: ord, level, title, path, titles.
 
-    One explode a level, so that it works at any number of books; deeper levels than `depth` aren't read.
+    One explode a level, until no node has children, so that it works at any number of books and any depth.
     """
     level = trees.select("book_id", F.expr("cast(array() as array<int>)").alias("ord"), F.expr("cast(array() as array<string>)").alias("titles"), F.col("structure").alias("children"))
-    out = None
-    for k in range(1, depth + 1):
+    out, k = None, 0
+    while out is None or not level.isEmpty():
+        k += 1
         level = level.select("book_id", "ord", "titles", F.posexplode(F.from_json("children", _TREE)).alias("p", "n"))
         level = level.select("book_id", F.concat("ord", F.array("p")).alias("ord"), F.concat("titles", F.array("n.title")).alias("titles"), F.col("n.children").alias("children"))
+        level = cut(level)
         rows = level.select("book_id", "ord", "titles", F.lit(k).alias("level"))
         out = rows if out is None else out.unionByName(rows)
+        level = level.where("children is not null")
     return out.select("book_id", "ord", "level", F.element_at("titles", -1).alias("title"), F.array_join("titles", " > ").alias("path"), "titles")
 
 

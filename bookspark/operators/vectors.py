@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries that are compared with all vectors at a time.
-BLOCK = 1000
+#: Queries of a block that are compared at a time; decimals that count.
+TOGETHER, DIGITS = 256, 9
 
 
 def embed(documents: DataFrame, dim: int = 256, text: str = "text") -> DataFrame:
@@ -36,46 +38,69 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, d: s + d * d)
 
 
-def cosine_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, query_vector) x (vec_id, embedding) -> cosines; queries are a stated set, sent in a block."""
-    return vectors.join(F.broadcast(_bounded(queries)), how="cross").select("query_id", "vec_id", cosine(F.col("query_vector"), F.col("embedding")).alias("score"))
+def _packed(rows: DataFrame, key: str, vector: str, ids: str, matrix: str) -> DataFrame:
+    """rows(key, vector) as blocks of an Arrow batch: an array of keys and the vectors' numbers as bytes; null vectors are left out."""
+    import pandas as pd
 
+    def pack(batches):
+        import numpy as np
 
-def _bounded(queries: DataFrame) -> DataFrame:
-    n = queries.limit(BLOCK + 1).count()
-    if n > BLOCK:
-        raise ValueError(f"more than {BLOCK} queries: pass them in blocks")
-    return queries
+        for pdf in batches:
+            if len(pdf):
+                own = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+                yield pd.DataFrame({ids: [pdf[key].tolist()], matrix: [own.tobytes()]})
 
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(pack, f"{ids} array<{kind}>, {matrix} binary")
 
-def knn_l2(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, distance): the k nearest by squared distance, ties by id.
 
-    Each block of vectors keeps its own k nearest before anything is shuffled.
+def _best(queries: DataFrame, vectors: DataFrame, k: int, name: str, value: Callable, largest: bool) -> DataFrame:
+    """(query_id, rank, vec_id, name): the k best of each query, ties by id; values are rounded to DIGITS so that equal vectors tie.
+
+    A stated query set meets all vectors block by block: a task takes a block
+    of each, makes one matrix product and keeps each query's own k best.
     """
     import pandas as pd
 
-    rows = [(r["query_id"], list(r["query_vector"])) for r in _bounded(queries).collect()]
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    query_kind = queries.schema["query_id"].dataType.simpleString()
-    shared = vectors.sparkSession.sparkContext.broadcast(rows)
-
     def nearest(batches):
         import numpy as np
 
-        names = [q for q, _ in shared.value]
-        asked = np.array([v for _, v in shared.value], np.float64)
         for pdf in batches:
-            if not len(pdf) or not len(asked):
-                continue
-            ids = pdf["vec_id"].to_numpy()
-            own = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            for start in range(0, len(asked), 64):
-                d = ((own[None, :, :] - asked[start : start + 64, None, :]) ** 2).sum(axis=2)
-                for q, row in zip(names[start : start + 64], d):
-                    best = np.lexsort((ids, row))[:k]
-                    yield pd.DataFrame({"query_id": q, "vec_id": ids[best], "distance": row[best]})
-
-    found = vectors.select("vec_id", "embedding").mapInPandas(nearest, f"query_id {query_kind}, vec_id {kind}, distance double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+            for q_ids, q, v_ids, v in zip(pdf["q_ids"], pdf["q"], pdf["v_ids"], pdf["v"]):
+                v_ids, q_ids = np.asarray(v_ids), np.asarray(q_ids)
+                asked, own = np.frombuffer(q).reshape(len(q_ids), -1), np.frombuffer(v).reshape(len(v_ids), -1)
+                for at in range(0, len(asked), TOGETHER):
+                    scores = np.round(value(asked[at : at + TOGETHER], own), DIGITS)
+                    for query, row in zip(q_ids[at : at + TOGETHER], scores):
+                        order = np.lexsort((v_ids, -row if largest else row))
+                        order = order[~np.isnan(row[order])][:k]
+                        yield pd.DataFrame({"query_id": query, "vec_id": v_ids[order], name: row[order]})
+
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
+    blocks = _packed(queries, "query_id", "query_vector", "q_ids", "q").crossJoin(_packed(vectors, "vec_id", "embedding", "v_ids", "v"))
+    found = blocks.mapInPandas(nearest, f"query_id {kinds[0]}, vec_id {kinds[1]}, {name} double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(name) if largest else F.asc(name), "vec_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", name)
+
+
+def cosine_scores(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, query_vector) and (vec_id, embedding) -> (query_id, rank, vec_id, score): the k highest cosines; a zero vector has none."""
+
+    def value(asked, own):
+        import numpy as np
+
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return (asked @ own.T) / np.sqrt((asked**2).sum(1))[:, None] / np.sqrt((own**2).sum(1))[None, :]
+
+    return _best(queries, vectors, k, "score", value, True)
+
+
+def knn_l2(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, distance): the k nearest by squared distance."""
+
+    def value(asked, own):
+        import numpy as np
+
+        return np.maximum((asked**2).sum(1)[:, None] + (own**2).sum(1)[None, :] - 2 * (asked @ own.T), 0)
+
+    return _best(queries, vectors, k, "distance", value, False)

@@ -1,8 +1,10 @@
 """The registered queries of the library and, next to each, the same in DuckDB SQL.
 
-Books are document sources, files documents, pages lines of text; questions
-are the user turns of conversations; heading trees are regions, nations and
-customers. All queries read whole tables.
+A book is four documents with ids in a row, so that it is bounded; files are
+documents, pages lines of text; questions are the user turns of conversations;
+heading trees are nations and customers of a region, a thousand customers a
+book. All queries read whole tables; query sets are the rows whose id is
+divisible by 20.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from bookspark import sources
 from bookspark.functions import norm_title, py_words, stable_id
 from bookspark.operators import intents, model, notes, retrieval, store, structure, text, topics, vectors
+from bookspark.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,7 +29,7 @@ def query(sql: str | None = None, with_: str = ""):
     def add(function):
         QUERIES[function.__name__] = function
         if sql is not None:
-            SQL[function.__name__] = f"WITH {', '.join(VIEWS[v] for v in with_.split())} {sql}" if with_ else sql
+            SQL[function.__name__] = f"WITH RECURSIVE {', '.join(VIEWS[v] for v in with_.split())} {sql}" if with_ else sql
         return function
 
     return add
@@ -35,18 +38,18 @@ def query(sql: str | None = None, with_: str = ""):
 # --- the adapter ---------------------------------------------------------
 
 VIEWS = {
-    "raw": "raw AS (SELECT source AS book_id, doc_id AS file_id, unnest(range(1, len(l) + 1)) AS page_in_file, unnest(l) AS line FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))",
+    "raw": "raw AS (SELECT 'b' || CAST(doc_id // 4 AS VARCHAR) AS book_id, doc_id AS file_id, unnest(range(1, len(l) + 1)) AS page_in_file, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))",
     "pages": "pages AS (SELECT * FROM (SELECT book_id, file_id, page_in_file, CASE WHEN page_in_file % 7 = 0 THEN '' ELSE trim(line) END AS text, row_number() OVER (PARTITION BY book_id ORDER BY file_id, page_in_file) AS page_number FROM raw) WHERE text <> '')",
-    "topics": "topics AS (SELECT book_id, file_id * 1000000 + page_in_file AS ins_seq, array_to_string(list_filter(string_split(line, ' '), lambda w: w <> '')[1:4], ' ') AS topic, CASE WHEN page_in_file > 1 THEN book_id END AS subtopic, line AS raw_content, page_in_file AS source_page FROM raw WHERE trim(line) <> '')",
+    "topics": "topics AS (SELECT book_id, file_id * 1000000000 + page_in_file AS ins_seq, array_to_string(list_filter(string_split(line, ' '), lambda w: w <> '')[1:4], ' ') AS topic, CASE WHEN page_in_file > 1 THEN book_id END AS subtopic, line AS raw_content, page_in_file AS source_page FROM raw WHERE trim(line) <> '')",
     "asked": "asked AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS query_id, text AS query, 'single_question' AS scope FROM conversations WHERE role = 'user' AND text IS NOT NULL)",
     "kw": "kw AS (SELECT query_id, p AS kw_pos, w AS word FROM (SELECT query_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM (SELECT query_id, list_filter(string_split_regex(query, '\\s+'), lambda w: w <> '') AS ws FROM asked)) WHERE length(w) >= 4)",
     "names": "names AS (SELECT topic AS name FROM topics UNION SELECT subtopic FROM topics WHERE subtopic IS NOT NULL)",
     "pairs": "words AS (SELECT DISTINCT word FROM kw), pairs AS (SELECT word, name FROM words JOIN names ON contains(translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AND NOT regexp_matches(word, '[%_]') OR regexp_matches(word, '[%_]') AND translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%' || translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '%')",
-    "khits": "own AS (SELECT ins_seq, raw_content, topic AS name FROM topics UNION SELECT ins_seq, raw_content, subtopic FROM topics WHERE subtopic IS NOT NULL), wh AS (SELECT word, raw_content, min(ins_seq) AS ins_seq FROM pairs JOIN own USING (name) GROUP BY word, raw_content), wf AS (SELECT word, raw_content, ins_seq FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY ins_seq) AS k FROM wh) WHERE k <= 20), khits AS (SELECT query_id, kw_pos, ins_seq, raw_content FROM kw JOIN wf USING (word))",
-    "seen": "seen AS (SELECT query_id, raw_content, min(kw_pos) AS kw_pos, arg_min(ins_seq, kw_pos * 1000000000000000 + ins_seq) AS ins_seq FROM khits GROUP BY query_id, raw_content)",
+    "khits": "own AS (SELECT ins_seq, raw_content, topic AS name FROM topics UNION SELECT ins_seq, raw_content, subtopic FROM topics WHERE subtopic IS NOT NULL), wh AS (SELECT DISTINCT word, ins_seq, raw_content FROM pairs JOIN own USING (name)), khits AS (SELECT query_id, kw_pos, ins_seq, raw_content FROM kw JOIN wh USING (word))",
+    "seen": "seen AS (SELECT query_id, raw_content, min(kw_pos) AS kw_pos, arg_min(ins_seq, CAST(kw_pos AS HUGEINT) * 1000000000000000000 + ins_seq) AS ins_seq FROM khits GROUP BY query_id, raw_content)",
     "got": "got AS (SELECT query_id, rank, raw_content FROM (SELECT query_id, raw_content, row_number() OVER (PARTITION BY query_id ORDER BY kw_pos, ins_seq) AS rank, query FROM seen JOIN asked USING (query_id)) WHERE rank <= CASE WHEN length(query) > 100 OR contains(query, chr(10)) THEN 20 ELSE 10 END)",
     "gap": "gap AS (SELECT query_id, CAST(coalesce(n, 0) AS INTEGER) AS n_chunks, coalesce(c, 0) AS n_chars, coalesce(n, 0) = 0 OR coalesce(c, 0) < 300 AS knowledge_gap FROM asked LEFT JOIN (SELECT query_id, count(*) AS n, CAST(sum(length(raw_content)) AS BIGINT) AS c FROM got GROUP BY query_id) USING (query_id))",
-    "nodes": "nodes AS (SELECT r_name AS book_id, [CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS INTEGER)] AS ord, 1 AS level, n_name AS title, n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey), leaves AS (SELECT book_id, list_append(ord, CAST(row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) - 1 AS INTEGER)) AS ord, 2 AS level, c_name AS title, n_name || ' > ' || c_name AS path, c_custkey, c_acctbal FROM nodes JOIN nation ON nodes.title = n_name JOIN customer ON c_nationkey = n_nationkey), tree AS (SELECT book_id, ord, level, title, path FROM nodes UNION ALL SELECT book_id, ord, level, title, path FROM leaves)",
+    "nodes": "cust AS (SELECT r_name || ':' || CAST(c_custkey // 1000 AS VARCHAR) AS book_id, n_name, c_custkey, c_name, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), nodes AS (SELECT book_id, [CAST(row_number() OVER (PARTITION BY book_id ORDER BY n_name) - 1 AS INTEGER)] AS ord, 1 AS level, n_name AS title, n_name AS path FROM (SELECT DISTINCT book_id, n_name FROM cust)), leaves AS (SELECT book_id, list_append(ord, CAST(row_number() OVER (PARTITION BY book_id, n_name ORDER BY c_custkey) - 1 AS INTEGER)) AS ord, 2 AS level, c_name AS title, n_name || ' > ' || c_name AS path, c_custkey, c_acctbal FROM nodes JOIN cust USING (book_id) WHERE nodes.title = n_name), tree AS (SELECT book_id, ord, level, title, path FROM nodes UNION ALL SELECT book_id, ord, level, title, path FROM leaves)",
     "freq": "freq AS (SELECT book_id, topic, count(*) AS frequency_count FROM topics GROUP BY book_id, topic)",
 }
 
@@ -57,7 +60,8 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def raw_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "documents").where("text is not null")
-    return rows.select(F.col("source").alias("book_id"), F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("page_in_file", F.col("p") + 1).drop("p")
+    book = F.concat(F.lit("b"), F.floor(F.col("doc_id") / 4).cast("string"))
+    return rows.select(book.alias("book_id"), F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("page_in_file", F.col("p") + 1).drop("p")
 
 
 def raw_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +75,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 def topic_table(spark: SparkSession, d: str) -> DataFrame:
     rows = raw_lines(spark, d).where(F.trim("line") != "")
-    seq = F.col("file_id") * 1000000 + F.col("page_in_file")
+    seq = F.col("file_id") * 1000000000 + F.col("page_in_file")
     return rows.select("book_id", seq.alias("ins_seq"), F.array_join(F.slice(py_words(F.col("line")), 1, 4), " ").alias("topic"), F.when(F.col("page_in_file") > 1, F.col("book_id")).alias("subtopic"), F.col("line").alias("raw_content"), F.col("page_in_file").alias("source_page"))
 
 
@@ -80,18 +84,22 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"), F.lit("single_question").alias("scope"))
 
 
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with nation, region and book_id: a region's customers, a thousand ids at a time."""
+    c = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return c.withColumn("book_id", F.concat_ws(":", "r_name", F.floor(F.col("c_custkey") / 1000).cast("string")))
+
+
 def trees(spark: SparkSession, d: str) -> DataFrame:
-    """(book_id, structure): regions as books; nations and their customers as headings."""
-    nation, region, customer = (_t(spark, d, t) for t in ("nation", "region", "customer"))
+    """(book_id, structure): nations and their customers as headings."""
     leaf = F.array_sort(F.collect_list(F.struct("c_custkey", F.struct(F.col("c_name").alias("title")).alias("n"))))
-    inner = customer.groupBy("c_nationkey").agg(F.transform(leaf, lambda x: x["n"]).alias("children"))
-    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).join(inner, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    inner = customers(spark, d).groupBy("book_id", "n_name").agg(F.transform(leaf, lambda x: x["n"]).alias("children"))
     own = F.array_sort(F.collect_list(F.struct("n_name", F.struct(F.col("n_name").alias("title"), "children").alias("n"))))
-    return rows.groupBy(F.col("r_name").alias("book_id")).agg(F.to_json(F.transform(own, lambda x: x["n"])).alias("structure"))
+    return inner.groupBy("book_id").agg(F.to_json(F.transform(own, lambda x: x["n"])).alias("structure"))
 
 
 def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return structure.flatten_structure(trees(spark, d), 2)
+    return structure.flatten_structure(trees(spark, d))
 
 
 def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +107,8 @@ def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def got(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.limit_per_query(retrieval.first_seen_distinct(keyword_hits(spark, d)), asked(spark, d))
+    found = retrieval.search_by_keywords(asked(spark, d), topic_table(spark, d), retrieval.LONG_LIMIT)
+    return retrieval.limit_per_query(retrieval.first_seen_distinct(found), asked(spark, d))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -167,21 +176,17 @@ def s08_write_embeddings(spark, d):
 
 def _folder(spark: SparkSession) -> str:
     """A new folder for what a sink writes, in the shared one."""
-    import tempfile
     import uuid
 
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='bookspark-')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 # --- Q: stored knowledge -------------------------------------------------
 
 
-@query("SELECT book_id, count(*) AS pages FROM pages WHERE book_id = 'src3' GROUP BY book_id", "raw pages")
+@query("SELECT book_id, count(*) AS pages FROM pages WHERE book_id = 'b3' GROUP BY book_id", "raw pages")
 def q01_get_book_by_id(spark, d):
-    return store.book_by_id(pages(spark, d).groupBy("book_id").agg(F.count("*").alias("pages")), "src3")
+    return store.book_by_id(pages(spark, d).groupBy("book_id").agg(F.count("*").alias("pages")), "b3")
 
 
 @query("SELECT book_id, count(*) AS pages FROM pages GROUP BY book_id", "raw pages")
@@ -189,9 +194,9 @@ def q02_list_all_books(spark, d):
     return pages(spark, d).groupBy("book_id").agg(F.count("*").alias("pages"))
 
 
-@query("SELECT ins_seq, topic, subtopic, raw_content FROM topics WHERE book_id = 'src3'", "raw topics")
+@query("SELECT ins_seq, topic, subtopic, raw_content FROM topics WHERE book_id = 'b3'", "raw topics")
 def q03_get_topics_by_book(spark, d):
-    return store.topics_by_book(topic_table(spark, d), "src3").select("ins_seq", "topic", "subtopic", "raw_content")
+    return store.topics_by_book(topic_table(spark, d), "b3").select("ins_seq", "topic", "subtopic", "raw_content")
 
 
 @query("SELECT book_id, ins_seq, topic, subtopic, raw_content FROM topics", "raw topics")
@@ -223,10 +228,11 @@ def t03_full_text(spark, d):
     return text.full_text(pages(spark, d))
 
 
-@query("SELECT book_id, left(string_agg(text, chr(10) || chr(10) ORDER BY page_number), 50000) AS head FROM pages WHERE book_id NOT LIKE '%1' GROUP BY book_id", "raw pages")
+@query("SELECT book_id, left(string_agg(text, chr(10) || chr(10) ORDER BY page_number), 50000) AS head, CASE WHEN book_id LIKE '%2' THEN 'Could not extract the book''s structure.' END AS reason FROM pages WHERE book_id NOT LIKE '%1' GROUP BY book_id", "raw pages")
 def t04_fallback_head(spark, d):
     p = pages(spark, d)
-    return text.fallback_head(text.full_text(p), p.where("book_id like '%1'"))
+    heads = text.fallback_head(p, p.where("book_id like '%1'"))
+    return heads.join(text.rejected(heads, heads.where("book_id not like '%2'")), "book_id", "left").select("book_id", "head", "reason")
 
 
 ITEMS = "items AS (SELECT query_id AS request_id, unnest(l) AS item, unnest(range(0, len(l))) AS item_pos FROM (SELECT query_id, CASE WHEN contains(query, chr(10)) THEN list_filter(list_transform(string_split(query, chr(10)), lambda x: trim(x)), lambda x: x <> '') WHEN contains(query, ',') THEN list_filter(list_transform(string_split(query, ','), lambda x: trim(x)), lambda x: x <> '') ELSE [trim(query)] END AS l FROM asked))"
@@ -244,10 +250,10 @@ def t06_context_snippet(spark, d):
     return rows.select("query_id", text.context_snippet(F.col("chunks")).alias("snippet"))
 
 
-@query("SELECT query_id, 'Answer for ' || left(query, 30) AS answer, replace('Answer for ' || left(query, 30), ' ', '_') || '.docx' AS file FROM asked", "asked")
+@query("SELECT query_id, 'Answer for ' || left(query, 30) AS answer, replace('Answer for ' || left(query, 30), ' ', '_') || '.docx' AS file, 'Exported Content: ' || left(l[1], 20) || '...' AS export, 'Rewritten Topics: ' || array_to_string(l[1:3], ', ') AS rewrite FROM asked JOIN (SELECT request_id AS query_id, list(item ORDER BY item_pos) AS l FROM items GROUP BY request_id) USING (query_id)", "asked items")
 def t07_short_title(spark, d):
-    title = text.answer_title(F.col("query"))
-    return asked(spark, d).select("query_id", title.alias("answer"), text.file_name(title).alias("file"))
+    title, items = text.answer_title(F.col("query")), text.split_items(F.col("query"))
+    return asked(spark, d).select("query_id", title.alias("answer"), text.file_name(title).alias("file"), text.export_title(items).alias("export"), text.rewrite_title(items).alias("rewrite"))
 
 
 # --- R: retrieval --------------------------------------------------------
@@ -255,9 +261,9 @@ def t07_short_title(spark, d):
 R_ALL = "raw topics asked kw names pairs khits seen got"
 
 
-@query("SELECT q.query_id, t.ins_seq FROM (SELECT CAST(ins_seq AS VARCHAR) AS query_id, translate(left(topic, 6), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM topics WHERE ins_seq % 997 = 1) q JOIN (SELECT *, translate(topic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS a, translate(subtopic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b FROM topics) t ON t.a LIKE '%' || q.w || '%' OR coalesce(t.b LIKE '%' || q.w || '%', false)", "raw topics")
+@query("SELECT q.query_id, t.ins_seq FROM (SELECT CAST(ins_seq AS VARCHAR) AS query_id, translate(left(topic, 6), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM topics WHERE ins_seq % 20 = 0) q JOIN (SELECT *, translate(topic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS a, translate(subtopic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b FROM topics) t ON t.a LIKE '%' || q.w || '%' OR coalesce(t.b LIKE '%' || q.w || '%', false)", "raw topics")
 def r01_search_topics(spark, d):
-    q = topic_table(spark, d).where("ins_seq % 997 = 1").select(F.col("ins_seq").cast("string").alias("query_id"), F.substring("topic", 1, 6).alias("query"))
+    q = topic_table(spark, d).where("ins_seq % 20 = 0").select(F.col("ins_seq").cast("string").alias("query_id"), F.substring("topic", 1, 6).alias("query"))
     return retrieval.search_topics(q, topic_table(spark, d)).select("query_id", "ins_seq")
 
 
@@ -266,10 +272,11 @@ def r02_search_by_keywords(spark, d):
     return keyword_hits(spark, d).select("query_id", F.col("kw_pos").cast("long").alias("kw_pos"), "ins_seq")
 
 
-@query("SELECT query_id, kw_pos, ins_seq FROM khits WHERE NOT starts_with(query_id, '1') UNION ALL SELECT query_id, -1, ins_seq FROM asked, topics WHERE query_id = '1:0'", "raw topics asked kw names pairs khits")
+@query("SELECT query_id, kw_pos, ins_seq FROM khits WHERE query_id NOT LIKE '%0:%' UNION ALL SELECT query_id, -1, ins_seq FROM asked JOIN topics ON book_id = 'b' || split_part(query_id, ':', 1) WHERE query_id LIKE '%0:%'", "raw topics asked kw names pairs khits")
 def r03_route_scope(spark, d):
-    q = asked(spark, d)
-    q = q.where("query_id = '1:0' or not startswith(query_id, '1')").withColumn("scope", F.when(F.col("query_id") == "1:0", "full_book").otherwise(F.col("scope")))
+    """Conversations whose id ends in 0 ask for the whole book of that number."""
+    q = asked(spark, d).withColumn("scope", F.when(F.col("query_id").like("%0:%"), "full_book").otherwise(F.col("scope")))
+    q = q.withColumn("book_id", F.concat(F.lit("b"), F.split_part("query_id", F.lit(":"), F.lit(1))))
     return retrieval.hits(q, topic_table(spark, d)).select("query_id", F.col("kw_pos").cast("long").alias("kw_pos"), "ins_seq")
 
 
@@ -298,10 +305,18 @@ def r08_answer_context(spark, d):
     return retrieval.answer_context(got(spark, d), asked(spark, d))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS query_id, string_agg(text, chr(10) ORDER BY turn) AS query, 'multiple_questions' AS scope FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id")
+LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+VIEWS["papers"] = "papers AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, string_agg(text, chr(10) ORDER BY turn) AS query FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id)"
+#: retrieve() of {0}(query_id, query): by the whole query, else by its keywords; as rows of `got_all` with rank.
+RETRIEVED = f"own AS (SELECT ins_seq, raw_content, topic AS name FROM topics UNION SELECT ins_seq, raw_content, subtopic FROM topics WHERE subtopic IS NOT NULL), direct AS (SELECT DISTINCT query_id, -1 AS kw_pos, ins_seq, raw_content FROM {{0}} JOIN own ON contains({LOW.format('name')}, {LOW.format('query')}) AND NOT regexp_matches(query, '[%_]')), rkw AS (SELECT query_id, p AS kw_pos, w AS word FROM (SELECT query_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM (SELECT query_id, list_filter(string_split_regex(query, '\\s+'), lambda w: w <> '') AS ws FROM {{0}} WHERE query_id NOT IN (SELECT query_id FROM direct))) WHERE length(w) >= 4), rnames AS (SELECT DISTINCT name FROM own), rpairs AS (SELECT word, name FROM (SELECT DISTINCT word FROM rkw) JOIN rnames ON contains({LOW.format('name')}, {LOW.format('word')}) AND NOT regexp_matches(word, '[%_]')), every AS (SELECT * FROM direct UNION ALL SELECT DISTINCT query_id, kw_pos, ins_seq, raw_content FROM rkw JOIN rpairs USING (word) JOIN own USING (name)), distinct_ones AS (SELECT query_id, raw_content, min((kw_pos, ins_seq)) AS place FROM every GROUP BY query_id, raw_content), got_all AS (SELECT query_id, rank, raw_content, query FROM (SELECT query_id, raw_content, query, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM distinct_ones JOIN {{0}} USING (query_id)) WHERE rank <= CASE WHEN length(query) > 100 OR contains(query, chr(10)) THEN 20 ELSE 10 END)"
+VIEWS["got_papers"] = RETRIEVED.format("papers")
+
+
+@query("SELECT query_id, CAST(rank AS INTEGER) AS rank, raw_content FROM got_all", "raw topics papers got_papers")
 def r09_paper_retrieval(spark, d):
     rows = _t(spark, d, "conversations").where("role = 'user' and text is not null")
-    return retrieval.paper_queries(rows.select(F.col("conv_id").cast("string").alias("paper_id"), F.col("turn").alias("pos"), F.col("text").alias("question")))
+    papers = retrieval.paper_queries(rows.select(F.col("conv_id").cast("string").alias("paper_id"), F.col("turn").alias("pos"), F.col("text").alias("question")))
+    return retrieval.retrieve(papers, topic_table(spark, d))
 
 
 LASTS = "lw AS (SELECT query_id, ws[-1] AS l, ws[1] AS f FROM (SELECT query_id, list_filter(string_split_regex(query, '\\s+'), lambda w: w <> '') AS ws FROM asked) WHERE len(ws) > 0), tl AS (SELECT *, translate(topic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS a, translate(subtopic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b FROM topics), hit1 AS (SELECT query_id, ins_seq FROM (SELECT query_id, translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM lw) JOIN tl ON contains(a, w) OR coalesce(contains(b, w), false)), hit2 AS (SELECT query_id, ins_seq FROM (SELECT query_id, translate(f, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM lw WHERE query_id NOT IN (SELECT query_id FROM hit1)) JOIN tl ON contains(a, w) OR coalesce(contains(b, w), false))"
@@ -313,15 +328,20 @@ def r10_last_word_retrieval(spark, d):
     return retrieval.last_word_retrieval(asked(spark, d), topic_table(spark, d)).select("query_id", "rank", "ins_seq")
 
 
-@query("SELECT book_id AS query_id, string_agg('TOPIC: ' || topic || chr(10) || 'CONTENT: ' || raw_content || chr(10), chr(10) || '---' || chr(10) ORDER BY ins_seq) AS context FROM topics GROUP BY book_id", "raw topics")
+@query("SELECT book_id AS query_id, string_agg('TOPIC: ' || topic || chr(10) || 'CONTENT: ' || raw_content || chr(10) || CASE WHEN subtopic IS NOT NULL THEN 'KEY POINTS:' || chr(10) || '- ' || subtopic || chr(10) || '- ' || topic ELSE '' END, chr(10) || '---' || chr(10) ORDER BY ins_seq) AS context FROM topics GROUP BY book_id", "raw topics")
 def r11_labelled_context(spark, d):
-    rows = topic_table(spark, d).select(F.col("book_id").alias("query_id"), F.col("ins_seq").alias("rank"), "topic", "raw_content", F.expr("cast(array() as array<string>)").alias("key_points"))
+    rows = topic_table(spark, d).select(F.col("book_id").alias("query_id"), F.col("ins_seq").alias("rank"), "topic", "raw_content", F.when(F.col("subtopic").isNotNull(), F.array("subtopic", "topic")).otherwise(F.expr("cast(array() as array<string>)")).alias("key_points"))
     return retrieval.labelled_context(rows)
 
 
-@query("SELECT request_id || ':' || CAST(item_pos AS VARCHAR) AS query_id, request_id, CAST(item_pos AS INTEGER) AS item_pos, item AS query, 'single_question' AS scope FROM items", "asked items")
+VIEWS["wanted"] = "wanted AS (SELECT request_id || ':' || CAST(item_pos AS VARCHAR) AS query_id, item AS query FROM items)"
+VIEWS["got_items"] = RETRIEVED.format("wanted")
+
+
+@query("SELECT query_id, CAST(rank AS INTEGER) AS rank, raw_content FROM got_all", "raw topics asked items wanted got_items")
 def r12_per_item_retrieval(spark, d):
-    return retrieval.item_queries(asked(spark, d).select(F.col("query_id").alias("request_id"), F.col("query").alias("text")))
+    items = retrieval.item_queries(asked(spark, d).select(F.col("query_id").alias("request_id"), F.col("query").alias("text")))
+    return retrieval.retrieve(items, topic_table(spark, d))
 
 
 @query("SELECT query_id, CASE WHEN knowledge_gap AND contains(query, ',') THEN 'The provided material does not contain sufficient information.' ELSE '## ' || query || chr(10) || chr(10) || coalesce(p, '') END AS answer FROM asked JOIN gap USING (query_id) LEFT JOIN (SELECT query_id, string_agg(CAST(rank AS VARCHAR) || '. ' || raw_content, chr(10) ORDER BY rank) AS p FROM got GROUP BY query_id) USING (query_id)", R_ALL + " gap")
@@ -354,16 +374,16 @@ def c01_flatten_structure(spark, d):
     return tree_nodes(spark, d).select("book_id", F.array_join(F.col("ord").cast("array<string>"), ".").alias("ord"), "level", "title", "path")
 
 
-@query("SELECT ins_seq, lower(regexp_replace(trim(topic), '^((\\d+\\.)+|\\w+\\.)\\s*', '')) AS norm FROM topics WHERE NOT regexp_matches(topic, '[^\\x00-\\x7F]')", "raw topics")
+@query("SELECT ins_seq, lower(regexp_replace(trim(topic), '^((\\d+\\.)+|[\\p{L}\\p{N}_]+\\.)\\s*', '')) AS norm FROM topics", "raw topics")
 def c02_norm_title(spark, d):
-    return topic_table(spark, d).where(r"not topic rlike '[^\\x00-\\x7F]'").select("ins_seq", norm_title(F.col("topic")).alias("norm"))
+    return topic_table(spark, d).select("ins_seq", norm_title(F.col("topic")).alias("norm"))
 
 
 def tree_mappings(spark, d):
     """Each customer maps its balance to its heading, by a path in other case and numbering; some lead nowhere."""
-    c = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = customers(spark, d)
     path = F.concat(F.lit("1. "), F.lower("n_name"), F.lit(" > "), F.upper("c_name"), F.when(F.col("c_custkey") % 10 == 0, " x").otherwise(""))
-    return c.select(F.col("r_name").alias("book_id"), path.alias("title"), (F.col("c_custkey") % 7).cast("int").alias("unit_no"), F.col("c_custkey").alias("map_pos"), F.concat(F.lit("Balance "), F.col("c_custkey").cast("string"), F.lit(".")).alias("source_text"))
+    return c.select("book_id", path.alias("title"), (F.col("c_custkey") % 7).cast("int").alias("unit_no"), F.col("c_custkey").alias("map_pos"), F.concat(F.lit("Balance "), F.col("c_custkey").cast("string"), F.lit(".")).alias("source_text"))
 
 
 def resolved(spark, d):
@@ -387,10 +407,10 @@ def c04a_map_by_position(spark, d):
     return structure.map_by_position(lines, structure.extract_structure(lines))
 
 
-@query("SELECT DISTINCT t.book_id, t.ins_seq AS s_id, q.title FROM topics t JOIN (SELECT DISTINCT book_id, topic AS title FROM topics WHERE ins_seq % 97 = 1) q ON t.book_id = q.book_id AND contains(lower(t.raw_content), lower(q.title)) AND len(list_intersect(list_distinct(list_filter(string_split_regex(lower(regexp_replace(t.raw_content, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' +'), lambda w: w <> '')), list_filter(string_split_regex(lower(regexp_replace(q.title, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' +'), lambda w: w <> ''))) = len(list_distinct(list_filter(string_split_regex(lower(regexp_replace(q.title, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' +'), lambda w: w <> '')))", "raw topics")
+@query("SELECT DISTINCT t.book_id, t.ins_seq AS s_id, q.title FROM topics t JOIN (SELECT DISTINCT book_id, topic AS title FROM topics) q ON t.book_id = q.book_id AND contains(lower(t.raw_content), lower(q.title)) AND len(list_intersect(list_distinct(list_filter(string_split_regex(lower(regexp_replace(t.raw_content, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' +'), lambda w: w <> '')), list_filter(string_split_regex(lower(regexp_replace(q.title, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' +'), lambda w: w <> ''))) = len(list_distinct(list_filter(string_split_regex(lower(regexp_replace(q.title, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' +'), lambda w: w <> '')))", "raw topics")
 def c04b_map_by_mention(spark, d):
     t = topic_table(spark, d)
-    titles = t.where("ins_seq % 97 = 1").select("book_id", F.col("topic").alias("title")).distinct()
+    titles = t.select("book_id", F.col("topic").alias("title")).distinct()
     return structure.map_by_mention(t.select("book_id", F.col("ins_seq").alias("s_id"), F.col("raw_content").alias("sentence")), titles).select("book_id", "s_id", "title")
 
 
@@ -411,24 +431,27 @@ def c06_consolidate(spark, d):
 
 def noted(spark, d):
     """A node a line of a book, its content the line; every fifth is blank."""
-    t = topic_table(spark, d).where("source_page <= 40")
+    t = topic_table(spark, d)
     return t.select("book_id", F.col("ins_seq").alias("ord"), (F.col("source_page") % 3 + 1).cast("int").alias("level"), F.col("topic").alias("title"), F.when(F.col("ins_seq") % 5 == 0, "").otherwise(F.col("raw_content")).alias("content"))
 
 
-VIEWS["noted"] = "noted AS (SELECT book_id, ins_seq AS ord, source_page % 3 + 1 AS level, topic AS title, CASE WHEN ins_seq % 5 = 0 THEN '' ELSE raw_content END AS content FROM topics WHERE source_page <= 40)"
+VIEWS["noted"] = "noted AS (SELECT book_id, ins_seq AS ord, source_page % 3 + 1 AS level, topic AS title, CASE WHEN ins_seq % 5 = 0 THEN '' ELSE raw_content END AS content FROM topics)"
 _S = "list_filter(list_transform(string_split_regex(replace(replace(replace(content, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)), chr(10) || '+'), lambda x: trim(x)), lambda x: x <> '')"
 
 
-@query(f"SELECT ord, CASE WHEN len(s) = 0 THEN '' WHEN ord % 3 = 0 THEN '- ' || title WHEN ord % 3 = 1 THEN '- ' || array_to_string(s[1:3], chr(10) || '- ') ELSE '- ' || array_to_string(s, chr(10) || '- ') END AS note FROM (SELECT ord, title, {_S} AS s FROM noted)", "raw topics noted")
+VIEWS["written"] = f"written AS (SELECT book_id, ord, title, CASE WHEN len(s) = 0 THEN '' WHEN ord % 3 = 0 THEN '- ' || title WHEN ord % 3 = 1 THEN '- ' || array_to_string(s[1:3], chr(10) || '- ') ELSE '- ' || array_to_string(s, chr(10) || '- ') END AS note FROM (SELECT book_id, ord, title, {_S} AS s FROM noted))"
+
+
+@query("SELECT ord, string_agg(CASE WHEN first < ord THEN '- See [' || name || '] for details' ELSE bullet END, chr(10) ORDER BY p) AS note FROM (SELECT book_id, ord, unnest(l) AS bullet, unnest(range(0, len(l))) AS p FROM (SELECT book_id, ord, string_split(note, chr(10)) AS l FROM written)) b LEFT JOIN (SELECT book_id, lower(title) AS k, min(ord) AS first, arg_min(title, ord) AS name FROM written WHERE note <> '' GROUP BY book_id, lower(title)) f ON b.book_id = f.book_id AND lower(regexp_replace(bullet, '^- |\\.$', '', 'g')) = f.k GROUP BY ord", "raw topics noted written")
 def w01_write_notes(spark, d):
     depth = F.element_at(F.array(F.lit("none"), F.lit("short"), F.lit("detailed")), (F.col("ord") % 3 + 1).cast("int"))
-    return noted(spark, d).select("ord", notes.write_notes(F.col("title"), F.col("content"), depth).alias("note"))
+    out = noted(spark, d).select("book_id", F.col("ord").alias("node"), "ord", "title", notes.write_notes(F.col("title"), F.col("content"), depth).alias("note"))
+    return notes.refer_to_explained(out).select(F.col("node").alias("ord"), "note")
 
 
 @query("SELECT ord, count(*) FILTER (WHERE trim(content) <> '') OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n, last_value(CASE WHEN trim(content) <> '' THEN title END IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM noted", "raw topics noted")
 def w02_already_explained(spark, d):
-    out = notes.already_explained(noted(spark, d))
-    return out.select("ord", F.size("explained").cast("long").alias("n"), F.try_element_at("explained", F.lit(-1)).alias("latest"))
+    return notes.already_explained(noted(spark, d)).select("ord", F.col("n_explained").alias("n"), F.col("last_explained").alias("latest"))
 
 
 @query("SELECT ord, trim(content) AS text FROM noted WHERE content <> ''", "raw topics noted")
@@ -448,24 +471,21 @@ def w05_assemble_items(spark, d):
     return notes.assemble_items(rows)
 
 
-@query("SELECT query_id, chr(10) || repeat('=', 60) || chr(10) || upper(query_id) || chr(10) || repeat('=', 60) || chr(10) || chr(10) || replace(replace('## ' || query || chr(10) || '### x', '### ', chr(10) || '--- '), '## ', chr(10) || chr(10) || '## ') || chr(10) || chr(10) || repeat('=', 60) || chr(10) AS shown FROM asked", "asked")
+@query("SELECT query_id, chr(10) || repeat('=', 60) || chr(10) || ' ' || upper(query_id) || ' ' || chr(10) || repeat('=', 60) || chr(10) || chr(10) || replace(replace('## ' || query || chr(10) || '### x', '### ', chr(10) || '--- '), '## ', chr(10) || chr(10) || '## ') || chr(10) || chr(10) || repeat('=', 60) || chr(10) || chr(10) AS shown FROM asked", "asked")
 def w06_terminal_format(spark, d):
     return asked(spark, d).select("query_id", notes.terminal_format(F.col("query_id"), F.concat(F.lit("## "), "query", F.lit("\n### x"))).alias("shown"))
 
 
-@query("SELECT book_id, count(*) AS n, CAST(sum(level) AS BIGINT) AS levels FROM noted WHERE trim(content) <> '' AND level <= 2 GROUP BY book_id", "raw topics noted")
+@query("SELECT book_id, CAST(level AS INTEGER) AS level, title, count(*) AS n FROM noted WHERE trim(content) <> '' AND level <= 2 GROUP BY book_id, level, title", "raw topics noted")
 def w07_toc(spark, d):
     out = notes.toc(notes.assemble_book(noted(spark, d))[0], 2)
-    return out.groupBy("book_id").agg(F.count("*").alias("n"), F.sum("level").alias("levels"))
+    return out.groupBy("book_id", "level", "title").agg(F.count("*").alias("n"))
 
 
-@query("SELECT ord, CASE WHEN n > 0 THEN '- ' || s ELSE 'None yet.' END AS explained FROM (SELECT a.ord, count(b.ord) AS n, string_agg(b.title, chr(10) || '- ' ORDER BY b.ord) AS s FROM noted a LEFT JOIN noted b ON a.book_id = b.book_id AND b.ord < a.ord AND b.ord >= a.ord - 3 AND trim(b.content) <> '' GROUP BY a.ord)", "raw topics noted")
+@query("SELECT ord, CASE WHEN n > 0 THEN '- ' || s ELSE 'None yet.' END AS explained, note AS rewritten FROM written JOIN (SELECT a.ord, count(b.ord) AS n, string_agg(b.title, chr(10) || '- ' ORDER BY b.ord) AS s FROM noted a LEFT JOIN noted b ON a.book_id = b.book_id AND b.ord < a.ord AND trim(b.content) <> '' GROUP BY a.ord) USING (ord)", "raw topics noted written")
 def w08_rewrite_node(spark, d):
-    from pyspark.sql.window import Window
-
-    near = Window.partitionBy("book_id").orderBy("ord").rangeBetween(-3, -1)
-    rows = noted(spark, d).withColumn("e", F.collect_list(F.when(F.trim("content") != "", F.col("title"))).over(near))
-    return rows.select("ord", notes.explained_context(F.col("e"), True).alias("explained"))
+    depth = F.element_at(F.array(F.lit("none"), F.lit("short"), F.lit("detailed")), (F.col("ord") % 3 + 1).cast("int"))
+    return notes.rewrite_nodes(noted(spark, d), depth).select("ord", "explained", "rewritten")
 
 
 # --- I: intents ----------------------------------------------------------
@@ -489,21 +509,41 @@ def i02_is_ingest_request(spark, d):
     return intents.ingest_requests(rows, rows.select(F.lit("y.pdf").alias("path"))).select("url", "is_ingest")
 
 
-@query("SELECT query_id, CASE WHEN contains(query, chr(10)) THEN 'multiple_questions' ELSE 'single_question' END AS scope, 'question_answer' AS task_type FROM asked", "asked")
+#: Phrases before the questions, and the (task, scope, depth, level, format) that they mean.
+_PHRASES = (
+    ("", "question_answer", "single_question", "medium", "standard", "paragraph"),
+    ("Summary of the book: ", "summarize_book", "full_book", "medium", "standard", "paragraph"),
+    ("Detailed study notes in bullets on ", "study_notes", "specific_topic", "detailed", "standard", "bullet"),
+    ("Short revision notes for the exam, ", "revision_notes", "specific_topic", "short", "standard", "exam_oriented"),
+    ("REWRITE everything in a simple way ", "rewrite_book", "full_book", "medium", "simple", "paragraph"),
+    ("A very short, advanced list ", "question_answer", "single_question", "very_short", "advanced", "bullet"),
+)
+
+
+def _phrased(k):
+    """The k-th of the phrases' values, by the length of the question, in SQL."""
+    cases = " ".join(f"WHEN {n} THEN '{row[k]}'" for n, row in enumerate(_PHRASES))
+    return f"CASE length(query) % {len(_PHRASES)} {cases} END"
+
+
+@query(f"SELECT query_id, {_phrased(1)} AS task_type, {_phrased(2)} AS scope, {_phrased(3)} AS depth, {_phrased(4)} AS language_level, {_phrased(5)} AS format_type, true AS allow_external_knowledge, {_phrased(0)} || query AS normalized_query FROM asked", "asked")
 def i03_classify_intent(spark, d):
-    c = intents.classify_intent(F.col("query"))
-    return asked(spark, d).select("query_id", c["scope"].alias("scope"), c["task_type"].alias("task_type"))
+    phrase = F.get(F.array(*[F.lit(row[0]) for row in _PHRASES]), F.length("query") % len(_PHRASES))
+    c = intents.classify_intent(F.concat(phrase, "query"))
+    return asked(spark, d).select("query_id", *[c[f].alias(f) for f in intents.FIELDS])
 
 
-@query("SELECT query_id, 'question_answer' AS task_type, 'single_question' AS scope, true AS allow_external_knowledge, query AS normalized_query FROM asked", "asked")
+@query("SELECT query_id, 'question_answer' AS task_type, 'single_question' AS scope, 'medium' AS depth, 'standard' AS language_level, 'paragraph' AS format_type, true AS allow_external_knowledge, query AS normalized_query FROM asked", "asked")
 def i04_fallback_intent(spark, d):
     rows = asked(spark, d).select("query_id", F.col("query").alias("text"), *[F.lit(None).cast("boolean" if f.startswith("allow") else "string").alias(f) for f in intents.FIELDS])
-    return intents.with_fallback(rows).select("query_id", "task_type", "scope", "allow_external_knowledge", "normalized_query")
+    return intents.with_fallback(rows).select("query_id", *intents.FIELDS)
 
 
-@query("SELECT query_id, 'rewrite_topics' AS task_type, 'full_book' AS scope, 'detailed' AS depth FROM asked", "asked")
+@query("SELECT query_id, CASE WHEN length(query) % 3 = 2 THEN 'question_answer' ELSE 'rewrite_book' END AS task_type, CASE WHEN length(query) % 3 = 2 THEN 'single_question' ELSE 'full_book' END AS scope, 'medium' AS depth, 'standard' AS language_level, CASE WHEN length(query) % 3 = 1 THEN 'exam_oriented' ELSE 'paragraph' END AS format_type, false AS allow_external_knowledge, CASE WHEN length(query) % 3 = 2 THEN query ELSE 'rewrite book' END AS normalized_query FROM asked", "asked")
 def i05_default_intents(spark, d):
-    return asked(spark, d).select("query_id", *intents.default_intent("rewrite")).select("query_id", "task_type", "scope", "depth")
+    kinds = [intents.default_intent(k, F.col("query")) for k in ("rewrite", "export", "ask")]
+    pick = lambda f: F.get(F.array(*[k[f] for k in kinds]), F.length("query") % 3)
+    return asked(spark, d).select("query_id", *[pick(f).alias(f) for f in intents.FIELDS])
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'retrieve' WHEN source LIKE '%1' THEN 'rewrite' ELSE 'refused' END AS route FROM documents")
@@ -515,14 +555,20 @@ def i06_route_intent(spark, d):
 # --- M: model calls ------------------------------------------------------
 
 
-@query("SELECT query_id, 'Q: ' || query || chr(10) || 'External: true' AS prompt FROM asked", "asked")
+@query("SELECT query_id, 'Q: ' || query || chr(10) || 'External: true' || chr(10) || 'Sizes: [' || CAST(length(query) AS VARCHAR) || ',null]{q}' AS prompt FROM asked", "asked")
 def m01_build_prompts(spark, d):
-    return asked(spark, d).select("query_id", model.build_prompt("Q: {q}\nExternal: {x}", q=F.col("query"), x=F.lit(True)).alias("prompt"))
+    sizes = F.to_json(F.array(F.length("query"), F.lit(None).cast("int")))
+    prompt = model.build_prompt("Q: {q}\nExternal: {x}\nSizes: {sizes}", q=F.col("query"), x=F.lit(True), sizes=F.concat(sizes, F.lit("{q}")))
+    return asked(spark, d).select("query_id", prompt.alias("prompt"))
+
 
+_TASKS = ("structure", "mapping", "consolidate", "notes", "rewrite_node", "questions", "answer", "other")
 
-@query("SELECT query_id, CAST(0.7 AS DOUBLE) AS temperature, 15000 AS max_tokens FROM asked", "asked")
+
+@query("SELECT query_id, CAST(CASE length(query) % 8 WHEN 2 THEN 0.2 WHEN 3 THEN 0.7 WHEN 4 THEN 0.7 WHEN 6 THEN 0.2 ELSE 0.1 END AS DOUBLE) AS temperature, CASE WHEN length(query) % 8 = 7 THEN CAST(1.0 AS DOUBLE) END AS top_p, CASE WHEN length(query) % 8 = 7 THEN 1 END AS top_k, CASE WHEN length(query) % 8 IN (0, 1, 3, 4) THEN 30000 WHEN length(query) % 8 = 2 THEN 45000 END AS max_tokens FROM asked", "asked")
 def m02_generation_config(spark, d):
-    return model.with_settings(asked(spark, d).withColumn("task", F.lit("answer"))).select("query_id", "temperature", "max_tokens")
+    task = F.get(F.array(*map(F.lit, _TASKS)), F.length("query") % len(_TASKS))
+    return model.with_settings(asked(spark, d).withColumn("task", task)).select("query_id", "temperature", "top_p", "top_k", "max_tokens")
 
 
 @query("SELECT query_id, list_last(string_split(query, chr(10))) AS answer FROM asked", "asked")
@@ -576,9 +622,12 @@ def g01_normalize_topics(spark, d):
 
 
 
-@query()
+VIEWS["similar"] = "tokens AS (SELECT topic, len(l) AS n, unnest(l) AS t FROM (SELECT topic, list_distinct(list_filter(string_split_regex(lower(topic), '\\s+'), lambda w: w <> '')) AS l FROM (SELECT DISTINCT topic FROM topics))), near AS (SELECT a.topic AS a, b.topic AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.topic <> b.topic GROUP BY a.topic, b.topic, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*)) - 0.000000001), reach(node, c) AS (SELECT DISTINCT a, a FROM near UNION SELECT near.b, reach.c FROM reach JOIN near ON near.a = reach.node), grouped AS (SELECT c, list(node ORDER BY length(node) DESC, node) AS g FROM (SELECT node, min(c) AS c FROM reach GROUP BY node) GROUP BY c)"
+
+
+@query("SELECT g[1] AS primary, array_to_string(list_sort(g[2:]), '|') AS secondary FROM grouped", "raw topics similar")
 def g02_dedup_topics(spark, d):
-    return topics.dedup_topics(topic_table(spark, d))
+    return topics.dedup_topics(topic_table(spark, d)).select("primary", F.array_join("secondary", "|").alias("secondary"))
 
 
 @query("SELECT ins_seq, CASE WHEN contains(topic, ' ') THEN split_part(topic, ' ', 1) ELSE topic END AS topic FROM topics", "raw topics")
@@ -593,21 +642,33 @@ def g04_topic_frequency(spark, d):
     return topics.topic_frequency(topic_table(spark, d))
 
 
-@query("SELECT ins_seq, CASE WHEN length(raw_content) < 40 THEN 'none' WHEN length(raw_content) < 120 THEN 'brief' ELSE 'detailed' END AS explanation_depth, CASE WHEN frequency_count >= 3 OR source_page = 1 THEN 'core_concept' ELSE 'sub_concept' END AS topic_type FROM topics JOIN freq USING (book_id, topic) WHERE NOT regexp_matches(lower(raw_content), '(is defined as|means|refers to|for example|such as|step|first|then|=)')", "raw topics freq")
+#: What is added to a sentence, by its number: each cue of a type or relation, and none.
+_ADDED = ("", " This means that.", " For example.", " It is used in it.", " It depends on it.", " Unlike that.")
+_SAID = "CASE {} % 6 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_ADDED)) + " END"
+
+
+def said(text, number):
+    return F.concat(text, F.get(F.array(*map(F.lit, _ADDED)), (number % len(_ADDED)).cast("int")))
+
+
+@query(f"SELECT ins_seq, topic_type, CASE WHEN topic_type = 'reference_only' THEN 'none' WHEN length(s) < 120 THEN 'brief' ELSE 'detailed' END AS explanation_depth, CASE topic_type WHEN 'reference_only' THEN 'reference_only' WHEN 'definition_only' THEN 'already_explained' ELSE 'needs_explanation' END AS definition_status FROM (SELECT ins_seq, s, CASE WHEN regexp_matches(lower(s), '\\b(is defined as|means|refers to)\\b') THEN 'definition_only' WHEN regexp_matches(lower(s), '\\b(for example|such as)\\b') THEN 'example' WHEN regexp_matches(lower(s), '\\b(applies|applied to|used in)\\b') THEN 'application' WHEN length(s) < 40 THEN 'reference_only' WHEN frequency_count >= 3 OR source_page = 1 THEN 'core_concept' ELSE 'sub_concept' END AS topic_type FROM (SELECT *, raw_content || {_SAID.format('ins_seq')} AS s FROM topics JOIN freq USING (book_id, topic)))", "raw topics freq")
 def g05_classify_topics(spark, d):
     t = topic_table(spark, d)
-    rows = t.join(topics.topic_frequency(t), ["book_id", "topic"]).where("not lower(raw_content) rlike '(is defined as|means|refers to|for example|such as|step|first|then|=)'")
-    c = topics.classify(F.col("frequency_count"), F.col("source_page"), F.col("raw_content"))
-    return rows.select("ins_seq", c["explanation_depth"].alias("explanation_depth"), c["topic_type"].alias("topic_type"))
+    rows = t.join(topics.topic_frequency(t), ["book_id", "topic"])
+    c = topics.classify(F.col("frequency_count"), F.col("source_page"), said(F.col("raw_content"), F.col("ins_seq")))
+    return rows.select("ins_seq", *[column.alias(name) for name, column in c.items()])
 
 
-_MENTION = "m AS (SELECT DISTINCT book_id, ins_seq AS s_id, w AS topic, raw_content AS sentence FROM (SELECT *, unnest(list_filter(string_split_regex(raw_content, '\\s+'), lambda x: length(x) >= 9 AND regexp_matches(x, '^[a-z]+$'))[1:3]) AS w FROM topics))"
+_MENTION = f"m AS (SELECT DISTINCT book_id, s_id, w AS topic, sentence FROM (SELECT book_id, s_id, s || {_SAID.format('(ins_seq + p)')} AS sentence, unnest(list_filter(string_split_regex(s, '\\s+'), lambda x: length(x) >= 9 AND regexp_matches(x, '^[a-z]+$'))) AS w FROM (SELECT book_id, ins_seq, CAST(ins_seq AS VARCHAR) || ':' || lpad(CAST(p AS VARCHAR), 9, '0') AS s_id, s, p FROM (SELECT book_id, ins_seq, unnest(l) AS s, unnest(range(0, len(l))) AS p FROM (SELECT book_id, ins_seq, string_split(raw_content, '. ') AS l FROM topics)))))"
 VIEWS["mention"] = _MENTION
 
 
 def mentions(spark, d):
-    words = F.slice(F.filter(py_words(F.col("raw_content")), lambda w: (F.length(w) >= 9) & w.rlike("^[a-z]+$")), 1, 3)
-    return topic_table(spark, d).select("book_id", F.col("ins_seq").alias("s_id"), F.explode(words).alias("topic"), F.col("raw_content").alias("sentence")).distinct()
+    """The long words of each sentence."""
+    rows = topic_table(spark, d).select("book_id", "ins_seq", F.posexplode(F.split("raw_content", r"\. ")).alias("p", "s"))
+    s_id = F.concat_ws(":", F.col("ins_seq").cast("string"), F.lpad(F.col("p").cast("string"), 9, "0"))
+    words = F.filter(py_words(F.col("s")), lambda w: (F.length(w) >= 9) & w.rlike("^[a-z]+$"))
+    return rows.select("book_id", s_id.alias("s_id"), F.explode(words).alias("topic"), said(F.col("s"), F.col("ins_seq") + F.col("p")).alias("sentence")).distinct()
 
 
 @query("SELECT a.book_id, a.topic, string_agg(DISTINCT b.topic, ',' ORDER BY b.topic) AS others FROM m a JOIN m b ON a.book_id = b.book_id AND a.s_id = b.s_id AND a.topic <> b.topic GROUP BY a.book_id, a.topic", "raw topics mention")
@@ -615,7 +676,7 @@ def g06_other_topics(spark, d):
     return topics.other_topics(mentions(spark, d)).select("book_id", "topic", F.array_join("others", ",").alias("others"))
 
 
-VIEWS["edge"] = "pr AS (SELECT a.book_id, a.s_id, a.topic AS src, b.topic AS dst, instr(lower(a.sentence), lower(a.topic)) AS p, instr(lower(b.sentence), lower(b.topic)) AS q FROM m a JOIN m b ON a.book_id = b.book_id AND a.s_id = b.s_id AND a.topic <> b.topic), edge AS (SELECT book_id, src, dst, 'related_to' AS relation FROM (SELECT *, row_number() OVER (PARTITION BY book_id, least(src, dst), greatest(src, dst) ORDER BY s_id, p, q, src) AS k FROM pr WHERE p < q OR p = q AND src < dst) WHERE k = 1)"
+VIEWS["edge"] = "pr AS (SELECT a.book_id, a.s_id, a.sentence, a.topic AS src, b.topic AS dst, instr(lower(a.sentence), lower(a.topic)) AS p, instr(lower(b.sentence), lower(b.topic)) AS q FROM m a JOIN m b ON a.book_id = b.book_id AND a.s_id = b.s_id AND a.topic <> b.topic), edge AS (SELECT book_id, src, dst, CASE WHEN regexp_matches(lower(sentence), '\\b(requires|depends on|based on)\\b') THEN 'depends_on' WHEN regexp_matches(lower(sentence), '\\b(unlike|whereas|except)\\b') THEN 'exception_to' WHEN regexp_matches(lower(sentence), '\\b(for example|such as)\\b') THEN 'example_of' WHEN regexp_matches(lower(sentence), '\\b(applies|applied to|used in)\\b') THEN 'applies' ELSE 'explains' END AS relation FROM (SELECT *, row_number() OVER (PARTITION BY book_id, least(src, dst), greatest(src, dst) ORDER BY s_id, p, q, src) AS k FROM pr WHERE p < q OR p = q AND src < dst) WHERE k = 1)"
 
 
 @query("SELECT * FROM edge", "raw topics mention edge")
@@ -630,11 +691,11 @@ def g08_relationship_context(spark, d):
 
 def registry(spark, d):
     t = topic_table(spark, d)
-    old = t.where("source_page = 1").select(F.lower("topic").alias("topic_key"), F.lit("old").alias("canonical_name"), F.lit("brief").alias("explanation_depth"), F.lit("{}").alias("metadata"), F.lit(True).alias("explained"), F.col("ins_seq").alias("version")).dropDuplicates(["topic_key"])
-    return topics.register_topics(old, t.where("source_page = 2").select(F.col("topic").alias("name"), F.lit("detailed").alias("depth"), F.col("ins_seq").alias("version")))
+    old = t.where("source_page % 2 = 1").select(F.lower("topic").alias("topic_key"), F.lit("old").alias("canonical_name"), F.lit("brief").alias("explanation_depth"), F.lit("{}").alias("metadata"), F.lit(True).alias("explained"), F.col("ins_seq").alias("version")).dropDuplicates(["topic_key"])
+    return topics.register_topics(old, t.where("source_page % 2 = 0").select(F.col("topic").alias("name"), F.lit("detailed").alias("depth"), F.col("ins_seq").alias("version")))
 
 
-VIEWS["registry"] = "registry AS (SELECT k AS topic_key, coalesce(n, 'old') AS canonical_name, CASE WHEN n IS NULL THEN 'brief' ELSE 'detailed' END AS explanation_depth FROM (SELECT k, arg_max(topic, ins_seq) FILTER (WHERE source_page = 2) AS n FROM (SELECT *, lower(topic) AS k FROM topics WHERE source_page <= 2) GROUP BY k))"
+VIEWS["registry"] = "registry AS (SELECT k AS topic_key, coalesce(n, 'old') AS canonical_name, CASE WHEN n IS NULL THEN 'brief' ELSE 'detailed' END AS explanation_depth FROM (SELECT k, arg_max(topic, ins_seq) FILTER (WHERE source_page % 2 = 0) AS n FROM (SELECT *, lower(topic) AS k FROM topics) GROUP BY k))"
 
 
 @query("SELECT * FROM registry", "raw topics registry")
@@ -656,7 +717,10 @@ def g11_get_explanation_depth(spark, d):
 
 
 def asked_vectors(spark, d):
-    return _t(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+_PAIRS = "(SELECT q.vec_id AS query_id, v.vec_id, round({}, 9) AS x FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0) q, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) v)"
 
 
 @query()
@@ -665,11 +729,11 @@ def v01_embed(spark, d):
     return out.select("doc_id", F.size("embedding").alias("dim"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
 
 
-@query("SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20")
+@query(f"SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, round(x, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, vec_id) AS k FROM {_PAIRS.format('list_cosine_similarity(q.e, v.e)')} WHERE x IS NOT NULL AND NOT isnan(x)) WHERE k <= 10")
 def v02_cosine_scores(spark, d):
-    return vectors.cosine_scores(asked_vectors(spark, d), _t(spark, d, "embeddings")).withColumn("score", F.round("score", 6))
+    return vectors.cosine_scores(asked_vectors(spark, d), _t(spark, d, "embeddings"), 10).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, round(dist, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS k FROM (SELECT q.vec_id AS query_id, v.vec_id, pow(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 2) AS dist FROM embeddings q, embeddings v WHERE q.vec_id < 20)) WHERE k <= 5")
+@query(f"SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, round(x, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x, vec_id) AS k FROM {_PAIRS.format('pow(list_distance(q.e, v.e), 2)')}) WHERE k <= 5")
 def v03_knn_l2(spark, d):
     return vectors.knn_l2(asked_vectors(spark, d), _t(spark, d, "embeddings"), 5).withColumn("distance", F.round("distance", 5))

@@ -152,3 +152,170 @@ def test_strip_knows_unicode_space(spark):
 
 def test_missing_registry_is_empty(spark, tmp_path):
     assert sources.read_registry(spark, str(tmp_path / "none"), "topic_key string").count() == 0
+
+
+def test_settings_of_tasks(spark):
+    tasks = ["structure", "mapping", "consolidate", "notes", "rewrite_node", "questions", "answer", "classify", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(tasks)], "id int, task string")
+    got = {r["id"]: (r["temperature"], r["top_p"], r["top_k"], r["max_tokens"], r["task"]) for r in model.with_settings(df).collect()}
+    want = [(0.1, None, None, 30000), (0.1, None, None, 30000), (0.2, None, None, 45000), (0.7, None, None, 30000), (0.7, None, None, 30000), (0.1, None, None, None), (0.2, None, None, None), (0.1, 1.0, 1, None), (0.1, 1.0, 1, None)]
+    assert got == {k: (*w, t) for k, (w, t) in enumerate(zip(want, tasks))}
+
+
+@pytest.mark.parametrize(
+    ("kind", "want"),
+    [
+        ("rewrite", ("rewrite_book", "full_book", "medium", "standard", "paragraph", False, "rewrite book")),
+        ("export", ("rewrite_book", "full_book", "medium", "standard", "exam_oriented", False, "rewrite book")),
+        ("ask", ("question_answer", "single_question", "medium", "standard", "paragraph", False, "why?")),
+    ],
+)
+def test_intents_of_commands(spark, kind, want):
+    fields = intents.default_intent(kind, F.col("t"))
+    assert tuple(spark.createDataFrame([("why?",)], "t string").select(*[fields[f].alias(f) for f in intents.FIELDS]).first()) == want
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("what is a tort", ("question_answer", "single_question", "medium", "standard", "paragraph", True, "what is a tort")),
+        (" Summarize the book ", ("summarize_book", "full_book", "medium", "standard", "paragraph", True, "Summarize the book")),
+        ("very short revision notes for the exam", ("revision_notes", "specific_topic", "very_short", "standard", "exam_oriented", True, "very short revision notes for the exam")),
+        ("detailed notes, simple, bullets", ("study_notes", "specific_topic", "detailed", "simple", "bullet", True, "detailed notes, simple, bullets")),
+    ],
+)
+def test_classified_intents_are_in_their_vocabularies(spark, given, want):
+    fields = intents.classify_intent(F.col("t"))
+    got = tuple(spark.createDataFrame([(given,)], "t string").select(*[fields[f].alias(f) for f in intents.FIELDS]).first())
+    assert got == want
+    assert all(v in own for v, own in zip(got, (intents.TASKS, intents.SCOPES, intents.LENGTHS, intents.LEVELS, intents.FORMATS)))
+
+
+def test_topic_types_and_relations(spark):
+    texts = ["A tort is defined as a civil wrong of some kind or other", "Take for example a case of trespass to land here", "It applies to all such cases that are met in court", "see torts", "A long enough text about torts and nothing else, again"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string")
+    fields = topics.classify(F.lit(1), F.when(F.col("id") == 4, 1).otherwise(2), F.col("t"))
+    got = [tuple(r)[1:] for r in df.select("id", *fields.values()).orderBy("id").collect()]
+    assert [g[0] for g in got] == ["definition_only", "example", "application", "reference_only", "core_concept"]
+    assert [g[2] for g in got] == ["already_explained", "needs_explanation", "needs_explanation", "reference_only", "needs_explanation"]
+    said = ["x depends on y", "x unlike y", "x such as y", "x applied to y", "x and y"]
+    m = spark.createDataFrame([("b", f"{k}", t, s.replace("x", f"x{k}").replace("y", f"y{k}")) for k, s in enumerate(said) for t in (f"x{k}", f"y{k}")], "book_id string, s_id string, topic string, sentence string")
+    edges = {r["src"]: r["relation"] for r in topics.map_relationships(m).collect()}
+    assert edges == {"x0": "depends_on", "x1": "exception_to", "x2": "example_of", "x3": "applies", "x4": "explains"}
+
+
+def test_terminal_text(spark):
+    shown = spark.createDataFrame([("t", "## a")], "t string, x string").select(notes.terminal_format(F.col("t"), F.col("x"))).first()[0]
+    assert shown == "\n" + "=" * 60 + "\n T \n" + "=" * 60 + "\n\n" + "\n\n## a" + "\n\n" + "=" * 60 + "\n\n"
+
+
+def test_notes_refer_to_what_was_explained(spark):
+    n = spark.createDataFrame([("b", k, k, t, x) for k, (t, x) in enumerate([("Tort", "- A wrong."), ("Harm", "- tort.\n- New"), ("Void", ""), ("Tort", "- Void")])], "book_id string, node int, ord int, title string, note string")
+    assert rows(notes.refer_to_explained(n).select("node", "note")) == [(0, "- A wrong."), (1, "- See [Tort] for details\n- New"), (2, ""), (3, "- Void")]
+
+
+def test_rewritten_nodes_know_earlier_titles(spark):
+    n = spark.createDataFrame([("b", k, t, c) for k, (t, c) in enumerate([("A", "One. Two."), ("B", " "), ("C", "Three."), ("D", "Four.")])], "book_id string, ord int, title string, content string")
+    got = {r["ord"]: (r["explained"], r["rewritten"]) for r in notes.rewrite_nodes(n, F.lit("detailed")).collect()}
+    assert got == {0: ("None yet.", "- One.\n- Two."), 1: ("- A", ""), 2: ("- A", "- Three."), 3: ("- A\n- C", "- Four.")}
+
+
+def test_heads_stop_at_their_length_and_rejects_have_a_reason(spark):
+    p = spark.createDataFrame([("b", k, f"page{k}") for k in range(50)] + [("c", 0, "x")], "book_id string, page_number int, text string")
+    heads = text.fallback_head(p, p.where("book_id = 'c'"), 20)
+    assert rows(heads) == [("b", "\n\n".join(f"page{k}" for k in range(9))[:20])]
+    assert rows(text.rejected(p, p.where("book_id = 'c'")).select("book_id")) == [("b",)]
+
+
+def test_trees_and_headings_of_any_depth(spark):
+    import json
+
+    tree = []
+    for k in range(12, 0, -1):
+        tree = [{"title": f"t{k}", "children": tree}]
+    nodes = structure.flatten_structure(spark.createDataFrame([("b", json.dumps(tree))], "book_id string, structure string"))
+    assert sorted(r["level"] for r in nodes.collect()) == list(range(1, 13))
+    lines = spark.createDataFrame([("b", k, ".".join("1" * k) + " Title") for k in range(1, 11)], "book_id string, line_no int, line string")
+    got = {r["line_no"]: r["parent_line"] for r in structure.extract_structure(lines).collect()}
+    assert got == {1: None} | {k: k - 1 for k in range(2, 11)}
+
+
+def test_a_model_that_varies_loses_no_row(spark):
+    import random
+
+    def answers(prompts, config):
+        return [random.choice(["", "x"]) for _ in prompts]
+
+    df = spark.range(60).select("id", F.col("id").cast("string").alias("prompt"))
+    done, left = model.retry_then_fail(df, answers, F.col("answer") != "")
+    assert sorted(r["id"] for r in [*done.collect(), *left.collect()]) == list(range(60))
+
+
+def test_hits_have_no_limit_and_stay_in_the_book(spark):
+    t = spark.createDataFrame([("b", f"alpha {k}", None, f"c{k}", k) for k in range(30)] + [("d", "other", None, "o", 99)], "book_id string, topic string, subtopic string, raw_content string, ins_seq long")
+    q = spark.createDataFrame([("q", "the alpha case", "single_question", None), ("w", "all", "full_book", "d")], "query_id string, query string, scope string, book_id string")
+    got = retrieval.hits(q, t)
+    assert got.where("query_id = 'q'").count() == 30
+    assert rows(got.where("query_id = 'w'").select("kw_pos", "ins_seq")) == [(-1, 99)]
+    assert retrieval.retrieve(q, t).where("query_id = 'q'").count() == 10
+
+
+def test_nearest_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(300, 6)), 1)
+    v[7], v[8] = v[9], 0
+    df = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(v)] + [(300, None)], "vec_id long, embedding array<float>").repartition(3)
+    q = df.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as query_vector")
+    w = v.astype(np.float32).astype(float)
+    for k in range(0, 300, 20):
+        d = np.round(((w - w[k]) ** 2).sum(1), 9)
+        got = vectors.knn_l2(q, df, 5).where(F.col("query_id") == k).orderBy("rank").collect() if k == 0 else None
+        if got:
+            assert [r["vec_id"] for r in got] == np.lexsort((np.arange(300), d))[:5].tolist()
+            c = np.array([w[k] @ x / np.sqrt((w[k] @ w[k]) * (x @ x)) if (x @ x) else -9 for x in w])
+            best = vectors.cosine_scores(q, df, 5).where(F.col("query_id") == k).orderBy("rank").collect()
+            assert [r["vec_id"] for r in best] == np.lexsort((np.arange(300), -np.round(c, 9)))[:5].tolist()
+    assert vectors.knn_l2(q, df, 5).count() == 15 * 5 and vectors.cosine_scores(q, df, 5).where("vec_id = 8").count() == 0
+
+
+def test_embedding_is_weighed_counts_of_unit_length(spark):
+    import math
+
+    from pyspark.ml.feature import HashingTF
+
+    texts = ["a b b", "b c", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    got = {r["doc_id"]: list(r["embedding"]) for r in vectors.embed(df, 64).collect()}
+    place = HashingTF(numFeatures=64).indexOf
+    words = [(t or "").split(" ") for t in texts]
+    for k, own in enumerate(words):
+        want = [0.0] * 64
+        for w in own:
+            want[place(w)] += math.log((4 + 1) / (sum(w in o for o in words) + 1))
+        norm = math.sqrt(sum(x * x for x in want))
+        assert got[k] == pytest.approx([x / norm if norm else 0.0 for x in want], abs=1e-6)
+
+
+def test_groups_against_all_pairs(spark):
+    import random
+
+    random.seed(6)
+    names = sorted({" ".join(random.sample("abcdefghijkl", random.randint(2, 5))) for _ in range(80)})
+    label = {n: n for n in names}
+    near = [(x, y) for x in names for y in names if x < y and len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split())) >= topics.SIMILAR - 1e-9]
+    for _ in names:
+        for x, y in near:
+            label[x] = label[y] = min(label[x], label[y])
+    want = {frozenset(n for n in names if label[n] == c) for c in set(label.values())}
+    got = {frozenset([r["primary"], *r["secondary"]]) for r in topics.dedup_topics(spark.createDataFrame([(n,) for n in names], "topic string")).collect()}
+    assert got == {g for g in want if len(g) > 1}
+
+
+def test_registry_is_cleared(spark, tmp_path):
+    path = str(tmp_path / "r")
+    entries = spark.createDataFrame([("a",)], "topic_key string")
+    sources.write_registry(entries, path)
+    sources.clear_registry(entries, path)
+    assert sources.read_registry(spark, path, "topic_key string").collect() == []
