@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from bookspark.llm._shared import components, cut, small, stored, unused, without
 
-BANDS = 10
-ROWS = 5
+BANDS = 11
+ROWS = 6
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Lines with fewer characters between their white space are left alone; 1 leaves only blank lines alone.
