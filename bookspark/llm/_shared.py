@@ -89,6 +89,12 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
     place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def numbered(df: DataFrame, text: str) -> tuple[DataFrame, str, list[Column]]:
+    """df with columns c0, c1, ..., the name of `text` in it, and the columns to select for df's own names."""
+    plain = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])
+    return plain, f"c{df.columns.index(text)}", [F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)]
+
+
 def add_columns(df: DataFrame, source: str | Column, new: str, function: Callable[[], Callable], kind: str = "binary") -> DataFrame:
     """df with the columns of the DDL `new`, made batch by batch.
 

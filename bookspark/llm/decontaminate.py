@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookspark.llm._shared import add_columns, cut, without
+from bookspark.llm._shared import add_columns, cut, numbered, without
 
 #: Bytes of window text that are sent to the tasks at a time.
 BLOCK_BYTES = 16 << 20
@@ -225,14 +225,15 @@ def _mark(documents: DataFrame, text: str, kind: str, shared, b: int) -> DataFra
     return add_columns(documents, text, f"__n{b} long, __s{b} array<struct<start: long, end: long>>, __i{b} array<{kind}>", make)
 
 
-def decontaminate(documents: DataFrame, items: DataFrame, every: int = 20, **options) -> DataFrame:
+def decontaminate(documents: DataFrame, items: DataFrame, every: int = 20, text: str = "text", **options) -> DataFrame:
     """documents without the contaminated ones: those where a hit covers at least one word in `every`.
 
-    Rows keep their columns; texts without words stay.
+    Rows keep their columns, of any name; texts without words stay.
     """
-    marked = contamination(documents, items, **options)
+    plain, text, restored = numbered(documents, text)
+    marked = contamination(plain, items, text, **options)
     clean = ~((hits() > 0) & (F.lit(every) * hits() >= F.col("n_words")))
-    return marked.where(clean).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return marked.where(clean).select(*restored)
 
 
 def hits():

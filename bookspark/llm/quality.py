@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from bookspark.llm._shared import add_columns, parts
+from bookspark.llm._shared import add_columns, numbered, parts
 
 #: Characters that count as symbols (a fixed value).
 SYMBOLS = "#*$%&|<>"
@@ -131,8 +131,6 @@ def _measured(texts: list, window: int, least_words: int, most_repeated: int, lo
 
 
 def keep(documents: DataFrame, text: str = "text", **options) -> DataFrame:
-    """documents that the rules keep, with their own columns."""
-    from pyspark.sql import functions as F
-
-    scored = score(documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(documents.columns)]), f"c{documents.columns.index(text)}", **options)
-    return scored.where("kept").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(documents.columns)])
+    """documents that the rules keep, with their own columns, of any name."""
+    plain, text, restored = numbered(documents, text)
+    return score(plain, text, **options).where("kept").select(*restored)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookspark.llm._shared import add_columns, components, cut, without
+from bookspark.llm._shared import add_columns, components, cut, numbered, without
 
 #: Fingerprints that a group of the join has on average, at most, before more blocks are used.
 MEAN_GROUP = 16
@@ -215,6 +215,8 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
 def one_each(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", budget: int = 4, width: int = 4) -> DataFrame:
     """documents with one row of each component: the smallest id, of repeated ids the smallest hash of the text."""
     # a component's rows are told by its root: ids can be null or stand in several components
-    mine = _grouped(documents, text, doc_id, budget, width).where(F.col(f"`{doc_id}`").eqNullSafe(F.col("component_id")))
-    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
-    return mine.groupBy("__root").agg(F.min_by(row, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("r")).select("r.*")
+    plain, text, restored = numbered(documents, text)
+    doc_id = plain.columns[documents.columns.index(doc_id)]
+    mine = _grouped(plain, text, doc_id, budget, width).where(F.col(doc_id).eqNullSafe(F.col("component_id")))
+    row = F.struct(*[F.col(c) for c in plain.columns])
+    return mine.groupBy("__root").agg(F.min_by(row, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("r")).select("r.*").select(*restored)
