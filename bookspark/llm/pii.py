@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookspark.llm._shared import cut, without
+from bookspark.llm._shared import cut, small, unused, without
 
 #: The base patterns. Possessive, which changes no match here but keeps long texts linear.
 PATTERNS = {
@@ -61,32 +61,46 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _totals(lengths: Column) -> Column:
+    """Running totals of an array of numbers, array<bigint>: in chunks, so that long arrays are not copied for each element."""
+    chunk = 256
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def running(numbers: Column, start: Column) -> Column:
+        add = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out"))
+        return F.aggregate(numbers, F.struct(start.alias("at"), none.alias("out")), add, lambda a: a["out"])
+
+    numbers = F.transform(lengths, lambda n: n.cast("long"))
+    chunks = F.when(F.size(lengths) > 0, F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / chunk).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    chunks = F.transform(chunks, lambda k: F.slice(numbers, k * chunk + 1, F.lit(chunk)))
+    ends = running(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0).cast("long"))
+    starts = F.concat(F.array(F.lit(0).cast("long")), ends)
+    return F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(starts) - 1), running))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, whole>> of the pattern's matches in code points."""
+    parts = F.array(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")))
+    # every step is one value of a one-element array, which is made once however often the next one names it
+    parts = F.transform(parts, lambda p: F.struct(p["found"].alias("found"), F.zip_with(p["gaps"], p["found"], lambda g, f: F.length(g) + F.coalesce(F.length(f), F.lit(0))).alias("lengths")))
+    parts = F.transform(parts, lambda p: F.struct(p["found"].alias("found"), F.slice(_totals(p["lengths"]), F.lit(1), F.size(p["found"])).alias("ends")))
+    span = lambda f, e: F.struct((e - F.length(f)).alias("start"), e.alias("end"), f.alias("whole"))
+    return F.get(F.transform(parts, lambda p: F.zip_with(p["found"], p["ends"], span)), 0)
+
+
 def entities(text: Column, kind: str) -> Column:
     """array<struct<start, k, end>> of the kind's entities in code points; k is the kind's place in KINDS."""
     pattern, k = PATTERNS[kind], KINDS.index(kind)
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    empty = F.expr("named_struct('at', 0L, 'out', cast(array() as array<struct<start:bigint,k:int,end:bigint>>))")
-    start = lambda a, p: a["at"] + F.length(p["gap"])
-    end = lambda a, p: start(a, p) + F.coalesce(F.length(p["found"]), F.lit(0))
-    out = F.aggregate(
-        parts, empty,
-        lambda a, p: F.struct(
-            end(a, p).cast("long").alias("at"),
-            F.when(p["found"].isNotNull() & _valid(kind, p["found"]), F.concat(a["out"], F.array(F.struct(start(a, p).cast("long").alias("start"), F.lit(k).alias("k"), end(a, p).cast("long").alias("end")))))
-            .otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    good = F.filter(matches(text, pattern), lambda m: _valid(kind, m["whole"]))
+    out = F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("k"), m["end"].alias("end")))
     test = F.instr(text, NEEDS[kind]) > 0 if NEEDS[kind] else F.lit(True)
     return F.when(test & text.rlike(pattern), out).otherwise(F.expr("cast(array() as array<struct<start:bigint,k:int,end:bigint>>)"))
 
 
 def _matches(rows: DataFrame, pattern: str) -> DataFrame:
     """rows with start and whole of each match of the pattern in text."""
-    parts = rows.where(F.col("text").rlike(pattern)).withColumns({"gap": F.split("text", pattern, -1), "found": F.regexp_extract_all("text", F.lit(pattern), F.lit(0))})
-    parts = parts.select(*rows.columns, "gap", "found", F.posexplode("found").alias("i", "whole"))
-    length = lambda parts, n: F.length(F.array_join(F.slice(parts, F.lit(1), n), ""))
-    return parts.select(*rows.columns, (length("gap", F.col("i") + 1) + length("found", F.col("i"))).alias("start"), "whole")
+    found = rows.where(F.col("text").rlike(pattern)).select(*rows.columns, F.explode(matches(F.col("text"), pattern)).alias("m"))
+    return found.select(*rows.columns, "m.start", "m.whole")
 
 
 def tokens(documents: DataFrame) -> DataFrame:
@@ -142,20 +156,22 @@ def find(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
 
     base_spans has the base patterns' entities, spans also what the contexts
     found where no base span is. Null and empty texts have none; repeated rows
-    stay. Columns of these names are replaced; `text` stays out of all shuffles.
+    stay. Columns of these names are replaced.
     """
-    kept = [c for c in without(documents, ["base_spans", "spans"]).columns if c != text]
+    kept = without(documents, ["base_spans", "spans"])
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = F.array_sort(F.concat(*[entities(body, k) for k in KINDS]))
     rows = documents.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(body).alias("row"), body.alias("text"))
     found = cut(tokens(rows))
     new = found.where("k is null").drop("k").join(discovered(found), "token").select("id", "row", F.struct("start", "k", "end").alias("s"))
-    new = new.groupBy("id", "row").agg(F.collect_set("s").alias("more"))
-    all_rows = documents.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(body).alias("__row"), base.alias("base_spans"))
-    both = all_rows.join(new.withColumnsRenamed({"id": "__id", "row": "__row2"}), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__row2")), "left")
-    free = F.filter("more", lambda s: ~F.exists("base_spans", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    spans = F.when(F.col("more").isNull(), F.col("base_spans")).otherwise(F.array_sort(F.concat("base_spans", free)))
-    return both.select(*[F.col(f"`{c}`") for c in kept], "base_spans", spans.alias("spans"))
+    its_row, its_id, its_row2, more = unused(kept, "row", "id", "row2", "more")
+    new = cut(new.groupBy(F.col("id").alias(its_id), F.col("row").alias(its_row2)).agg(F.collect_set("s").alias(more)))
+    all_rows = kept.withColumns({its_row: F.xxhash64(body), "base_spans": base})
+    # few rows have more spans: then no text is shuffled
+    both = all_rows.join(small(new, 3 * F.size(more)), F.col(f"`{doc_id}`").eqNullSafe(F.col(its_id)) & (F.col(its_row) == F.col(its_row2)), "left")
+    free = F.filter(more, lambda s: ~F.exists("base_spans", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
+    spans = F.when(F.col(more).isNull(), F.col("base_spans")).otherwise(F.array_sort(F.concat("base_spans", free)))
+    return both.select(*[F.col(f"`{c}`") for c in kept.columns], "base_spans", spans.alias("spans"))
 
 
 def count(spans: Column, kind: str) -> Column:
