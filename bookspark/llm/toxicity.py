@@ -24,8 +24,8 @@ from bookspark.llm._shared import add_columns, cut
 SAMPLE = 6000
 ORDER, GAP, DECAY = 3, 2, 0.6
 LANDMARKS = 72
-#: Sentences of one text that training takes at most, those most like a landmark.
-SENTENCES = 8
+#: Sentences of each class that training takes, on average, at most: of a larger sample a part of the texts by hash, each with all its sentences.
+SENTENCES = 60_000
 #: A likeness under this counts as none.
 LEAST = 0.35
 #: Distinct words whose likenesses a task keeps; then it starts anew.
@@ -174,6 +174,8 @@ def _vectors(words: _Words, texts: list) -> list[np.ndarray]:
 def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, landmarks: int = LANDMARKS) -> dict:
     """A model of the documents that have a label 0 or 1, or of a hash sample of `sample` a class.
 
+    The machine takes all sentences of those, or of a part of them with about SENTENCES a class.
+
     Null texts and labels are left out. Without texts of both classes every text gets the base score.
     """
     marks = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct()
@@ -217,10 +219,13 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
         words = _Words(Kernel(shared.value))
         for batch in batches:
             found = _vectors(words, batch.column(0).cast(pa.binary()).to_pylist())
-            best = [x[np.argsort(-x.max(axis=1), kind="stable")[:SENTENCES]] if len(x) else x for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in best], pa.binary())], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in found], pa.binary())], names=["y", "x"])
 
-    data = chosen.mapInArrow(vectors, "y int, x binary").collect()
+    length = F.size(F.split("text", r"[.!?\n]+"))
+    shares = {r["y"]: min(1.0, SENTENCES / max(1, r["n"])) for r in chosen.groupBy("y").agg(F.sum(length).alias("n")).collect()}
+    part = F.when(F.col("y") == 1, shares.get(1, 1.0)).otherwise(shares.get(0, 1.0))
+    taken = chosen.where(F.pmod(F.xxhash64("text", "y"), F.lit(1_000_003)) < part * 1_000_003)
+    data = taken.mapInArrow(vectors, "y int, x binary").collect()
     texts = [np.frombuffer(r["x"], np.float32).reshape(-1, len(picked)).astype(float) for r in data]
     return {"landmarks": picked, "base": rate} | _fit(kernel, texts, np.array([r["y"] for r in data]))
 
