@@ -16,14 +16,11 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from bookspark.llm._shared import add_columns, parts
 
 #: Labelled texts of one language that training takes at most, on average: a bounded sample by hash of the text.
 SAMPLE = 3000
-#: Trigrams of one language that the model keeps, the most frequent.
-GRAMS = 20_000
 #: Score that a change of language costs, and the most that one word can say.
 SWITCH, MOST = 6.0, 8.0
 #: Distinct words that a training task counts before it turns them into trigrams.
@@ -86,8 +83,8 @@ def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, np.bincount(at, weights, len(own)).astype(np.int64)
 
 
-def train(documents: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, grams: int = GRAMS) -> dict:
-    """The model of all labelled rows given, or of a hash sample of `sample` a language; bounded by languages x grams.
+def train(documents: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> dict:
+    """The model of all labelled rows given, or of a hash sample of `sample` a language; so that it is bounded by the sample.
 
     Rows with a null text or label are left out. Without rows there is no language.
     """
@@ -120,9 +117,8 @@ def train(documents: DataFrame, text: str = "text", lang: str = "lang", sample:
         yield from totals()
 
     counts = chosen.mapInArrow(count, "lang string, kind string, item long, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))).where(F.col("place") <= grams)
     at = {name: k for k, name in enumerate(langs)}
-    found = [(r["kind"], r["item"], at[r["lang"]], r["n"]) for r in ranked.collect()]
+    found = [(r["kind"], r["item"], at[r["lang"]], r["n"]) for r in counts.collect()]
     keys = np.array(sorted({item for kind, item, _, _ in found if kind == "g"}), np.int64)
     table, letters = np.zeros((len(keys) + 1, len(langs))), np.zeros((len(NAMES), len(langs)))
     for kind, item, l, n in found:
