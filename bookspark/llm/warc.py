@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bookspark.llm._shared import cut, shared_dir
+from bookspark.llm._shared import cut, shared_dir, small
 
 #: Bytes that are read, inflated or written at a time.
 PIECE = 1 << 20
@@ -75,7 +75,8 @@ def deduplicated(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")
     same = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest", "page_id", "url").agg(F.count("*").alias("n"))
     first = cut(same.groupBy("digest").agg(F.min(F.struct(order.alias("o"), "n")).alias("x"), F.sum("n").alias("all")).where(F.col("all") > 1).select("digest", F.col("x.o").alias("o"), F.col("x.n").alias("n")))
-    both = rows.join(first, "digest", "left")
+    # payloads stay where they are if few are repeated
+    both = rows.join(small(first, F.lit(4) + F.coalesce(F.length("o.url"), F.lit(0)) / 8), "digest", "left")
     is_first = F.col("o").isNotNull() & F.col("page_id").eqNullSafe(F.col("o.page_id")) & F.col("url").eqNullSafe(F.col("o.url"))
     both = both.withColumn("revisit", F.col("o").isNotNull() & ~is_first)
     if not first.where(F.col("n") > 1).isEmpty():
