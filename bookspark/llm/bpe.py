@@ -88,8 +88,9 @@ class Transducer:
         self.lookahead = max(map(len, [*inner, *last]), default=1)
         self.table = _byte_characters()
         self.bytes = {c: b for b, c in self.table.items()}
-        split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split)
+        # a file whose words are split in another way can be decoded only
+        split = [p["pattern"]["Regex"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        self.words = regex.compile(split[0]) if split else None
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, list[int]] = {}
 
@@ -117,12 +118,13 @@ class Transducer:
         return known
 
     def word(self, text: str) -> Iterator[int]:
+        """Ids of one word of byte characters; where its end is in sight, the one path to it is tried first."""
+        return iter(self._whole(text)) if len(text) <= self.lookahead else self.stream(text)
+
+    def stream(self, text: str) -> Iterator[int]:
         """Ids of one word of byte characters, each as soon as it is stable."""
         n, most, fits, follows = len(text), self.lookahead, self.fits, self.follows
         base, tokens, starts = 0, [-1], [0]  # of positions base, base + 1, ...
-        if n <= most:  # its end is in sight
-            yield from self._whole(text)
-            return
         find = self.inner.get
         for end in range(1, n + 1):
             if end == n:
@@ -207,6 +209,8 @@ class Transducer:
         return known
 
     def encode(self, text: str) -> list[int]:
+        if self.words is None:
+            raise ValueError("encoding needs a vocabulary file whose words are split by a pattern")
         out: list[int] = []
         for part in self.specials.split(text) if self.specials and "<|" in text else [text]:
             if part in self.special:
