@@ -34,7 +34,7 @@ SIMILARITY = 0.8
 #: Lines with fewer characters between their white space are left alone; 1 leaves only blank lines alone.
 LEAST_CHARS = 1
 #: Open members of a bucket up to which its pairs are listed.
-CROWD = 1000
+CROWD = 5000
 
 #: White space that is no part of a line.
 _BLANK = " \t\r\f\v"
