@@ -26,6 +26,7 @@ def ascii_lower(c: Column) -> Column:
 
 def norm_title(c: Column) -> Column:
     """A heading for comparison: trimmed, without a number or letter prefix, lower case."""
+    # Fixed value: the pattern of a heading's prefix.
     return F.lower(F.regexp_replace(py_strip(c), r"(?U)\A((\d+\.)+|\w+\.)\s*", ""))
 
 

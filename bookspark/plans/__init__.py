@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookspark.functions import ascii_lower
+from bookspark.session import cut
 
 
 def _grams(c: Column, n: int) -> Column:
@@ -14,22 +15,53 @@ def _grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(n))))
 
 
+#: Characters of the substrings by which words and names meet.
+GRAM = 4
+
+
 def containing(words: DataFrame, names: DataFrame) -> DataFrame:
     """(word) x (name) -> pairs where name LIKE %word%, A-Z in any case; % and _ in a word are wildcards.
 
     A word's longest run without wildcards meets names by equality, on its
-    rarest trigram or, if it is shorter than that, as a whole; then the
+    rarest substring of GRAM characters or, if it is shorter than that, as a whole; then the
     pattern is checked. Words of wildcards alone meet all names.
     """
-    words, names = words.select("word").where("word is not null").distinct(), names.select("name").where("name is not null").distinct()
     runs = F.split(ascii_lower(F.col("word")), "[%_]")
     pattern = F.concat(F.lit("%"), F.replace(ascii_lower(F.col("word")), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    low = words.select("word", pattern.alias("p"), F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("size"), r.alias("run"))))["run"].alias("w"))
-    own = names.withColumn("n", ascii_lower(F.col("name")))
-    grams = own.select("name", "n", F.explode(_grams(F.col("n"), 3)).alias("g"))
+    low = words.select("word").where("word is not null").distinct()
+    low = cut(low.select("word", pattern.alias("p"), F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("size"), r.alias("run"))))["run"].alias("w")))
+    own = cut(names.select("name").where("name is not null").distinct().withColumn("n", ascii_lower(F.col("name"))))
+    grams = own.select("name", "n", F.explode(_grams(F.col("n"), GRAM)).alias("g"))
     sizes = grams.groupBy("g").agg(F.count("*").alias("size"))
-    asked = low.where(F.length("w") >= 3).select("word", "p", F.explode(_grams(F.col("w"), 3)).alias("g")).join(sizes, "g", "left")
+    # a word with a substring that no name has meets none
+    asked = low.where(F.length("w") >= GRAM).select("word", "p", F.explode(_grams(F.col("w"), GRAM)).alias("g")).join(sizes, "g", "left")
     rare = asked.groupBy("word", "p").agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "g")).alias("r")).where("r.size > 0").select("word", "p", F.col("r.g").alias("g"))
     found = rare.join(grams, "g").where("n LIKE p").select("word", "name")
-    short = own.select("name", "n", F.explode(F.concat(F.array(F.lit("")), _grams(F.col("n"), 1), _grams(F.col("n"), 2))).alias("g"))
-    return found.unionByName(low.where(F.length("w") < 3).join(short, F.col("w") == F.col("g")).where("n LIKE p").select("word", "name"))
+    short = low.where(F.length("w") < GRAM)
+    if short.isEmpty():
+        return found
+    pieces = own.select("name", "n", F.explode(F.concat(F.array(F.lit("")), *[_grams(F.col("n"), k) for k in range(1, GRAM)])).alias("g"))
+    return found.unionByName(short.join(pieces, F.col("w") == F.col("g")).where("n LIKE p").select("word", "name"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of one orderable type -> (node, component), component the smallest node that can be reached.
+
+    Large-star and small-star steps in turn, with a checkpoint after each
+    round, until the edges are stars about the smallest nodes: rounds grow with
+    the logarithm of the longest chain. Every step groups by node with a
+    partial minimum first; only edges are shuffled. Null ends and loops are left out.
+    """
+    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct())
+    state = None
+    while True:
+        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
+        was, state = state, now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
+        if state == was:
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

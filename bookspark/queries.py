@@ -684,9 +684,10 @@ def g07_map_relationships(spark, d):
     return topics.map_relationships(mentions(spark, d))
 
 
-@query("SELECT book_id, src AS topic, string_agg(dst || ' (' || relation || ')', ', ' ORDER BY dst) AS context FROM edge GROUP BY book_id, src", "raw topics mention edge")
+@query("SELECT m.book_id, m.topic, coalesce(any_value(context), 'None identified.') AS context FROM m LEFT JOIN (SELECT book_id, src AS topic, string_agg(dst || ' (' || relation || ')', ', ' ORDER BY dst) AS context FROM edge GROUP BY book_id, src) c ON m.book_id = c.book_id AND m.topic = c.topic GROUP BY m.book_id, m.topic", "raw topics mention edge")
 def g08_relationship_context(spark, d):
-    return topics.relationship_context(topics.map_relationships(mentions(spark, d)))
+    m = mentions(spark, d)
+    return topics.relationship_context(topics.map_relationships(m), m)
 
 
 def registry(spark, d):

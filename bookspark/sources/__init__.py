@@ -23,10 +23,14 @@ def paginate(pages: DataFrame) -> DataFrame:
     return out.withColumn("text", py_strip(F.col("text"))).where("text <> ''").drop("offset")
 
 
+#: Fixed value: the mark of a page whose text comes from its images.
+IMAGE = "[SOURCE: IMAGE] "
+
+
 def resolve_blank_pages(pages: DataFrame, ocr: DataFrame) -> DataFrame:
     """Blank pages take their images' texts, joined by newlines behind a mark; without any they go."""
     found = ocr.where(F.coalesce("text", F.lit("")) != "").groupBy("file_id", "page_in_file").agg(joined(F.col("text"), F.col("img_index"), "\n").alias("__ocr"))
-    text = F.when(py_strip(F.col("text")) != "", F.col("text")).otherwise(F.concat(F.lit("[SOURCE: IMAGE] "), F.col("__ocr")))
+    text = F.when(py_strip(F.col("text")) != "", F.col("text")).otherwise(F.concat(F.lit(IMAGE), F.col("__ocr")))
     return pages.join(found, ["file_id", "page_in_file"], "left").withColumn("text", text).drop("__ocr").where("text is not null and text <> ''")
 
 
