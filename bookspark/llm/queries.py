@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookspark.llm import bpe, decontaminate, langid, lines, pagetext, pii, quality, simhash, toxicity, warc
-from bookspark.llm._shared import prepare, table
+from bookspark.llm import bpe, decontaminate, fim, hardneg, langid, lines, pagetext, pii, pulearn, quality, simhash, toxicity, warc
+from bookspark.llm._shared import cut, prepare, small, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -20,9 +20,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def held_out():
-    """crc32(doc_id as text) mod 4 is 2; a null id counts as an empty text."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+def held_out(folds: int = 4, fold: int = 2):
+    """crc32(doc_id as text) mod `folds` is `fold`; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +87,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(5, 0).alias("held_out"))
+    featured = cut(pulearn.featurize(documents).drop("text"))
+    trusted = cut(table(spark, sf_dir, "labels").where(~held_out(5, 0) & (F.col("quality") == 1)).select("doc_id").distinct())
+    rows = featured.where("not held_out").join(small(trusted).withColumn("positive", F.lit(True)), "doc_id", "left")
+    return pulearn.score(featured, pulearn.train(rows)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    out = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    plain = F.col("form") == fim.PLAIN
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", F.col("n_units").alias("n"), "form", F.when(~plain, F.col("cut_1")).alias("prefix_chars"), F.when(~plain, F.col("cut_2") - F.col("cut_1")).alias("middle_chars"), sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_bpe, op4_language_id, op5_line_dedup, op6_html, op7_simhash, op8_toxicity, op9_quality, op10_warc)}
+    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_bpe, op4_language_id, op5_line_dedup, op6_html, op7_simhash, op8_toxicity, op9_quality, op10_warc, op11_quality_pu, op12_fill_in_middle, op13_hard_negatives)}
