@@ -81,10 +81,10 @@ class WaveletMatrix:
 
 def first_place(count, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The smallest place in [low, high] before which count() is `wanted` or more, by bisection; high + 1 if there is none."""
-    low, high = low.copy(), high + 1
+    low, last, high = low.copy(), high, high + 1
     while (open_ := low < high).any():
         middle = (low + high) >> 1
-        enough = (count(np.minimum(middle, high - 1)) >= wanted) & open_
+        enough = (count(np.minimum(middle, last)) >= wanted) & open_
         high = np.where(enough, middle, high)
         low = np.where(open_ & ~enough, middle + 1, low)
     return low

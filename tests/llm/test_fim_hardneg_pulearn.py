@@ -38,6 +38,14 @@ def test_boundaries_against_units():
             assert b.place(k).tolist() == [len("".join(u[:j])) for u, j in zip(own, k)]
 
 
+def test_cuts_at_the_very_start_beside_long_texts():
+    # places found early are not asked again before the first text
+    texts = ["a b", *["word " * 300] * 50]
+    b = fim.Boundaries(texts, "word")
+    zero = np.zeros(len(texts), np.int64)
+    assert not b.place(zero).any() and b.place(b.units).tolist() == [len(t) for t in texts]
+
+
 FIM_ROWS = [(1, None, "x"), (2, "", None), (None, "some words here ", "y"), (4, "has a <S> mark in it", "z"), (5, " lead and trail \n\n", "z"), (5, " lead and trail \n\n", "z"), (6, "x" * 100_000 + " é\U0001f600" * 50_000, None), *[(k, f"row {k} of é words\nand lines with \U0001f600", "w") for k in range(7, 80)]]
 
 
