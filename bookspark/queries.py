@@ -676,17 +676,25 @@ def g06_other_topics(spark, d):
     return topics.other_topics(mentions(spark, d)).select("book_id", "topic", F.array_join("others", ",").alias("others"))
 
 
-VIEWS["edge"] = "pr AS (SELECT a.book_id, a.s_id, a.sentence, a.topic AS src, b.topic AS dst, instr(lower(a.sentence), lower(a.topic)) AS p, instr(lower(b.sentence), lower(b.topic)) AS q FROM m a JOIN m b ON a.book_id = b.book_id AND a.s_id = b.s_id AND a.topic <> b.topic), edge AS (SELECT book_id, src, dst, CASE WHEN regexp_matches(lower(sentence), '\\b(requires|depends on|based on)\\b') THEN 'depends_on' WHEN regexp_matches(lower(sentence), '\\b(unlike|whereas|except)\\b') THEN 'exception_to' WHEN regexp_matches(lower(sentence), '\\b(for example|such as)\\b') THEN 'example_of' WHEN regexp_matches(lower(sentence), '\\b(applies|applied to|used in)\\b') THEN 'applies' ELSE 'explains' END AS relation FROM (SELECT *, row_number() OVER (PARTITION BY book_id, least(src, dst), greatest(src, dst) ORDER BY s_id, p, q, src) AS k FROM pr WHERE p < q OR p = q AND src < dst) WHERE k = 1)"
+VIEWS["edge"] = "pr AS (SELECT a.book_id, a.s_id, a.sentence, a.topic AS src, b.topic AS dst, instr(lower(a.sentence), lower(a.topic)) AS p, instr(lower(b.sentence), lower(b.topic)) AS q FROM m a JOIN m b ON a.book_id = b.book_id AND a.s_id = b.s_id AND a.topic <> b.topic), edge0 AS (SELECT book_id, src, dst, row_number() OVER (PARTITION BY book_id ORDER BY s_id, p, q, src, dst) AS t, CASE WHEN regexp_matches(lower(sentence), '\\b(requires|depends on|based on)\\b') THEN 'depends_on' WHEN regexp_matches(lower(sentence), '\\b(unlike|whereas|except)\\b') THEN 'exception_to' WHEN regexp_matches(lower(sentence), '\\b(for example|such as)\\b') THEN 'example_of' WHEN regexp_matches(lower(sentence), '\\b(applies|applied to|used in)\\b') THEN 'applies' ELSE 'explains' END AS relation FROM (SELECT *, row_number() OVER (PARTITION BY book_id, least(src, dst), greatest(src, dst) ORDER BY s_id, p, q, src) AS k FROM pr WHERE p < q OR p = q AND src < dst) WHERE k = 1), leads AS (SELECT book_id, t AS t0, src AS goal, dst AS node FROM edge0 UNION SELECT l.book_id, l.t0, l.goal, e.dst FROM leads l JOIN edge0 e ON e.book_id = l.book_id AND e.src = l.node AND e.t < l.t0 WHERE l.node <> l.goal), edge AS (SELECT book_id, src, dst, relation FROM edge0 WHERE (book_id, t) NOT IN (SELECT (book_id, t0) FROM leads WHERE node = goal))"
 
 
-@query("SELECT * FROM edge", "raw topics mention edge")
+VIEWS["stem"] = _MENTION.replace("w AS topic", "left(w, 3) AS topic")
+
+
+def stems(spark, d):
+    """The mentions by the first letters of the words, which recur: their relations have cycles."""
+    return mentions(spark, d).withColumn("topic", F.left("topic", F.lit(3))).distinct()
+
+
+@query("SELECT * FROM edge", "raw topics stem edge")
 def g07_map_relationships(spark, d):
-    return topics.map_relationships(mentions(spark, d))
+    return topics.map_relationships(stems(spark, d))
 
 
-@query("SELECT m.book_id, m.topic, coalesce(any_value(context), 'None identified.') AS context FROM m LEFT JOIN (SELECT book_id, src AS topic, string_agg(dst || ' (' || relation || ')', ', ' ORDER BY dst) AS context FROM edge GROUP BY book_id, src) c ON m.book_id = c.book_id AND m.topic = c.topic GROUP BY m.book_id, m.topic", "raw topics mention edge")
+@query("SELECT m.book_id, m.topic, coalesce(any_value(context), 'None identified.') AS context FROM m LEFT JOIN (SELECT book_id, src AS topic, string_agg(dst || ' (' || relation || ')', ', ' ORDER BY dst) AS context FROM edge GROUP BY book_id, src) c ON m.book_id = c.book_id AND m.topic = c.topic GROUP BY m.book_id, m.topic", "raw topics stem edge")
 def g08_relationship_context(spark, d):
-    m = mentions(spark, d)
+    m = stems(spark, d)
     return topics.relationship_context(topics.map_relationships(m), m)
 
 
