@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from bookspark import sources
 from bookspark.functions import norm_title, py_words, stable_id
-from bookspark.operators import intents, model, notes, retrieval, store, structure, text, topics, vectors
+from bookspark.operators import answers, intents, model, notes, retrieval, store, structure, text, topics, vectors
 from bookspark.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,16 +576,76 @@ def m03_generate(spark, d):
     return model.generate(asked(spark, d).select("query_id", F.col("query").alias("prompt"))).select("query_id", "answer")
 
 
-def _answers(spark, d):
-    kind = F.length("query") % 4
-    body = F.to_json(F.struct(F.col("query").alias("title"), F.when(kind == 3, "wrong").otherwise("core_concept").alias("kind")))
-    return asked(spark, d).select("query_id", F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n``` and more"))).when(kind == 1, F.lit("sorry")).otherwise(body).alias("answer"))
+#: Relations by the length of a word; the last is none.
+_RELATED = ("depends_on", "explains", "applies", "exception_to", "example_of", "likes")
+VIEWS["said"] = "said AS (SELECT query_id, query, length(query) AS n, list_filter(string_split_regex(query, '\\s+'), lambda w: w <> '') AS ws FROM asked)"
+_BAD_EDGE = "list_position(list_transform(ws, lambda w: length(w) % 6 = 5), true)"
 
 
-@query("SELECT query_id, query AS title FROM asked WHERE length(query) % 4 IN (0, 2)", "asked")
+def fenced(json, number):
+    """Every other answer in a code fence."""
+    return F.when(number % 2 == 0, F.concat(F.lit("```json\n"), json, F.lit("\n``` and more"))).otherwise(json)
+
+
+def edge_answers(spark, d):
+    """A model's relations: each word of a question, related by its length."""
+    n = F.length("query")
+    edges = F.transform(py_words(F.col("query")), lambda w: F.struct(w.alias("topic"), F.get(F.array(*map(F.lit, _RELATED)), F.length(w) % 6).alias("relation")))
+    body = F.when(n % 7 == 0, F.to_json(F.struct(edges.alias("relation")))).when(n % 7 == 1, '{"relationships": "none"}').otherwise(F.to_json(F.struct(edges.alias("relationships"))))
+    return asked(spark, d).select("query_id", fenced(body, n).alias("answer"))
+
+
+def _checked(answers_, schema, *shown):
+    good, bad = answers.parse_typed(answers_, schema)
+    return good.select("query_id", *shown, F.lit(None).cast("string").alias("reason")).unionByName(bad.select("query_id", "reason"), True)
+
+
+@query(f"SELECT query_id, CASE WHEN n % 7 = 0 THEN '$.relationships is missing' WHEN n % 7 = 1 THEN '$.relationships is not a list' WHEN {_BAD_EDGE} > 0 THEN '$.relationships[' || CAST({_BAD_EDGE} - 1 AS VARCHAR) || '].relation is not allowed' END AS reason, CASE WHEN n % 7 > 1 AND coalesce({_BAD_EDGE}, 0) = 0 THEN array_to_string(list_transform(ws, lambda w: w || ':' || (['depends_on', 'explains', 'applies', 'exception_to', 'example_of'])[length(w) % 6 + 1]), ' ') END AS edges FROM said", "asked said")
 def m04_parse_answer(spark, d):
-    good, _ = model.parse_answer(_answers(spark, d), {"title": None, "kind": list(topics.TYPES)})
-    return good.select("query_id", "title")
+    edges = F.array_join(F.transform("relationships", lambda e: F.concat(e["topic"], F.lit(":"), e["relation"])), " ").alias("edges")
+    return _checked(edge_answers(spark, d), answers.RELATIONS, edges)
+
+
+@query("SELECT query_id, CASE WHEN n % 3 = 0 THEN '$.merge_groups[1].secondary[' || CAST(len(ws) AS VARCHAR) || '] is not a string' END AS reason, CASE WHEN n % 3 > 0 THEN query || '=|' || ws[1] || '=' || array_to_string(ws, ',') END AS merged FROM said", "asked said")
+def m04a_parse_merge_groups(spark, d):
+    """Groups of which the first leaves its names out; every third has a number as the last name of its second."""
+    n, ws = F.length("query"), py_words(F.col("query"))
+    names = F.concat_ws(",", F.transform(ws, lambda w: F.to_json(F.array(w))))
+    listed = F.concat(F.lit("["), F.regexp_replace(names, r'"\],\["', '","'), F.when(n % 3 == 0, ",[7]").otherwise(""), F.lit("]"))
+    listed = F.regexp_replace(F.regexp_replace(listed, r'^\[\["', '["'), r'"\](,\[7\])?\]$', '"$1]')
+    listed = F.replace(listed, F.lit(",[7]]"), F.lit(",7]"))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    body = F.concat(F.lit('{"merge_groups": [{"primary": '), quoted(F.col("query")), F.lit('}, {"primary": '), quoted(F.get(ws, F.lit(0))), F.lit(', "secondary": '), listed, F.lit("}]}"))
+    merged = F.array_join(F.transform("merge_groups", lambda g: F.concat(g["primary"], F.lit("="), F.array_join(g["secondary"], ","))), "|").alias("merged")
+    return _checked(asked(spark, d).select("query_id", fenced(body, n).alias("answer")), answers.MERGES, merged)
+
+
+#: How a model says whether other knowledge is allowed, by the length of the question: left out, a text, a number, false, and no boolean.
+_SAID_ALLOWED = ("", ',"allow_external_knowledge":"No"', ',"allow_external_knowledge":1', ',"allow_external_knowledge":false', ',"allow_external_knowledge":"perhaps"')
+
+
+@query("SELECT query_id, CASE WHEN n % 5 = 4 THEN '$.allow_external_knowledge is not a boolean' END AS reason, CASE WHEN n % 5 < 4 THEN query END AS normalized_query, CASE WHEN n % 5 < 4 THEN n % 5 IN (0, 2) END AS allow_external_knowledge, CASE WHEN n % 5 < 4 THEN 'question_answer' END AS task_type FROM said", "asked said")
+def m04b_parse_intent(spark, d):
+    n = F.length("query")
+    fields = [F.col("query").alias("normalized_query"), *[F.lit(v).alias(f) for f, v in zip(intents.FIELDS, intents.FALLBACK) if f not in ("normalized_query", "allow_external_knowledge")]]
+    body = F.concat(F.regexp_replace(F.to_json(F.struct(*fields)), r"\}$", ""), F.get(F.array(*map(F.lit, _SAID_ALLOWED)), n % 5), F.lit("}"))
+    return _checked(asked(spark, d).select("query_id", fenced(body, n).alias("answer")), answers.INTENT, "normalized_query", "allow_external_knowledge", "task_type")
+
+
+_DEPTH = "length(book_id) % 3 * 2 + CAST(right(book_id, 1) AS INTEGER) % 3"
+
+
+@query(f"SELECT book_id AS query_id, CASE WHEN CAST(right(book_id, 1) AS INTEGER) % 2 = 1 THEN '$.structure[0]' || repeat('.children[0]', {_DEPTH} + 1) || '.title is missing' END AS reason, CASE WHEN CAST(right(book_id, 1) AS INTEGER) % 2 = 0 THEN count(*) + {_DEPTH} END AS n_nodes FROM tree GROUP BY book_id", "nodes")
+def m04c_parse_heading_tree(spark, d):
+    """The trees of customers some levels down; of every other the first customer has no title."""
+    depth, last = F.length("book_id") % 3 * 2 + F.right("book_id", F.lit(1)).cast("int") % 3, F.right("book_id", F.lit(1)).cast("int")
+    broken = F.when(last % 2 == 1, F.regexp_replace("structure", r'\A(.*?)"title":"Customer', '$1"name":"Customer')).otherwise(F.col("structure"))
+    body = F.concat(F.lit('{"structure": '), F.repeat(F.lit('[{"title": "part", "children": '), depth), broken, F.repeat(F.lit("}]"), depth), F.lit("}"))
+    rows = trees(spark, d).select(F.col("book_id").alias("query_id"), fenced(body, last).alias("answer"))
+    good, bad = answers.parse_typed(rows, answers.STRUCTURE)
+    nodes = structure.flatten_structure(good.select(F.col("query_id").alias("book_id"), F.to_json("structure").alias("structure")))
+    counts = nodes.groupBy(F.col("book_id").alias("query_id")).agg(F.count("*").alias("n_nodes"))
+    return counts.select("query_id", F.lit(None).cast("string").alias("reason"), "n_nodes").unionByName(bad.select("query_id", "reason"), True)
 
 
 @query("SELECT query_id, CASE WHEN length(query) % 2 = 0 THEN 'a|' || query ELSE left(query, 100) END AS items FROM asked", "asked")
@@ -603,11 +663,18 @@ def m06_retry_then_fail(spark, d):
     return done.select("query_id", "answer")
 
 
-@query("SELECT query_id, CASE WHEN length(query) % 4 = 1 THEN 'core_concept' WHEN length(query) % 4 = 3 THEN 'core_concept' ELSE 'core_concept' END AS topic_type, 'detailed' AS explanation_depth FROM asked", "asked")
+_KINDS = ("core_concept", "sub_concept", "reference_only", "example", "application", "definition_only", "wrong", "")
+
+
+@query(f"SELECT query_id, CASE n % 8 WHEN 1 THEN 'sub_concept' WHEN 2 THEN 'reference_only' WHEN 3 THEN 'example' WHEN 4 THEN 'application' WHEN 5 THEN 'definition_only' ELSE 'core_concept' END AS topic_type, CASE WHEN n % 8 >= 6 THEN 'detailed' WHEN n % 3 = 0 THEN 'none' ELSE 'brief' END AS explanation_depth, CASE WHEN n % 8 >= 6 THEN 'needs_explanation' ELSE 'already_explained' END AS definition_status, CAST(CASE WHEN n % 7 > 1 AND coalesce({_BAD_EDGE}, 0) = 0 THEN len(ws) ELSE 0 END AS INTEGER) AS n_edges FROM said", "asked said")
 def m07_default_on_failure(spark, d):
-    good, _ = model.parse_answer(_answers(spark, d), {"kind": list(topics.TYPES)})
-    rows = asked(spark, d).select("query_id").join(good.select("query_id", "kind"), "query_id", "left")
-    return rows.select("query_id", model.default_on_failure(F.col("kind"), F.lit(topics.FAILED[0])).alias("topic_type"), F.lit(topics.FAILED[1]).alias("explanation_depth"))
+    """Classifications of which a quarter fails, and relations, whose default is an empty list."""
+    n = F.length("query")
+    fields = F.get(F.array(*map(F.lit, _KINDS)), n % 8).alias("topic_type"), F.when(n % 3 == 0, "none").otherwise("brief").alias("explanation_depth"), F.lit("already_explained").alias("definition_status")
+    rows = asked(spark, d).select("query_id", F.when(n % 8 == 7, "").otherwise(F.to_json(F.struct(*fields))).alias("answer"))
+    kinds = answers.typed_or_default(rows, answers.CLASSIFICATION, {f: F.lit(v) for f, v in zip(answers.CLASSIFICATION.root.fields, topics.FAILED)})
+    edges = answers.typed_or_default(edge_answers(spark, d), answers.RELATIONS)
+    return kinds.select("query_id", *answers.CLASSIFICATION.root.fields).join(edges.select("query_id", F.size("relationships").alias("n_edges")), "query_id")
 
 
 # --- G: topic intelligence -----------------------------------------------
