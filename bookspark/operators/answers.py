@@ -104,8 +104,12 @@ def fault(v: Column, path: Column, kind) -> Column:
     if isinstance(kind, Many):
         inner = F.transform(_items(v), lambda x, i: fault(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), kind.of))
         return present.when(~shape.startswith("ARRAY"), say("is not a list")).otherwise(F.get(F.filter(inner, lambda x: x.isNotNull()), F.lit(0)))
-    below = [fault(_get(v, n), F.concat(path, F.lit(f".{n}")), k) for n, k in kind.fields.items()]
-    return present.when(~shape.startswith("OBJECT"), say("is not an object")).otherwise(_first(below))
+
+    def below(n: str, k) -> Column:
+        # a lambda reads each field once, and keeps the generated code small
+        return F.get(F.transform(F.array(_get(v, n)), lambda x: fault(x, F.concat(path, F.lit(f".{n}")), k)), F.lit(0))
+
+    return present.when(~shape.startswith("OBJECT"), say("is not an object")).otherwise(_first([below(n, k) for n, k in kind.fields.items()]))
 
 
 _DEEPER = "array<struct<path string, ord array<int>, name string, v variant>>"
@@ -149,7 +153,7 @@ def value(v: Column, kind) -> Column:
     if isinstance(kind, Text):
         return F.try_variant_get(v, "$", "string")
     if isinstance(kind, Flag):
-        return _flag(v)
+        return F.get(F.transform(F.array(v), _flag), F.lit(0))
     if isinstance(kind, Many):
         return F.transform(_items(v), lambda x: value(x, kind.of))
     if isinstance(kind, Optional):
