@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from bookspark import sources
 from bookspark.functions import norm_title, py_words, stable_id
 from bookspark.operators import answers, intents, model, notes, retrieval, store, structure, text, topics, vectors
+from bookspark.plans.nameindex import NameIndex
 from bookspark.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,19 +103,29 @@ def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
     return structure.flatten_structure(trees(spark, d))
 
 
+_INDEXES: dict[tuple[str, str], NameIndex] = {}
+
+
+def name_index(spark: SparkSession, d: str) -> NameIndex:
+    """The index of a folder's topics, built once a session, as a service would keep it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = NameIndex.build(topic_table(spark, d))
+    return _INDEXES[key]
+
+
 def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.search_by_keywords(asked(spark, d), topic_table(spark, d))
+    return retrieval.search_by_keywords(asked(spark, d), name_index(spark, d))
 
 
 def got(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.search_by_keywords(asked(spark, d), topic_table(spark, d), retrieval.LONG_LIMIT)
-    return retrieval.limit_per_query(retrieval.first_seen_distinct(found), asked(spark, d))
+    return retrieval.retrieve_by_keywords(asked(spark, d), name_index(spark, d))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Questions answered with passages, end to end: search, first-seen distinct, limits, coverage, context."""
     q = asked(spark, d)
-    found = retrieval.retrieve(q, topic_table(spark, d))
+    found = retrieval.retrieve(q, name_index(spark, d))
     return retrieval.knowledge_gap(found, q).join(retrieval.answer_context(found, q), "query_id")
 
 
@@ -264,7 +275,7 @@ R_ALL = "raw topics asked kw names pairs khits seen got"
 @query("SELECT q.query_id, t.ins_seq FROM (SELECT CAST(ins_seq AS VARCHAR) AS query_id, translate(left(topic, 6), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM topics WHERE ins_seq % 20 = 0) q JOIN (SELECT *, translate(topic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS a, translate(subtopic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b FROM topics) t ON t.a LIKE '%' || q.w || '%' OR coalesce(t.b LIKE '%' || q.w || '%', false)", "raw topics")
 def r01_search_topics(spark, d):
     q = topic_table(spark, d).where("ins_seq % 20 = 0").select(F.col("ins_seq").cast("string").alias("query_id"), F.substring("topic", 1, 6).alias("query"))
-    return retrieval.search_topics(q, topic_table(spark, d)).select("query_id", "ins_seq")
+    return retrieval.search_topics(q, name_index(spark, d), texts=False)
 
 
 @query("SELECT query_id, kw_pos, ins_seq FROM khits", "raw topics asked kw names pairs khits")
@@ -272,17 +283,17 @@ def r02_search_by_keywords(spark, d):
     return keyword_hits(spark, d).select("query_id", F.col("kw_pos").cast("long").alias("kw_pos"), "ins_seq")
 
 
-@query("SELECT query_id, kw_pos, ins_seq FROM khits WHERE query_id NOT LIKE '%0:%' UNION ALL SELECT query_id, -1, ins_seq FROM asked JOIN topics ON book_id = 'b' || split_part(query_id, ':', 1) WHERE query_id LIKE '%0:%'", "raw topics asked kw names pairs khits")
+@query("SELECT query_id, kw_pos, ins_seq FROM khits WHERE query_id NOT LIKE '%0:%' UNION ALL SELECT query_id, -1, ins_seq FROM asked JOIN topics ON book_id = 'b' || split_part(query_id, ':', 1) WHERE query_id LIKE '%0:%' AND query_id NOT LIKE '%00:%' AND query_id NOT LIKE '0:%' UNION ALL SELECT query_id, -1, ins_seq FROM asked, topics WHERE query_id LIKE '%00:%' OR query_id LIKE '0:%'", "raw topics asked kw names pairs khits")
 def r03_route_scope(spark, d):
-    """Conversations whose id ends in 0 ask for the whole book of that number."""
+    """Conversations whose id ends in 0 ask for the whole book of that number, those of 0 and the hundreds for all books."""
     q = asked(spark, d).withColumn("scope", F.when(F.col("query_id").like("%0:%"), "full_book").otherwise(F.col("scope")))
-    q = q.withColumn("book_id", F.concat(F.lit("b"), F.split_part("query_id", F.lit(":"), F.lit(1))))
-    return retrieval.hits(q, topic_table(spark, d)).select("query_id", F.col("kw_pos").cast("long").alias("kw_pos"), "ins_seq")
+    q = q.withColumn("book_id", F.when(~F.col("query_id").rlike("^(0|.*00):"), F.concat(F.lit("b"), F.split_part("query_id", F.lit(":"), F.lit(1)))))
+    return retrieval.hits(q, name_index(spark, d)).select("query_id", F.col("kw_pos").cast("long").alias("kw_pos"), "ins_seq")
 
 
 @query("SELECT query_id, kw_pos, ins_seq, raw_content FROM khits", "raw topics asked kw names pairs khits")
 def r04_hits(spark, d):
-    return retrieval.hits(asked(spark, d), topic_table(spark, d)).select("query_id", F.col("kw_pos").cast("long").alias("kw_pos"), "ins_seq", "raw_content")
+    return retrieval.hits(asked(spark, d), name_index(spark, d)).select("query_id", F.col("kw_pos").cast("long").alias("kw_pos"), "ins_seq", "raw_content")
 
 
 @query("SELECT query_id, raw_content, kw_pos, ins_seq FROM seen", "raw topics asked kw names pairs khits seen")
@@ -316,7 +327,7 @@ VIEWS["got_papers"] = RETRIEVED.format("papers")
 def r09_paper_retrieval(spark, d):
     rows = _t(spark, d, "conversations").where("role = 'user' and text is not null")
     papers = retrieval.paper_queries(rows.select(F.col("conv_id").cast("string").alias("paper_id"), F.col("turn").alias("pos"), F.col("text").alias("question")))
-    return retrieval.retrieve(papers, topic_table(spark, d))
+    return retrieval.retrieve(papers, name_index(spark, d))
 
 
 LASTS = "lw AS (SELECT query_id, ws[-1] AS l, ws[1] AS f FROM (SELECT query_id, list_filter(string_split_regex(query, '\\s+'), lambda w: w <> '') AS ws FROM asked) WHERE len(ws) > 0), tl AS (SELECT *, translate(topic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS a, translate(subtopic, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b FROM topics), hit1 AS (SELECT query_id, ins_seq FROM (SELECT query_id, translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM lw) JOIN tl ON contains(a, w) OR coalesce(contains(b, w), false)), hit2 AS (SELECT query_id, ins_seq FROM (SELECT query_id, translate(f, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM lw WHERE query_id NOT IN (SELECT query_id FROM hit1)) JOIN tl ON contains(a, w) OR coalesce(contains(b, w), false))"
@@ -325,7 +336,7 @@ VIEWS["lasts"] = LASTS
 
 @query("SELECT query_id, CAST(k AS INTEGER) AS rank, ins_seq FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ins_seq) AS k FROM (SELECT * FROM hit1 UNION ALL SELECT * FROM hit2)) WHERE k <= 3", "raw topics asked lasts")
 def r10_last_word_retrieval(spark, d):
-    return retrieval.last_word_retrieval(asked(spark, d), topic_table(spark, d)).select("query_id", "rank", "ins_seq")
+    return retrieval.last_word_retrieval(asked(spark, d), name_index(spark, d)).select("query_id", "rank", "ins_seq")
 
 
 @query("SELECT book_id AS query_id, string_agg('TOPIC: ' || topic || chr(10) || 'CONTENT: ' || raw_content || chr(10) || CASE WHEN subtopic IS NOT NULL THEN 'KEY POINTS:' || chr(10) || '- ' || subtopic || chr(10) || '- ' || topic ELSE '' END, chr(10) || '---' || chr(10) ORDER BY ins_seq) AS context FROM topics GROUP BY book_id", "raw topics")
@@ -341,7 +352,16 @@ VIEWS["got_items"] = RETRIEVED.format("wanted")
 @query("SELECT query_id, CAST(rank AS INTEGER) AS rank, raw_content FROM got_all", "raw topics asked items wanted got_items")
 def r12_per_item_retrieval(spark, d):
     items = retrieval.item_queries(asked(spark, d).select(F.col("query_id").alias("request_id"), F.col("query").alias("text")))
-    return retrieval.retrieve(items, topic_table(spark, d))
+    return retrieval.retrieve(items, name_index(spark, d))
+
+
+@query("SELECT query_id, CASE WHEN knowledge_gap AND NOT contains(query, 'the') THEN 'The provided material does not contain sufficient information.' WHEN length(query) % 3 < 2 THEN 'Error: Content generation failed.' ELSE right(query, 9) END AS answer FROM asked JOIN gap USING (query_id)", R_ALL + " gap")
+def r13a_answer_of_a_model(spark, d):
+    """A model that gives nothing for a third of the questions and no row for another."""
+    q, n = asked(spark, d).withColumn("allow_external_knowledge", F.col("query").contains("the")), F.length("query") % 3
+    given = q.where(n > 0).select("query_id", F.when(n == 2, F.right("query", F.lit(9))).otherwise("").alias("answer"))
+    found = got(spark, d)
+    return retrieval.answer(q, found, retrieval.knowledge_gap(found, q), given)
 
 
 @query("SELECT query_id, CASE WHEN knowledge_gap AND contains(query, ',') THEN 'The provided material does not contain sufficient information.' ELSE '## ' || query || chr(10) || chr(10) || coalesce(p, '') END AS answer FROM asked JOIN gap USING (query_id) LEFT JOIN (SELECT query_id, string_agg(CAST(rank AS VARCHAR) || '. ' || raw_content, chr(10) ORDER BY rank) AS p FROM got GROUP BY query_id) USING (query_id)", R_ALL + " gap")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from bookspark import sources
 from bookspark.functions import norm_title, py_strip
 from bookspark.operators import intents, model, notes, retrieval, store, structure, text, topics, vectors
-from bookspark.plans import containing
+from bookspark.plans.nameindex import NameIndex
 
 PAGES = "book_id string, file_id string, file_ordinal int, page_in_file int, text string"
 
@@ -51,7 +51,8 @@ def test_norm_title(spark, title, norm):
 def test_search_is_ascii_caseless_and_knows_wildcards(spark):
     names = spark.createDataFrame([("Über Alles",), ("Under_score",), ("percent % sign",), (None,)], "name string")
     words = spark.createDataFrame([("ALLES",), ("über",), ("r_s",), ("t%s",), ("zz",), ("er",)], "word string")
-    found = set(rows(containing(words, names)))
+    topics = names.select(F.monotonically_increasing_id().alias("ins_seq"), F.col("name").alias("topic"), F.lit(None).cast("string").alias("subtopic"), F.lit("text").alias("raw_content"))
+    found = set(rows(NameIndex.build(topics).search(words)))
     assert found == {("ALLES", "Über Alles"), ("r_s", "Under_score"), ("t%s", "percent % sign"), ("er", "Über Alles"), ("er", "Under_score"), ("er", "percent % sign")}
 
 
@@ -258,6 +259,18 @@ def test_hits_have_no_limit_and_stay_in_the_book(spark):
     assert got.where("query_id = 'q'").count() == 30
     assert rows(got.where("query_id = 'w'").select("kw_pos", "ins_seq")) == [(-1, 99)]
     assert retrieval.retrieve(q, t).where("query_id = 'q'").count() == 10
+    # without a book, or without the column for it, a whole request takes all topics
+    for asked in (q.where("query_id = 'w'").withColumn("book_id", F.lit(None).cast("string")), q.where("query_id = 'w'").drop("book_id")):
+        assert retrieval.hits(asked, t).count() == 31
+        assert [r["raw_content"] for r in retrieval.retrieve(asked, t).orderBy("rank").collect()] == [f"c{k}" for k in range(10)]
+
+
+def test_answers_of_a_model_that_fails(spark):
+    q = spark.createDataFrame([("a", "x", True), ("b", "x", True), ("c", "x", True), ("d", "x", False)], "query_id string, query string, allow_external_knowledge boolean")
+    gap = q.select("query_id", F.lit(True).alias("knowledge_gap"))
+    given = spark.createDataFrame([("a", "fine"), ("b", ""), ("d", "fine")], "query_id string, answer string")
+    got = spark.createDataFrame([], "query_id string, rank int, raw_content string")
+    assert dict(rows(retrieval.answer(q, got, gap, given))) == {"a": "fine", "b": retrieval.FAILED, "c": retrieval.FAILED, "d": retrieval.NO_MATERIAL}
 
 
 def test_nearest_against_brute_force(spark):
