@@ -11,6 +11,8 @@ from bookspark.functions import joined, py_strip
 #: Lines of a brief note; how requested depths are written.
 BRIEF = 3
 DEPTHS = {"very_short": "brief", "short": "brief", "medium": "detailed", "detailed": "detailed", "none": "none", "brief": "brief"}
+#: Fixed value: the context of a topic without relations.
+UNRELATED = "None identified."
 #: Fixed value: why a book is rejected.
 NO_NOTES = "No final notes generated."
 
@@ -19,24 +21,70 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), py_strip), lambda s: s != "")
 
 
-def write_notes(title: Column, content: Column, depth: Column) -> Column:
-    """The default note: a bullet a sentence, few or all by depth; no depth mentions the title only."""
+def write_notes(title: Column, content: Column, depth: Column, related: Column | None = None) -> Column:
+    """The default note: a bullet a sentence, few or all by depth; no depth mentions the title only.
+
+    related is the context of the title's relations; a detailed note ends with it, if there are any.
+    """
     own = sentences(content)
     bullets = lambda a: F.concat(F.lit("- "), F.array_join(a, "\n- "))
     kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DEPTHS.items() for x in kv]), depth), F.lit("detailed"))
     text = F.when(kind == "none", F.concat(F.lit("- "), title)).when(kind == "brief", bullets(F.slice(own, 1, BRIEF))).otherwise(bullets(own))
+    if related is not None:
+        text = F.when((kind == "detailed") & (related != UNRELATED), F.concat(text, F.lit("\n- Related: "), related)).otherwise(text)
     return F.when(F.size(own) > 0, text).otherwise("")
 
 
+WORD = r"[\p{L}\p{N}]+"
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+
+
+def mentions_of(texts: DataFrame, titles: DataFrame) -> DataFrame:
+    """texts(book_id, id, words) and titles(book_id, title, words) -> (book_id, id, start, size, title) wherever a title's words follow each other in a text of its book.
+
+    A title meets the texts on its word that the book's texts have least often,
+    at the word's place; so neither texts nor titles are compared in pairs.
+    """
+    placed = texts.select("book_id", "id", F.posexplode("words").alias("at", "w"))
+    counts = placed.groupBy("book_id", "w").agg(F.count("*").alias("n"))
+    own = titles.select("book_id", "title", F.col("words").alias("tw"), F.posexplode("words").alias("offset", "w")).join(counts, ["book_id", "w"], "left")
+    # a title with a word that no text has is nowhere
+    rare = own.groupBy("book_id", "title", "tw").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "w")).alias("r")).where("r.n > 0")
+    rare = rare.select("book_id", "title", "tw", F.col("r.offset").alias("offset"), F.col("r.w").alias("w"))
+    met = placed.join(rare, ["book_id", "w"]).where("at >= offset").select("book_id", "id", (F.col("at") - F.col("offset")).alias("start"), "title", "tw")
+    with_words = met.join(texts.select("book_id", "id", "words"), ["book_id", "id"])
+    return with_words.where(F.slice("words", F.col("start") + 1, F.size("tw")) == F.col("tw")).select("book_id", "id", "start", F.size("tw").alias("size"), "title")
+
+
+def leftmost_longest(found: Column) -> Column:
+    """Of an array of (start, size, ...) those that stand, from the left, the longest of each start first, without overlap."""
+    order = F.array_sort(found, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["size"] - a["size"]))
+    step = lambda kept, x: F.when((F.size(kept) == 0) | (x["start"] >= F.element_at(kept, -1)["start"] + F.element_at(kept, -1)["size"]), F.concat(kept, F.array(x))).otherwise(kept)
+    return F.aggregate(order, F.filter(order, lambda x: F.lit(False)), step)
+
+
 def refer_to_explained(notes: DataFrame) -> DataFrame:
-    """(book_id, node, ord, title, note) with bullets of titles explained earlier replaced by a reference.
+    """(book_id, node, ord, title, note) -> (book_id, node, note) with references to titles that an earlier node of the book explained.
 
-    A bullet that is such a title by itself becomes `See [title] for details`; an equi-join finds it.
+    A bullet that is such a title by itself becomes `See [title] for details`;
+    within a sentence `(see [title] for details)` follows it. Titles are found
+    word by word, in any case, from the left, the longest first, without overlap.
     """
-    firsts = notes.where(py_strip(F.col("note")) != "").groupBy("book_id", F.lower("title").alias("k")).agg(F.min("ord").alias("first"), F.min_by("title", "ord").alias("name"))
-    rows = notes.select("book_id", "node", "ord", F.posexplode_outer(F.split("note", "\n")).alias("pos", "bullet")).withColumn("k", F.lower(F.regexp_replace("bullet", r"^- |\.$", "")))
-    rows = rows.join(firsts, ["book_id", "k"], "left")
-    line = F.when(F.col("first") < F.col("ord"), F.concat(F.lit("- See ["), "name", F.lit("] for details"))).otherwise(F.col("bullet"))
+    firsts = notes.where(py_strip(F.col("note")) != "").groupBy("book_id", _words(F.lower("title")).alias("words")).agg(F.min("ord").alias("first"), F.min_by("title", "ord").alias("name")).where("size(words) > 0")
+    bullets = notes.select("book_id", "node", "ord", F.posexplode_outer(F.split("note", "\n")).alias("pos", "bullet")).withColumn("id", F.struct("node", "pos"))
+    texts = bullets.select("book_id", "id", _words(F.lower("bullet")).alias("words"))
+    met = mentions_of(texts, firsts.select("book_id", F.struct("first", "name").alias("title"), "words"))
+    earlier = met.join(bullets.select("book_id", "id", "ord"), ["book_id", "id"]).where("title.first < ord")
+    kept = earlier.groupBy("book_id", "id").agg(leftmost_longest(F.collect_set(F.struct("start", "size", F.col("title.name").alias("name")))).alias("m"))
+    rows = bullets.join(kept, ["book_id", "id"], "left")
+    own, gaps = _words(F.col("bullet")), F.split("bullet", WORD)
+    first = F.get("m", F.lit(0))
+    after = F.map_from_entries(F.transform("m", lambda x: F.struct(x["start"] + x["size"] - 1, F.concat(F.lit(" (see ["), x["name"], F.lit("] for details)")))))
+    marked = F.concat(F.array_join(F.transform(own, lambda w, i: F.concat(F.get(gaps, i), w, F.coalesce(F.element_at(after, i), F.lit("")))), ""), F.get(gaps, F.size(own)))
+    line = F.when(F.col("m").isNull(), F.col("bullet")).when((first["start"] == 0) & (first["size"] == F.size(own)), F.concat(F.lit("- See ["), first["name"], F.lit("] for details"))).otherwise(marked)
     return rows.groupBy("book_id", "node").agg(joined(line, F.col("pos"), "\n").alias("note"))
 
 

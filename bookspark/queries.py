@@ -462,10 +462,27 @@ _S = "list_filter(list_transform(string_split_regex(replace(replace(replace(cont
 VIEWS["written"] = f"written AS (SELECT book_id, ord, title, CASE WHEN len(s) = 0 THEN '' WHEN ord % 3 = 0 THEN '- ' || title WHEN ord % 3 = 1 THEN '- ' || array_to_string(s[1:3], chr(10) || '- ') ELSE '- ' || array_to_string(s, chr(10) || '- ') END AS note FROM (SELECT book_id, ord, title, {_S} AS s FROM noted))"
 
 
-@query("SELECT ord, string_agg(CASE WHEN first < ord THEN '- See [' || name || '] for details' ELSE bullet END, chr(10) ORDER BY p) AS note FROM (SELECT book_id, ord, unnest(l) AS bullet, unnest(range(0, len(l))) AS p FROM (SELECT book_id, ord, string_split(note, chr(10)) AS l FROM written)) b LEFT JOIN (SELECT book_id, lower(title) AS k, min(ord) AS first, arg_min(title, ord) AS name FROM written WHERE note <> '' GROUP BY book_id, lower(title)) f ON b.book_id = f.book_id AND lower(regexp_replace(bullet, '^- |\\.$', '', 'g')) = f.k GROUP BY ord", "raw topics noted written")
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+VIEWS["referred"] = (
+    "related AS (SELECT w.book_id, ord, title, CASE WHEN note <> '' AND ord % 3 = 2 AND r.k IS NOT NULL THEN note || chr(10) || '- Related: ' || w.book_id || ' (explains)' ELSE note END AS note FROM written w LEFT JOIN (SELECT DISTINCT book_id, topic AS k FROM topics WHERE source_page % 2 = 0) r ON r.book_id = w.book_id AND r.k = w.title), "
+    f"bul AS (SELECT book_id, ord, p, bullet, {_WORDS.format('bullet')} AS ws FROM (SELECT book_id, ord, unnest(l) AS bullet, unnest(range(0, len(l))) AS p FROM (SELECT book_id, ord, string_split(note, chr(10)) AS l FROM related))), "
+    f"tit AS (SELECT book_id, tw, min(ord) AS first, arg_min(title, ord) AS name FROM (SELECT book_id, ord, title, {_WORDS.format('title')} AS tw FROM related WHERE note <> '') WHERE len(tw) > 0 GROUP BY book_id, tw), "
+    "met AS (SELECT book_id, ord, p, len(ws) AS n, s, len(tw) AS size, name FROM (SELECT b.*, t.tw, t.name, unnest(range(0, len(ws))) AS s FROM bul b JOIN tit t ON t.book_id = b.book_id AND t.first < b.ord AND list_has_all(b.ws, t.tw)) WHERE ws[s + 1 : s + len(tw)] = tw), "
+    "pick(book_id, ord, p, n, s, size, name) AS ((SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY book_id, ord, p ORDER BY s, size DESC) = 1) UNION ALL (SELECT m.* FROM pick k JOIN met m ON m.book_id = k.book_id AND m.ord = k.ord AND m.p = k.p AND m.s >= k.s + k.size QUALIFY row_number() OVER (PARTITION BY m.book_id, m.ord, m.p ORDER BY m.s, m.size DESC) = 1)), "
+    "refs AS (SELECT book_id, ord, p, max(n) AS n, list(s + size - 1) AS ends, list(name) AS names, bool_or(s = 0 AND size = n) AS all_ FROM pick GROUP BY book_id, ord, p), "
+    "shown AS (SELECT b.ord, b.p, CASE WHEN ends IS NULL THEN bullet WHEN all_ THEN '- See [' || names[1] || '] for details' ELSE array_to_string(list_transform(range(0, len(ows)), lambda i: gaps[i + 1] || ows[i + 1] || coalesce(' (see [' || names[list_position(ends, i)] || '] for details)', '')), '') || gaps[len(ows) + 1] END AS line FROM (SELECT *, regexp_extract_all(bullet, '[\\p{L}\\p{N}]+') AS ows, string_split_regex(bullet, '[\\p{L}\\p{N}]+') AS gaps FROM bul) b LEFT JOIN refs USING (book_id, ord, p))"
+)
+
+
+@query("SELECT ord, string_agg(line, chr(10) ORDER BY p) AS note FROM shown GROUP BY ord", "raw topics noted written referred")
 def w01_write_notes(spark, d):
+    """Titles at even lines are related to their book."""
+    t = topic_table(spark, d)
+    edges = t.where("source_page % 2 = 0").select("book_id", F.col("topic").alias("src"), F.col("book_id").alias("dst"), F.lit("explains").alias("relation")).distinct()
+    nodes = noted(spark, d).select("book_id", "ord", F.col("title").alias("topic"), "content")
+    context = topics.relationship_context(edges, nodes).select("book_id", "topic", "context")
     depth = F.element_at(F.array(F.lit("none"), F.lit("short"), F.lit("detailed")), (F.col("ord") % 3 + 1).cast("int"))
-    out = noted(spark, d).select("book_id", F.col("ord").alias("node"), "ord", "title", notes.write_notes(F.col("title"), F.col("content"), depth).alias("note"))
+    out = nodes.join(context, ["book_id", "topic"]).select("book_id", F.col("ord").alias("node"), "ord", F.col("topic").alias("title"), notes.write_notes(F.col("topic"), F.col("content"), depth, F.col("context")).alias("note"))
     return notes.refer_to_explained(out).select(F.col("node").alias("ord"), "note")
 
 
