@@ -273,26 +273,6 @@ def test_answers_of_a_model_that_fails(spark):
     assert dict(rows(retrieval.answer(q, got, gap, given))) == {"a": "fine", "b": retrieval.FAILED, "c": retrieval.FAILED, "d": retrieval.NO_MATERIAL}
 
 
-def test_nearest_against_brute_force(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(2)
-    v = np.round(rng.normal(size=(300, 6)), 1)
-    v[7], v[8] = v[9], 0
-    df = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(v)] + [(300, None)], "vec_id long, embedding array<float>").repartition(3)
-    q = df.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as query_vector")
-    w = v.astype(np.float32).astype(float)
-    for k in range(0, 300, 20):
-        d = np.round(((w - w[k]) ** 2).sum(1), 9)
-        got = vectors.knn_l2(q, df, 5).where(F.col("query_id") == k).orderBy("rank").collect() if k == 0 else None
-        if got:
-            assert [r["vec_id"] for r in got] == np.lexsort((np.arange(300), d))[:5].tolist()
-            c = np.array([w[k] @ x / np.sqrt((w[k] @ w[k]) * (x @ x)) if (x @ x) else -9 for x in w])
-            best = vectors.cosine_scores(q, df, 5).where(F.col("query_id") == k).orderBy("rank").collect()
-            assert [r["vec_id"] for r in best] == np.lexsort((np.arange(300), -np.round(c, 9)))[:5].tolist()
-    assert vectors.knn_l2(q, df, 5).count() == 15 * 5 and vectors.cosine_scores(q, df, 5).where("vec_id = 8").count() == 0
-
-
 def test_embedding_is_weighed_counts_of_unit_length(spark):
     import math
 
