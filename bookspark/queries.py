@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from bookspark import sources
 from bookspark.functions import norm_title, py_words, stable_id
-from bookspark.operators import answers, intents, model, notes, retrieval, store, structure, text, topics, vectors
+from bookspark.operators import answers, bookstore, intents, model, notes, retrieval, store, structure, text, topics, vectors
 from bookspark.plans.nameindex import NameIndex
 from bookspark.session import shared_folder
 
@@ -114,6 +114,19 @@ def name_index(spark: SparkSession, d: str) -> NameIndex:
     return _INDEXES[key]
 
 
+_STORES: dict[tuple[str, str], bookstore.BookStore] = {}
+
+
+def topic_store(spark: SparkSession, d: str) -> bookstore.BookStore:
+    """The store of a folder's topics, written once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        made = bookstore.BookStore(spark, f"{_folder(spark)}/topics")
+        made.upsert(topic_table(spark, d), "ins_seq")
+        _STORES[key] = made
+    return _STORES[key]
+
+
 def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search_by_keywords(asked(spark, d), name_index(spark, d))
 
@@ -158,10 +171,14 @@ def s04_books_from_pages(spark, d):
     return sources.books_from_pages(pages(spark, d), F.concat(F.lit("file "), F.col("file_id").cast("string")))
 
 
-@query("SELECT o_custkey AS book_id, arg_max(o_orderkey, o_orderkey) AS title, max(o_orderkey) AS version FROM orders GROUP BY o_custkey")
+@query("SELECT book_id, CASE WHEN late IS NULL THEN even ELSE late END AS title, CASE WHEN late IS NULL THEN 2020 ELSE 2021 END AS processed_year FROM (SELECT o_custkey AS book_id, max(o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) AS even, max(o_orderkey) FILTER (WHERE o_orderkey % 2 = 1 AND o_custkey % 3 = 0) AS late FROM orders GROUP BY o_custkey) WHERE even IS NOT NULL OR late IS NOT NULL")
 def s05_upsert(spark, d):
-    rows = _t(spark, d, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("title"), F.col("o_orderkey").alias("version"))
-    return store.upsert(rows.where("title % 2 = 0"), rows.where("title % 2 = 1").unionByName(rows.where("title % 2 = 0")), "book_id")
+    """A store of each customer's even orders, into which the odd ones of every third customer come."""
+    rows = _t(spark, d, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("title"))
+    books = bookstore.BookStore(spark, f"{_folder(spark)}/books")
+    books.upsert(rows.where("title % 2 = 0"), "book_id", "title", F.lit("2020-06-01 00:00:00"))
+    books.upsert(rows.where("title % 2 = 1 and book_id % 3 = 0"), "book_id", "title", F.lit("2021-06-01 00:00:00"))
+    return books.read().select("book_id", "title", F.year("processed_at").alias("processed_year"))
 
 
 @query("SELECT DISTINCT lower(topic) AS topic_key, true AS explained FROM topics", "raw topics")
@@ -207,7 +224,7 @@ def q02_list_all_books(spark, d):
 
 @query("SELECT ins_seq, topic, subtopic, raw_content FROM topics WHERE book_id = 'b3'", "raw topics")
 def q03_get_topics_by_book(spark, d):
-    return store.topics_by_book(topic_table(spark, d), "b3").select("ins_seq", "topic", "subtopic", "raw_content")
+    return topic_store(spark, d).book("b3").select("ins_seq", "topic", "subtopic", "raw_content")
 
 
 @query("SELECT book_id, ins_seq, topic, subtopic, raw_content FROM topics", "raw topics")
