@@ -80,6 +80,13 @@ def default_intent(kind: str, text: Column | None = None) -> dict[str, Column]:
     return _given(DEFAULTS[kind], F.lit(None).cast("string") if text is None else text)
 
 
+def legacy_rewrite_intent(argument: Column) -> dict[str, Column]:
+    """The intent of a bare rewrite command: of the whole book for `book` or no argument, else of a topic."""
+    word = F.coalesce(argument, F.lit("book"))
+    own = default_intent("rewrite")
+    return own | {"scope": F.when(word == "book", "full_book").otherwise("specific_topic"), "normalized_query": F.concat(F.lit("rewrite "), word)}
+
+
 def route_intent(intents: DataFrame, books: DataFrame) -> DataFrame:
     """intents with route: refused for a whole book that isn't there, else rewrite or retrieve."""
     known = books.select("book_id").distinct().withColumn("__known", F.lit(True))

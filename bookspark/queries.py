@@ -145,6 +145,23 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 # --- S: sources and sinks ------------------------------------------------
 
 
+VIEWS["chosen"] = "chosen AS (SELECT doc_id AS file_id FROM (SELECT doc_id, doc_id // 4 AS b FROM documents) WHERE CASE WHEN b % 4 < 2 THEN doc_id % 4 = 1 WHEN b % 16 = 2 THEN false ELSE doc_id % 3 <> 2 END)"
+
+
+@query("SELECT book_id, file_id, page_in_file, CAST(page_number AS INTEGER) AS page_number, text FROM (SELECT book_id, file_id, page_in_file, CASE WHEN page_in_file % 7 = 0 THEN '' ELSE trim(line) END AS text, row_number() OVER (PARTITION BY book_id ORDER BY file_id, page_in_file) AS page_number FROM raw JOIN chosen USING (file_id)) WHERE text <> ''", "raw chosen")
+def s01a_choose_files(spark, d):
+    """Books that name their second file, below their folder or by its whole path; others take the folder's, of which a third are no PDFs; some folders are wrong."""
+    ids = _t(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 4).alias("b"))
+    folder = F.concat(F.lit("/books/b"), F.col("b").cast("string"))
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.get(F.array(F.lit(".pdf"), F.lit(".PDF"), F.lit(".txt")), (F.col("doc_id") % 3).cast("int")))
+    files = ids.select(F.concat(folder, F.lit("/"), name).alias("path"), F.col("doc_id").alias("file_id"), "b", folder.alias("folder"), name.alias("name"))
+    second = F.max(F.when(F.col("file_id") % 4 == 1, F.when(F.col("b") % 4 == 0, F.col("name")).when(F.col("b") % 4 == 1, F.col("path"))))
+    requests = files.groupBy("b").agg(F.min("folder").alias("f"), second.alias("named")).where("b % 4 > 1 or named is not null")
+    requests = requests.select(F.concat(F.lit("b"), F.col("b").cast("string")).alias("book_id"), F.when(F.col("b") % 16 == 2, "/none/").otherwise(F.concat("f", F.lit("/"))).alias("folder"), "named")
+    chosen, _ = sources.choose_files(requests, files.select("path", "file_id"))
+    return sources.paginate(raw_pages(spark, d).join(chosen.select("file_id"), "file_id", "left_semi")).select("book_id", "file_id", "page_in_file", "page_number", "text")
+
+
 @query("SELECT book_id, file_id, page_in_file, CAST(page_number AS INTEGER) AS page_number, text FROM pages", "raw pages")
 def s01_paginate(spark, d):
     return pages(spark, d).select("book_id", "file_id", "page_in_file", "page_number", "text")
@@ -593,10 +610,14 @@ def i04_fallback_intent(spark, d):
     return intents.with_fallback(rows).select("query_id", *intents.FIELDS)
 
 
-@query("SELECT query_id, CASE WHEN length(query) % 3 = 2 THEN 'question_answer' ELSE 'rewrite_book' END AS task_type, CASE WHEN length(query) % 3 = 2 THEN 'single_question' ELSE 'full_book' END AS scope, 'medium' AS depth, 'standard' AS language_level, CASE WHEN length(query) % 3 = 1 THEN 'exam_oriented' ELSE 'paragraph' END AS format_type, false AS allow_external_knowledge, CASE WHEN length(query) % 3 = 2 THEN query ELSE 'rewrite book' END AS normalized_query FROM asked", "asked")
+_K = "length(query) % 5"
+
+
+@query(f"SELECT query_id, CASE WHEN {_K} = 2 THEN 'question_answer' ELSE 'rewrite_book' END AS task_type, CASE WHEN {_K} = 2 THEN 'single_question' WHEN {_K} = 3 THEN 'specific_topic' ELSE 'full_book' END AS scope, 'medium' AS depth, 'standard' AS language_level, CASE WHEN {_K} = 1 THEN 'exam_oriented' ELSE 'paragraph' END AS format_type, false AS allow_external_knowledge, CASE WHEN {_K} = 2 THEN query WHEN {_K} = 3 THEN 'rewrite ' || query ELSE 'rewrite book' END AS normalized_query FROM asked", "asked")
 def i05_default_intents(spark, d):
-    kinds = [intents.default_intent(k, F.col("query")) for k in ("rewrite", "export", "ask")]
-    pick = lambda f: F.get(F.array(*[k[f] for k in kinds]), F.length("query") % 3)
+    """Rewrite, export and ask, and the bare rewrite of a topic and of no argument."""
+    kinds = [*[intents.default_intent(k, F.col("query")) for k in ("rewrite", "export", "ask")], intents.legacy_rewrite_intent(F.col("query")), intents.legacy_rewrite_intent(F.lit(None).cast("string"))]
+    pick = lambda f: F.get(F.array(*[k[f] for k in kinds]), F.length("query") % 5)
     return asked(spark, d).select("query_id", *[pick(f).alias(f) for f in intents.FIELDS])
 
 

@@ -9,6 +9,30 @@ from pyspark.sql.window import Window
 from bookspark.functions import joined, py_strip
 
 
+#: Fixed value: the end of the names of files that are taken from a folder, in any case.
+SUFFIX = ".pdf"
+
+
+def choose_files(requests: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(book_id, folder, named) and files(path, ...) -> (files with book_id, requests without a file, with a reason).
+
+    A request takes the one file that it names, by an absolute path or one below its
+    folder, whatever its suffix; without a name all files directly in the folder
+    that end with SUFFIX. Both are equi-joins.
+    """
+    target = F.when(F.col("named").startswith("/"), F.col("named")).otherwise(F.concat_ws("/", F.regexp_replace("folder", "/+$", ""), "named"))
+    named = requests.where("named is not null and named <> ''").select("book_id", target.alias("path"))
+    all_of = requests.where("named is null or named = ''").select("book_id", F.regexp_replace("folder", "/+$", "").alias("__folder"))
+    whole = files.where(F.lower("path").endswith(SUFFIX)).withColumn("__folder", F.regexp_replace("path", "/[^/]*$", ""))
+    chosen = named.join(files, "path").select("book_id", *files.columns).unionByName(whole.join(all_of, "__folder").select("book_id", *files.columns))
+    missing = requests.join(chosen.select("book_id").distinct(), "book_id", "left_anti")
+    return chosen, missing.withColumn("reason", F.lit(NO_FILES))
+
+
+#: Fixed value: why a request for files fails.
+NO_FILES = "No PDFs found."
+
+
 def paginate(pages: DataFrame) -> DataFrame:
     """(book_id, file_id, file_ordinal, page_in_file, text) -> kept pages with page_number.
 

@@ -176,6 +176,21 @@ def test_intents_of_commands(spark, kind, want):
     assert tuple(spark.createDataFrame([("why?",)], "t string").select(*[fields[f].alias(f) for f in intents.FIELDS]).first()) == want
 
 
+@pytest.mark.parametrize(("argument", "scope"), [("book", "full_book"), (None, "full_book"), ("Torts", "specific_topic"), ("Book", "specific_topic")])
+def test_bare_rewrites(spark, argument, scope):
+    fields = intents.legacy_rewrite_intent(F.col("t"))
+    got = spark.createDataFrame([(argument,)], "t string").select(*[fields[f].alias(f) for f in intents.FIELDS]).first()
+    assert tuple(got) == ("rewrite_book", scope, "medium", "standard", "paragraph", False, f"rewrite {argument or 'book'}")
+
+
+def test_files_are_named_or_all_of_a_folder(spark):
+    files = spark.createDataFrame([(f"/x/{n}",) for n in ("a.pdf", "b.PDF", "c.txt", "sub/d.pdf", "a.pdf.bak")] + [("/y/a.pdf",)], "path string")
+    asked = spark.createDataFrame([("all", "/x", None), ("slash", "/y/", ""), ("one", "/x/", "c.txt"), ("below", "/x", "sub/d.pdf"), ("whole", "/x", "/y/a.pdf"), ("none", "/x", "z.pdf"), ("empty", "/z", None)], "book_id string, folder string, named string")
+    chosen, missing = sources.choose_files(asked, files)
+    assert rows(chosen) == [("all", "/x/a.pdf"), ("all", "/x/b.PDF"), ("below", "/x/sub/d.pdf"), ("one", "/x/c.txt"), ("slash", "/y/a.pdf"), ("whole", "/y/a.pdf")]
+    assert rows(missing.select("book_id", "reason")) == [("empty", sources.NO_FILES), ("none", sources.NO_FILES)]
+
+
 @pytest.mark.parametrize(
     ("given", "want"),
     [
