@@ -39,96 +39,141 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _NAME = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+# Last parts of a compound name that only say the place or kind of what its first part names; parts by which a name says what an element has; what a site's own header is called.
+PLACES = frozenset("list left right top bottom area section container wrapper wrap box block inner outer bar panel posts articles stories links buttons icons items form".split())
+HAVING = frozenset("no not non has with without".split())
+SITE = frozenset("site global web top".split())
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "hash")
+    """articles, main and text are of the elements below: how many articles that are no comments, a main element or first heading, and any text."""
+
+    __slots__ = ("tag", "attributes", "children", "hash", "articles", "main", "text")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes, self.children, self.hash = tag, attributes, [], 0
+        self.articles, self.main, self.text = 0, False, False
+
+
+class _Path:
+    """The open elements, and where those of each name stand."""
+
+    def __init__(self, root: Element):
+        self.elements, self.places = [root], {}
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.elements))
+        self.elements.append(e)
+
+    def nearest(self, tags) -> int:
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=0)
+
+    def close(self, tags, fences) -> bool:
+        """Close the nearest open element of these names, if none of the fences is nearer."""
+        at = self.nearest(tags)
+        if not at or self.nearest(fences) > at:
+            return False
+        for e in self.elements[at:]:
+            self.places[e.tag].pop()
+        del self.elements[at:]
+        return True
 
 
 def parse(html: str) -> Element:
     """The element tree of a page; unclosed and stray tags are mended as browsers do it in the main."""
     root = Element("#root")
-    path = [root]
+    path = _Path(root)
     at = 0
     for m in _TOKEN.finditer(html):
         if m.start() > at:
-            path[-1].children.append(html[at : m.start()])
+            path.elements[-1].children.append(html[at : m.start()])
         at = m.end()
         if m["start"]:
             tag = m["start"].lower()
             if tag in CLOSES_P:
-                _close(path, {"p"}, {"table", "td", "th", "article", "section", "div", "button", "li"})
+                path.close({"p"}, {"table", "td", "th", "article", "section", "div", "button", "li"})
             if tag in CLOSES:
-                while _close(path, CLOSES[tag], FENCES[tag]):
+                while path.close(CLOSES[tag], FENCES[tag]):
                     pass
             new = Element(tag, m["attributes"] or "")
-            path[-1].children.append(new)
+            path.elements[-1].children.append(new)
             if tag not in VOID and not (m["attributes"] or "").endswith("/"):
-                path.append(new)
+                path.push(new)
         elif m["end"]:
             tag = m["end"].lower()
-            _close(path, {tag}, {"article", "main", "body"} if tag not in ("article", "main", "body", "html") else set())
+            path.close({tag}, {"article", "main", "body"} if tag not in ("article", "main", "body", "html") else set())
         elif m["raw"] is None:
             continue
     if at < len(html):
-        path[-1].children.append(html[at:])
+        path.elements[-1].children.append(html[at:])
     return root
 
 
-def _close(path: list[Element], tags: set[str], fences: set[str]) -> bool:
-    """Close the nearest open element of these names, if none of the fences is nearer."""
-    for k in range(len(path) - 1, 0, -1):
-        if path[k].tag in tags:
-            del path[k:]
-            return True
-        if path[k].tag in fences:
-            return False
-    return False
-
-
 def beside(e: Element, in_article: bool, articles: int = 0) -> bool:
     """The element never holds article text, by its name or what the site calls it; the page has so many articles."""
     if e.tag in DROPPED or e.tag == "header" and not in_article:
         return True
     if e.attributes and e.tag not in ("html", "body", "main"):
         for name, *values in _ATTRIBUTE.findall(e.attributes):
-            value, name = "".join(values).lower(), name.lower()
+            given, name = "".join(values), name.lower()
+            value = given.lower()
             if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
             if name in ("class", "id"):
-                # names as a whole: a part may say what the element has or has not
-                words = value.split() if e.tag != "article" else [w for w in _NAME.findall(value) if w.startswith("comment")]
-                if not BESIDE.isdisjoint(words) and not _holds_article(e, articles):
+                if e.tag == "article":
+                    found = any(w in BESIDE for w in _NAME.findall(value) if w.startswith("comment"))
+                else:
+                    found = any(map(_names_beside, given.split()))
+                if found and not _holds_article(e, articles):
                     return True
     return False
 
 
-def _articles(e: Element) -> tuple[int, bool]:
-    """How many articles that are no comments stand in e, and whether a main element or a first heading does."""
-    n, main, stack = 0, False, [e]
+def _names_beside(name: str) -> bool:
+    """A class name or id says that its element stands beside the article.
+
+    Of a compound name the last part counts, or the first if the last is but a
+    place; a name with a part of HAVING says what its element has.
+    """
+    if name.lower() in BESIDE:
+        return True
+    words = [w.lower() for w in _PART.findall(name)]
+    if len(words) < 2 or not HAVING.isdisjoint(words):
+        return False
+    if words[-1] == "header":
+        return words[0] in SITE
+    return words[-1] in BESIDE or words[-1] in PLACES and words[0] in BESIDE
+
+
+def _below(e: Element) -> list[Element]:
+    """e and the elements below it, each before its own."""
+    order, stack = [], [e]
     while stack:
-        for c in stack.pop().children:
+        x = stack.pop()
+        order.append(x)
+        stack += [c for c in x.children if not isinstance(c, str)]
+    return order
+
+
+def _counted(root: Element) -> None:
+    """Give every element its articles and main, from the leaves up."""
+    for x in reversed(_below(root)):
+        for c in x.children:
             if not isinstance(c, str):
-                n += c.tag == "article" and not beside(c, False)
-                main = main or c.tag in ("main", "h1")
-                stack.append(c)
-    return n, main
+                x.articles += c.articles + (c.tag == "article" and not beside(c, False))
+                x.main = x.main or c.main or c.tag in ("main", "h1")
 
 
 def _holds_article(e: Element, articles: int) -> bool:
     """All articles of the page, its main element or first heading are in e."""
-    if e.tag == "article":
-        return False
-    n, main = _articles(e)
-    return main or 0 < articles == n
+    return e.tag != "article" and (e.main or 0 < articles == e.articles)
 
 
 def trimmed(root: Element) -> list[Element]:
     """The elements that hold the page's text, all that is beside it taken out."""
-    articles = _articles(root)[0]
+    _counted(root)
+    articles = root.articles
     stack = [(root, False)]
     while stack:
         x, inside = stack.pop()
@@ -137,31 +182,15 @@ def trimmed(root: Element) -> list[Element]:
     return [root]
 
 
-def _has_text(e: Element) -> bool:
-    stack = [e]
-    while stack:
-        for c in stack.pop().children:
-            if isinstance(c, str):
-                if c.strip():
-                    return True
-            else:
-                stack.append(c)
-    return False
-
-
 def hashed(e: Element) -> None:
-    """Give every element below e the hash of its subtree: names, order and text without extra white space."""
+    """Give every element below e the hash of its subtree (names, order and text without extra white space), and whether there is text."""
     from xxhash import xxh64_intdigest
 
-    order, stack = [], [e]
-    while stack:
-        x = stack.pop()
-        order.append(x)
-        stack += [c for c in x.children if not isinstance(c, str)]
-    for x in reversed(order):
+    for x in reversed(_below(e)):
         parts = [x.tag]
         for c in x.children:
             parts.append(" ".join(unescape(c).split()) if isinstance(c, str) else f"\x00{c.hash}")
+            x.text = x.text or (bool(c.strip()) if isinstance(c, str) else c.text)
         x.hash = xxh64_intdigest("\x01".join(parts).encode("utf-8", "replace"), 0)
 
 
@@ -177,7 +206,7 @@ def subtrees(html: str) -> tuple[list[int], int]:
             for c in stack.pop().children:
                 if not isinstance(c, str):
                     stack.append(c)
-                    if c.tag in BLOCK and c.tag not in ("body", "article", "main", "br", "hr") and _has_text(c):
+                    if c.tag in BLOCK and c.tag not in ("body", "article", "main", "br", "hr") and c.text:
                         seen[c.hash] = None
     return list(seen), xxh64_intdigest(np.array(sorted(seen), np.uint64).tobytes(), 0)
 
