@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookspark.llm._shared import add_columns, without
+from bookspark.llm._shared import SMALL, add_columns, cut, without
 
 # Element names of HTML and names that sites give to parts beside the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -259,14 +259,19 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", least_pages:
         return run
 
     hashes = add_columns(named.select("__key", "__host", F.col(f"`{html}`").alias("__html")), "__html", "hashes array<long>, whole long", make_hashes).drop("__html")
-    hashes = hashes.where("size(hashes) > 0")
+    hashes = cut(hashes.where("size(hashes) > 0"))  # three plans ask for them: each page is read once
     # pages that are alike in all subtrees count once; a partial distinct comes before each shuffle
     counted = hashes.groupBy("__host", "whole").agg(F.first("hashes").alias("hashes"))
     sizes = counted.groupBy("__host").agg(F.count("*").alias("pages"))
     common = counted.select("__host", F.explode("hashes").alias("h")).groupBy("__host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    common = common.join(sizes, "__host").where((F.col("n") >= share * F.col("pages")) | (F.col("n") >= many_pages)).select("__host", "h")
-    mine = hashes.select("__key", "__host", F.explode("hashes").alias("h")).join(common, ["__host", "h"]).groupBy("__key").agg(F.collect_set("h").alias("__template"))
-    both = named.join(mine, "__key", "left")
+    common = cut(common.join(sizes, "__host").where((F.col("n") >= share * F.col("pages")) | (F.col("n") >= many_pages)).select("__host", "h"))
+    if common.limit(SMALL + 1).count() <= SMALL:
+        # the templates of all hosts go to the pages, and no page is shuffled
+        both = named.join(F.broadcast(common.groupBy("__host").agg(F.collect_set("h").alias("__template"))), "__host", "left")
+    else:
+        # by page and not by host, as a host may have a third of all pages
+        mine = hashes.select("__key", "__host", F.explode("hashes").alias("h")).join(common, ["__host", "h"]).groupBy("__key").agg(F.collect_set("h").alias("__template"))
+        both = named.join(mine, "__key", "left")
 
     def make_text():
         def run(rows):

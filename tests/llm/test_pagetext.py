@@ -53,3 +53,13 @@ def test_pages_of_odd_rows(spark):
     got = sorted(((r["page_id"] or 0, r["text"]) for r in pagetext.extract(pages).collect()))
     assert got == [(0, "one"), (1, ""), (2, ""), (3, "one"), (3, "one"), (4, "é & b c")]
     assert pagetext.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_templates_by_host_and_by_page_are_the_same(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(pagetext, "SMALL", 0)
+    part = "<section>about us {h}</section>"
+    rows = [(k, f"http://{h}.x/{k}", f"<p>text {k}</p>{part.format(h=h)}<p>end of {k % 2}</p>") for h in "abc" for k in range(6 if h != "c" else 3)]
+    got = pagetext.extract(prepare(spark).createDataFrame(rows, "page_id long, url string, html string"), share=0.6)
+    assert sorted((r["url"], r["text"]) for r in got.collect()) == sorted((u, f"text {k} end of {k % 2}" if u[7] != "c" else f"text {k} about us c end of {k % 2}") for k, u, _ in rows)
