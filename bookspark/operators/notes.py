@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from bookspark.functions import joined, py_strip
+from bookspark.plans.scan import scan
 
 #: Lines of a brief note; how requested depths are written.
 BRIEF = 3
@@ -98,9 +98,8 @@ def already_explained(nodes: DataFrame) -> DataFrame:
 
     The titles themselves are explained_titles(); a node's are its book's first n_explained.
     """
-    before = Window.partitionBy("book_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     own = F.when(py_strip(F.coalesce("content", F.lit(""))) != "", F.col("title"))
-    return nodes.withColumns({"n_explained": F.count(own).over(before), "last_explained": F.last(own, True).over(before)})
+    return scan(nodes, "book_id", "ord", lasts={"last_explained": own}, sums={"n_explained": own.isNotNull().cast("long")}, own=False)
 
 
 def explained_titles(nodes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bookspark.functions import joined, norm_title, py_strip, py_words, stable_id
+from bookspark.plans.scan import scan
 from bookspark.session import cut
 
 #: Fixed value: a heading line has at most so many characters.
@@ -88,10 +89,9 @@ def attach_content(resolved: DataFrame) -> DataFrame:
 
 
 def map_by_position(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each line that isn't a heading goes to the last heading before it; joined by unit and heading."""
+    """Each line that isn't a heading goes to the last heading before it, however long the book is; joined by unit and heading."""
     marked = lines.join(nodes.select("book_id", "line_no", F.lit(True).alias("head")), ["book_id", "line_no"], "left")
-    here = Window.partitionBy("book_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = marked.withColumn("node_line", F.last(F.when(F.col("head"), F.col("line_no")), True).over(here)).where("head is null and node_line is not null")
+    rows = scan(marked, "book_id", "line_no", lasts={"node_line": F.when(F.col("head"), F.col("line_no"))}).where("head is null and node_line is not null")
     return rows.groupBy("book_id", "unit_no", "node_line").agg(joined(F.col("line"), F.col("line_no"), "\n").alias("source_text"))
 
 

@@ -762,6 +762,15 @@ def g01_normalize_topics(spark, d):
     return topics.normalize_topics(topic_table(spark, d)).select("canonical_topic_name", F.size("alternative_names").cast("long").alias("n_alternatives"))
 
 
+@query()
+def g01a_normalize_with_short_forms(spark, d):
+    """Every fourth line gives its topic's first letters in brackets, which are topics elsewhere."""
+    t = topic_table(spark, d)
+    short = F.upper(F.array_join(F.transform(py_words(F.col("topic")), lambda w: F.left(w, F.lit(1))), ""))
+    texts = t.where("ins_seq % 4 = 0").select(F.concat("topic", F.lit(" ("), short, F.lit(") "), "raw_content").alias("text"))
+    names = t.select("topic").unionByName(t.where("ins_seq % 4 = 1").select(short.alias("topic")))
+    out = topics.normalize_topics(names, texts)
+    return out.select("canonical_topic_name", F.array_join("alternative_names", "|").alias("alternatives"))
 
 
 VIEWS["similar"] = "tokens AS (SELECT topic, len(l) AS n, unnest(l) AS t FROM (SELECT topic, list_distinct(list_filter(string_split_regex(lower(topic), '\\s+'), lambda w: w <> '')) AS l FROM (SELECT DISTINCT topic FROM topics))), near AS (SELECT a.topic AS a, b.topic AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.topic <> b.topic GROUP BY a.topic, b.topic, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*)) - 0.000000001), reach(node, c) AS (SELECT DISTINCT a, a FROM near UNION SELECT near.b, reach.c FROM reach JOIN near ON near.a = reach.node), grouped AS (SELECT c, list(node ORDER BY length(node) DESC, node) AS g FROM (SELECT node, min(c) AS c FROM reach GROUP BY node) GROUP BY c)"
