@@ -781,6 +781,14 @@ def g02_dedup_topics(spark, d):
     return topics.dedup_topics(topic_table(spark, d)).select("primary", F.array_join("secondary", "|").alias("secondary"))
 
 
+@query()
+def g02a_dedup_with_context(spark, d):
+    """Names with the first 200 characters of their first passage."""
+    t = topic_table(spark, d).groupBy("topic").agg(F.min_by("raw_content", "ins_seq").alias("first"))
+    rows = t.select("topic", text.context_snippet(F.array("first")).alias("snippet"))
+    return topics.dedup_topics(rows).select("primary", F.array_join("secondary", "|").alias("secondary"))
+
+
 @query("SELECT ins_seq, CASE WHEN contains(topic, ' ') THEN split_part(topic, ' ', 1) ELSE topic END AS topic FROM topics", "raw topics")
 def g03_apply_merges(spark, d):
     t = topic_table(spark, d)
