@@ -2,7 +2,8 @@
 
 Base entities (email, ip, card, phone) come from fixed patterns. They seed a
 bootstrapping: every identifier-like token, run of digit groups and base entity
-stands in two lexical patterns, the two words before it and the words on both sides. Patterns and instances are a
+stands in three lexical patterns: the two words before it, the words on both
+sides, and the word before it with its own shape. Patterns and instances are a
 graph. Its scores are computed in rounds: a pattern is as trustworthy as the
 share of known instances of a kind among its instances, an instance as its
 patterns together. Instances of trusted patterns that no base pattern finds
@@ -11,6 +12,8 @@ are added with the kind that they were found as.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +33,14 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 ROUNDS = 3
 #: A pattern needs this many different known instances, and this share of all its instances; an instance this score.
 LEAST_SEEDS, LEAST_SHARE, LEAST_SCORE = 3, 0.5, 0.8
-#: Characters of identifier-like tokens.
-SHORTEST, LONGEST = 5, 64
+#: Characters that an identifier-like token has at least.
+SHORTEST = 5
 #: Candidates beside the base entities: words with a digit or an @, and groups of digits with spaces between, as in cards and phones.
 WORD = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-RUN = r"(?<!\S)[+(]*+[0-9][0-9().+-]*+(?: ++\(?+[0-9][0-9().+-]*+){1,18}+(?![^\s,;:!?])"
-#: Characters on each side in which the context's words are looked up; of a longer word the nearest ones count.
-NEAR = 256
+_END = r"(?![^\s,;:!?])"
+RUN = rf"(?<!\S)[+(]*+[0-9][0-9().+-]*+{_END}(?: ++\(?+[0-9][0-9().+-]*+{_END})++"
+#: What stands in a pattern for a neighbouring word with a digit or an @, or for an entity.
+SLOT = "#"
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -51,14 +55,11 @@ def luhn(number: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
-def _valid(kind: str, found: Column) -> Column:
-    if kind == "ip":
-        return found.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$")
-    if kind == "card":
-        return luhn(found)
-    if kind == "phone":
-        return F.length(_digits(found)).between(9, 15)
-    return F.lit(True)
+def _valid(k: Column, found: Column) -> Column:
+    """The match of the kind at this place of KINDS is an entity."""
+    kind = dict(zip(KINDS, range(len(KINDS))))
+    octets = found.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$")
+    return F.when(k == kind["ip"], octets).when(k == kind["card"], luhn(found)).when(k == kind["phone"], F.length(_digits(found)).between(9, 15)).otherwise(True)
 
 
 def _totals(lengths: Column) -> Column:
@@ -78,61 +79,137 @@ def _totals(lengths: Column) -> Column:
     return F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(starts) - 1), running))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, whole>> of the pattern's matches in code points."""
-    parts = F.array(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")))
-    # every step is one value of a one-element array, which is made once however often the next one names it
-    parts = F.transform(parts, lambda p: F.struct(p["found"].alias("found"), F.zip_with(p["gaps"], p["found"], lambda g, f: F.length(g) + F.coalesce(F.length(f), F.lit(0))).alias("lengths")))
-    parts = F.transform(parts, lambda p: F.struct(p["found"].alias("found"), F.slice(_totals(p["lengths"]), F.lit(1), F.size(p["found"])).alias("ends")))
-    span = lambda f, e: F.struct((e - F.length(f)).alias("start"), e.alias("end"), f.alias("whole"))
-    return F.get(F.transform(parts, lambda p: F.zip_with(p["found"], p["ends"], span)), 0)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value made once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _found(text: Column, searched: list[str], body: Callable[[Column], Column]) -> Column:
+    """Array of body of struct<k, found, gaps, ends> of each pattern in `searched`: its place, matches, the text around them, and where they end in code points."""
+    none = F.expr("cast(array() as array<string>)")
+    needed = {PATTERNS[kind]: part for kind, part in NEEDS.items() if part}
+
+    def one(k: int, pattern: str) -> Column:
+        test = F.instr(text, needed[pattern]) > 0 if pattern in needed else F.lit(True)
+        parts = F.struct(F.lit(k).alias("k"), F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+        return F.when(test & text.rlike(pattern), parts).otherwise(F.struct(F.lit(k).alias("k"), none.alias("gaps"), none.alias("found")))
+
+    def placed(p: Column) -> Column:
+        lengths = F.zip_with(p["gaps"], p["found"], lambda g, f: F.length(g) + F.coalesce(F.length(f), F.lit(0)))
+        ends = _let(lengths, lambda n: F.slice(_totals(n), F.lit(1), F.size(p["found"])))
+        return _let(F.struct(p["k"].alias("k"), p["found"].alias("found"), p["gaps"].alias("gaps"), ends.alias("ends")), body)
+
+    return F.transform(F.array(*[one(k, pattern) for k, pattern in enumerate(searched)]), placed)
+
+
+def entities(text: Column) -> Column:
+    """array<struct<start, k, end>> of the base entities in code points, sorted; k is the kind's place in KINDS."""
+
+    def spans(p: Column) -> Column:
+        whole = F.zip_with(p["found"], p["ends"], lambda f, e: F.struct((e - F.length(f)).alias("start"), p["k"].alias("k"), e.alias("end"), f.alias("whole")))
+        good = F.filter(whole, lambda m: _valid(m["k"], m["whole"]))
+        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), m["k"].alias("k"), m["end"].alias("end")))
+
+    return F.array_sort(F.flatten(_found(text, list(PATTERNS.values()), spans)))
 
 
-def entities(text: Column, kind: str) -> Column:
-    """array<struct<start, k, end>> of the kind's entities in code points; k is the kind's place in KINDS."""
-    pattern, k = PATTERNS[kind], KINDS.index(kind)
-    good = F.filter(matches(text, pattern), lambda m: _valid(kind, m["whole"]))
-    out = F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("k"), m["end"].alias("end")))
-    test = F.instr(text, NEEDS[kind]) > 0 if NEEDS[kind] else F.lit(True)
-    return F.when(test & text.rlike(pattern), out).otherwise(F.expr("cast(array() as array<struct<start:bigint,k:int,end:bigint>>)"))
+def _beside(gap: Column) -> Column:
+    """struct<last, second, first>: the gap's last word, the one before it, and its first word, empty where there is none.
+
+    Punctuation between an entity and white space belongs to no word.
+    """
+    turned = r"^(?:[^A-Za-z0-9\s]++(?=\s|$))?+\s*+(\S++)?+(?:\s++(\S++))?+"
+
+    def word(found: Column) -> Column:
+        return F.when(found.rlike("[0-9@]"), F.lit(SLOT)).otherwise(F.lower(found))
+
+    backwards = _let(F.reverse(gap), lambda g: F.array(*[word(F.reverse(F.regexp_extract(g, turned, n))) for n in (1, 2)]))
+    return _let(backwards, lambda w: F.struct(F.get(w, 0).alias("last"), F.get(w, 1).alias("second"), word(F.regexp_extract(gap, r"^[^A-Za-z0-9\s]*+\s*+(\S++)", 1)).alias("first")))
+
+
+def _in_context(p: Column) -> Column:
+    """A pattern's part of _found() -> array<struct<start, end, token, k, second, last, next>>: its matches with two words before each and one after.
+
+    Only the two gaps before a match and the one after it are looked at, so a
+    text's work is linear; a match beyond an empty gap counts as a SLOT, and as two if it has white space.
+    """
+
+    def span(g: Column, f: Column, i: Column) -> Column:
+        end, mine, was, slot = F.get(p["ends"], i), F.get(g, i), F.get(g, i - 1)["last"], F.lit(SLOT)
+        earlier = lambda n: F.when(i >= n, slot).otherwise("")
+        over = F.when(i < 1, "").when(F.get(p["found"], i - 1).rlike(r"\s"), slot).when(was != "", was).otherwise(earlier(2))
+        last = F.when(mine["last"] != "", mine["last"]).otherwise(earlier(1))
+        second = F.when(mine["second"] != "", mine["second"]).when(mine["last"] != "", earlier(1)).otherwise(over)
+        after = F.get(g, i + 1)["first"]
+        after = F.when(after != "", after).when(i + 1 < F.size(p["found"]), slot).otherwise("")
+        return F.struct((end - F.length(f)).alias("start"), end.alias("end"), f.alias("token"), p["k"].alias("k"), second.alias("second"), last.alias("last"), after.alias("next"))
 
+    return _let(F.transform(p["gaps"], _beside), lambda g: F.transform(p["found"], lambda f, i: span(g, f, i)))
 
-def _matches(rows: DataFrame, pattern: str) -> DataFrame:
-    """rows with start and whole of each match of the pattern in text."""
-    found = rows.where(F.col("text").rlike(pattern)).select(*rows.columns, F.explode(matches(F.col("text"), pattern)).alias("m"))
-    return found.select(*rows.columns, "m.start", "m.whole")
+
+def _meets(base: Column, start: Column, end: Column) -> Column:
+    """[start, end) overlaps a span of `base`, an array of the kinds' sorted spans: the last one of a kind that starts before the end decides, found by bisection."""
+
+    def last_before(spans: Column) -> Column:
+        steps = F.sequence(F.ceil(F.log2(F.size(spans) + 1)).cast("int"), F.lit(1), F.lit(-1))
+        ahead = lambda at, step: at + F.pow(F.lit(2), step - 1).cast("int")
+        found = F.aggregate(steps, F.lit(-1), lambda at, step: F.when(F.get(spans, ahead(at, step))["start"] < end, ahead(at, step)).otherwise(at))
+        return F.coalesce(F.get(spans, found)["end"] > start, F.lit(False))
+
+    return F.exists(base, lambda spans: F.when(F.size(spans) > 0, last_before(spans)).otherwise(False))
 
 
 def tokens(documents: DataFrame) -> DataFrame:
-    """(id, row, text) -> (id, row, start, end, token, k, before, around): candidates and their patterns.
+    """(id, row, text) -> (id, row, start, end, token, k, second, last, next): candidates and the words beside them.
 
     Base entities have their kind k, with inner spaces and wherever they are
-    attached. Others are identifier-like: words and runs of digit groups that
-    no base entity overlaps, without punctuation at their ends.
+    attached. Others are identifier-like: words and runs of digit groups of any
+    length from SHORTEST on that no base entity overlaps, without punctuation at
+    their ends. A neighbouring word with a digit or an @ is a SLOT, as entities are.
+    """
+    rows = documents.where(F.col("text").rlike("[0-9@]"))
+    names, kinds = ("second", "last", "next"), len(KINDS)
+
+    def trimmed(m: Column) -> Column:
+        start = m["start"] + F.length(F.regexp_extract(m["token"], "^[^A-Za-z0-9+@(]*", 0))
+        token = F.regexp_replace(m["token"], "^[^A-Za-z0-9+@(]+|[^A-Za-z0-9]+$", "")
+        return _let(token, lambda t: F.struct(start.alias("start"), (start + F.length(t)).alias("end"), t.alias("token"), F.lit(None).cast("int").alias("k"), *[m[n].alias(n) for n in names]))
+
+    def free(base: Column, others: Column) -> Column:
+        good = F.filter(F.transform(F.flatten(others), trimmed), lambda m: (F.length(m["token"]) >= SHORTEST) & m["token"].rlike("[0-9@]"))
+        return F.concat(F.flatten(base), F.filter(good, lambda m: ~_meets(base, m["start"], m["end"])))
+
+    def known(of_kind: Column) -> Column:
+        return F.filter(of_kind, lambda m: _valid(m["k"], m["token"]))
+
+    every = _found(F.col("text"), [*PATTERNS.values(), WORD, RUN], _in_context)
+    found = _let(every, lambda a: _let(F.transform(F.slice(a, 1, kinds), known), lambda base: free(base, F.slice(a, kinds + 1, 2))))
+    # only the candidates leave a text's row
+    return rows.select("id", "row", F.explode(found).alias("m")).select("id", "row", "m.*")
+
+
+def shape(token: Column) -> Column:
+    """The token with 9 for each digit and a for each run of letters."""
+    return F.regexp_replace(F.regexp_replace(token, r"\p{L}++", "a"), r"\p{Nd}", "9")
+
+
+def patterns() -> Column:
+    """array<string> of the lexical patterns of a row of tokens(): two words before, words on both sides, word before and shape.
+
+    A pattern has all its words, and one that is no SLOT.
     """
-    rows = documents.where(F.col("text").rlike("[0-9@]")).select("id", "row", "text", F.concat(*[entities(F.col("text"), k) for k in KINDS]).alias("base"))
-    known = rows.select("id", "row", "text", F.explode("base").alias("s"))
-    known = known.select("id", "row", "text", "s.start", "s.end", F.expr("substring(text, cast(s.start + 1 as int), cast(s.end - s.start as int))").alias("token"), "s.k")
-    other = _matches(rows, WORD).unionByName(_matches(rows, RUN))
-    head = F.length(F.regexp_extract("whole", "^[^A-Za-z0-9+@(]*", 0))
-    other = other.withColumns({"token": F.regexp_replace("whole", "^[^A-Za-z0-9+@(]+|[^A-Za-z0-9]+$", ""), "start": (F.col("start") + head).cast("long")})
-    other = other.where(F.length("token").between(SHORTEST, LONGEST) & F.col("token").rlike("[0-9@]")).withColumn("end", F.col("start") + F.length("token"))
-    other = other.where(~F.exists("base", lambda b: (F.col("start") < b["end"]) & (b["start"] < F.col("end"))))
-    out = known.unionByName(other.select("id", "row", "text", "start", "end", "token", F.lit(None).cast("int").alias("k")))
-    left = F.expr(f"lower(substring(text, cast(greatest(start - {NEAR}, 0) + 1 as int), cast(least(start, {NEAR}) as int)))")
-    right = F.expr(f"lower(substring(text, cast(end + 1 as int), {NEAR}))")
-    # punctuation between the token and white space belongs to no word
-    out = out.withColumns({"left": F.regexp_replace(left, r"(^|\s)[^A-Za-z0-9\s]++$", "$1"), "right": F.regexp_replace(right, r"^[^A-Za-z0-9\s]++", "")})
-    two, one = r"(?<!\S)(\S++)\s++(\S++)\s*+$", r"(?<!\S)(\S++)\s*+$"
-    last = F.regexp_extract("left", one, 1)
-    before = F.concat_ws(" ", F.regexp_extract("left", two, 1), last)
-    return out.select("id", "row", "start", "end", "token", "k", before.alias("before"), F.concat(last, F.lit(" _ "), F.regexp_extract("right", r"^\s*+(\S++)", 1)).alias("around"))
+    def both(a: str, b: str) -> Column:
+        return (F.col(a) != "") & (F.col(b) != "") & ((F.col(a) != SLOT) | (F.col(b) != SLOT))
+
+    before = F.when(both("second", "last"), F.concat(F.lit("b:"), "second", F.lit(" "), "last"))
+    around = F.when(both("last", "next"), F.concat(F.lit("a:"), "last", F.lit(" _ "), "next"))
+    shaped = F.when((F.col("last") != "") & (F.col("last") != SLOT), F.concat(F.lit("s:"), "last", F.lit(" "), shape(F.col("token"))))
+    return F.array_compact(F.array(before, around, shaped))
 
 
 def discovered(found: DataFrame) -> DataFrame:
-    """tokens(token, k, before, around) -> (token, k): instances that trusted patterns give a kind, base ones left out."""
-    edges = found.select("token", F.explode(F.array(F.concat(F.lit("b:"), F.col("before")), F.concat(F.lit("a:"), F.col("around")))).alias("pattern"))
-    edges = cut(edges.where(F.col("pattern").rlike(r"^(b:.*\S \S|a:\S.* _ \S)")).distinct())
+    """Rows of tokens() -> (token, k): instances that trusted patterns give a kind, base ones left out."""
+    edges = cut(found.select("token", F.explode(patterns()).alias("pattern")).distinct())
     seeds = found.where("k is not null").groupBy("token").agg(F.min("k").alias("k")).withColumn("score", F.lit(1.0))
     seeds = cut(seeds)
     # only patterns of at least one seed can ever be trusted in the first round, and only their instances later
@@ -160,7 +237,7 @@ def find(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     """
     kept = without(documents, ["base_spans", "spans"])
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    base = F.array_sort(F.concat(*[entities(body, k) for k in KINDS]))
+    base = entities(body)
     rows = documents.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(body).alias("row"), body.alias("text"))
     found = cut(tokens(rows))
     new = found.where("k is null").drop("k").join(discovered(found), "token").select("id", "row", F.struct("start", "k", "end").alias("s"))
@@ -169,15 +246,20 @@ def find(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     all_rows = kept.withColumns({its_row: F.xxhash64(body), "base_spans": base})
     # few rows have more spans: then no text is shuffled
     both = all_rows.join(small(new, 3 * F.size(more)), F.col(f"`{doc_id}`").eqNullSafe(F.col(its_id)) & (F.col(its_row) == F.col(its_row2)), "left")
-    free = F.filter(more, lambda s: ~F.exists("base_spans", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
+    by_kind = F.array(*[_of(F.col("base_spans"), kind) for kind in KINDS])
+    free = _let(by_kind, lambda base: F.filter(more, lambda s: ~_meets(base, s["start"], s["end"])))
     spans = F.when(F.col(more).isNull(), F.col("base_spans")).otherwise(F.array_sort(F.concat("base_spans", free)))
     return both.select(*[F.col(f"`{c}`") for c in kept.columns], "base_spans", spans.alias("spans"))
 
 
+def _of(spans: Column, kind: str) -> Column:
+    k = KINDS.index(kind)
+    return F.filter(spans, lambda s: s["k"] == k)
+
+
 def count(spans: Column, kind: str) -> Column:
     """How many of the spans are of the kind."""
-    k = KINDS.index(kind)
-    return F.size(F.filter(spans, lambda s: s["k"] == k))
+    return F.size(_of(spans, kind))
 
 
 def written(spans: Column) -> Column:
