@@ -81,12 +81,14 @@ def small(rows: DataFrame, weight: Column | None = None) -> DataFrame:
 
 @contextmanager
 def stored(df: DataFrame) -> Iterator[DataFrame]:
-    """df as a Parquet table of the shared folder, deleted at the end: for rows that are wide, or read by column."""
+    """df as a Parquet table of the shared folder, deleted at the end or on an error: for rows that are wide, or read by column."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    yield df.sparkSession.read.parquet(path)
-    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.parquet(path)
+    finally:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def numbered(df: DataFrame, text: str) -> tuple[DataFrame, str, list[Column]]:

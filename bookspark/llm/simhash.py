@@ -189,17 +189,14 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _grouped(documents: DataFrame, text: str, doc_id: str, budget: int, width: int) -> DataFrame:
-    """near_duplicates() with __root, the component's smallest fingerprint."""
-    kept = without(documents, ["fingerprint", "component_id"])
-    found = cut(fingerprints(kept.withColumn("__id", F.col(f"`{doc_id}`")), text, width, "__bits"))
+def _grouped(documents: DataFrame, text: str, doc_id: str, budget: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """documents with __bits and __id, from the shared folder; and (__key, component_id, __root) of each fingerprint, the root its component's smallest one."""
+    found = cut(fingerprints(documents.withColumn("__id", F.col(f"`{doc_id}`")), text, width, "__bits"))
     keys = cut(found.groupBy(F.col("__bits").alias("bits")).agg(F.min("__id").alias("least")))
     groups = components(links(keys.select("bits"), budget))
     named = keys.join(groups, F.col("bits") == F.col("node"), "left").select("bits", "least", F.coalesce("component", "bits").alias("__root"))
     roots = named.groupBy("__root").agg(F.min("least").alias("component_id"))
-    named = named.join(roots, "__root").select(F.col("bits").alias("__key"), "component_id", "__root")
-    out = found.join(named, F.col("__bits") == F.col("__key"))
-    return out.select(*[F.col(f"`{c}`") for c in kept.columns], F.lower(F.lpad(F.hex("__bits"), 16, "0")).alias("fingerprint"), "component_id", "__root")
+    return found, named.join(roots, "__root").select(F.col("bits").alias("__key"), "component_id", "__root")
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", budget: int = 4, width: int = 4) -> DataFrame:
@@ -209,14 +206,20 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     Repeated rows stay. A null id is never the smallest unless all ids of its
     component are null. Columns of these names are replaced.
     """
-    return _grouped(documents, text, doc_id, budget, width).drop("__root")
+    kept = without(documents, ["fingerprint", "component_id"])
+    found, named = _grouped(kept, text, doc_id, budget, width)
+    out = found.join(named, F.col("__bits") == F.col("__key"))
+    return out.select(*[F.col(f"`{c}`") for c in kept.columns], F.lower(F.lpad(F.hex("__bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_each(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", budget: int = 4, width: int = 4) -> DataFrame:
     """documents with one row of each component: the smallest id, of repeated ids the smallest hash of the text."""
     # a component's rows are told by its root: ids can be null or stand in several components
     plain, text, restored = numbered(documents, text)
-    doc_id = plain.columns[documents.columns.index(doc_id)]
-    mine = _grouped(plain, text, doc_id, budget, width).where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    row = F.struct(*[F.col(c) for c in plain.columns])
-    return mine.groupBy("__root").agg(F.min_by(row, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("r")).select("r.*").select(*restored)
+    found, named = _grouped(plain, text, plain.columns[documents.columns.index(doc_id)], budget, width)
+    # rows are numbered as they lie in the shared folder, which a lost executor doesn't change; the choice is made without texts
+    found = found.withColumn("__n", F.monotonically_increasing_id())
+    order = F.struct(F.col("__id").isNull().alias("none"), "__id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), "__n")
+    narrow = found.select("__bits", order.alias("place"))
+    first = narrow.groupBy("__bits").agg(F.min("place").alias("place")).join(named, F.col("__bits") == F.col("__key")).groupBy("__root").agg(F.min("place").alias("place"))
+    return found.join(cut(first.select("place.__n")), "__n", "left_semi").select(*restored)
