@@ -96,14 +96,20 @@ def map_by_position(lines: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def map_by_mention(sentences: DataFrame, titles: DataFrame) -> DataFrame:
-    """(book_id, s_id, sentence) x (book_id, title) -> pairs where the sentence has the title, by its rarest word."""
+    """(book_id, s_id, sentence) x (book_id, title) -> pairs where the sentence has the title, and each of its words as a word.
+
+    They meet by the title's rarest word in the book; titles without words are looked for in all sentences of their book.
+    """
     words = lambda c: F.array_distinct(py_words(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))))
     in_text = sentences.select("book_id", "s_id", "sentence", F.explode(words(F.col("sentence"))).alias("w"))
     sizes = in_text.groupBy("book_id", "w").agg(F.count("*").alias("n"))
     asked = titles.select("book_id", "title", F.explode(words(F.col("title"))).alias("w")).join(sizes, ["book_id", "w"])
     rare = asked.groupBy("book_id", "title").agg(F.min(F.struct("n", "w")).alias("r")).select("book_id", "title", F.col("r.w").alias("w"))
-    found = in_text.join(rare, ["book_id", "w"])
-    return found.where(F.lower("sentence").contains(F.lower("title"))).select("book_id", "s_id", "title", "sentence")
+    has = F.lower("sentence").contains(F.lower("title"))
+    found = in_text.join(rare, ["book_id", "w"]).where(has).where(F.size(F.array_except(words(F.col("title")), words(F.col("sentence")))) == 0)
+    bare = sentences.join(titles.where(F.size(words(F.col("title"))) == 0).select("book_id", "title").distinct(), "book_id").where(has)
+    columns = ["book_id", "s_id", "title", "sentence"]
+    return found.select(columns).unionByName(bare.select(columns))
 
 
 def topic_rows(content: DataFrame) -> DataFrame:
