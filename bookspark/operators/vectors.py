@@ -17,15 +17,15 @@ PIVOTS, BLOCK, CELL, GROUP = 128, 65_536, 2_000_000, 2_000_000
 
 def embed(documents: DataFrame, dim: int = 256, text: str = "text") -> DataFrame:
     """documents with embedding array<float>: hashed word counts weighed by rarity, of unit length."""
-    from pyspark.ml.feature import IDF, HashingTF, Tokenizer
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
     from pyspark.ml.functions import vector_to_array
 
     words = Tokenizer(inputCol="__t", outputCol="__w").transform(documents.withColumn("__t", F.coalesce(F.col(text), F.lit(""))))
     counts = HashingTF(inputCol="__w", outputCol="__tf", numFeatures=dim).transform(words)
     weighed = IDF(inputCol="__tf", outputCol="__v").fit(counts).transform(counts)
-    v = weighed.withColumn("__a", vector_to_array("__v"))
-    norm = F.sqrt(F.aggregate("__a", F.lit(0.0), lambda a, x: a + x * x))
-    return v.withColumn("__n", norm).withColumn("embedding", F.transform("__a", lambda x: F.coalesce(F.try_divide(x, F.col("__n")), F.lit(0.0)).cast("float"))).select(*[c for c in documents.columns if c != "embedding"], "embedding")
+    # in a column expression the norm would be computed anew for each number of the vector
+    unit = Normalizer(inputCol="__v", outputCol="__u").transform(weighed)
+    return unit.withColumn("embedding", vector_to_array("__u", "float32")).select(*[c for c in documents.columns if c != "embedding"], "embedding")
 
 
 def dot(a: Column, b: Column) -> Column:
