@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,7 +93,7 @@ def acyclic(edges: DataFrame, order: Column, group: str = "book_id", src: str =
         sizes = work.groupBy("piece").agg(F.count("*").alias("n"))
         many = sizes.where(F.col("n") > largest).select("piece")
         small = work.join(many, "piece", "left_anti")
-        own = cut(_closed(small))
+        own = cut(_closed(small, largest))
         gone = own if gone is None else gone.unionAll(own)
         work = cut(work.join(many, "piece", "left_semi"))
         if work.isEmpty():
@@ -120,16 +121,21 @@ def _halved(work: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both, cut(later)
 
 
-def _closed(work: DataFrame) -> DataFrame:
-    """(t) of the edges that go, piece by piece."""
+def _closed(work: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(t) of the edges that go, piece by piece; a call of Python takes many small pieces, of some `largest` edges at most, and all tasks take part."""
     import pandas as pd
 
     def run(pdf):
-        rows = sorted(zip(pdf["u"], pdf["v"], pdf["t"]), key=lambda e: e[2])
-        return pd.DataFrame({"t": sorted(closing(rows, int(pdf["low"].iloc[0])))}, dtype="int64")
-
-    importable(work.sparkSession)
-    return work.groupBy("piece").applyInPandas(run, "t long")
+        pdf = pdf.sort_values(["piece", "t"])
+        edges = zip(pdf["piece"], pdf["low"], pdf["u"], pdf["v"], pdf["t"])
+        gone = [t for (_, low), rows in groupby(edges, key=lambda e: e[:2]) for t in closing([e[2:] for e in rows], int(low))]
+        return pd.DataFrame({"t": sorted(gone)}, dtype="int64")
+
+    spark = importable(work.sparkSession)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    groups = max(parts, 4 * work.count() // largest)
+    dealt = work.withColumn("deal", F.pmod(F.xxhash64("piece"), F.lit(groups)))
+    return dealt.repartition(parts, "deal").groupBy("deal").applyInPandas(run, "t long")
 
 
 def closing(edges: list[tuple], low: int = -1) -> set[int]:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from bookspark.plans import cycles
 from bookspark.operators.topics import map_relationships
 from bookspark.plans.cycles import acyclic, closing, components_of, strong_components
 
@@ -85,3 +86,13 @@ def test_relations_of_topics_have_no_cycle(spark):
     rows = spark.createDataFrame([("b", *r) for r in said], "book_id string, s_id string, topic string, sentence string")
     got = {tuple(r)[1:] for r in map_relationships(rows).collect()}
     assert got == {("alpha", "beta", "depends_on"), ("beta", "gamma", "depends_on")}
+
+
+def test_small_pieces_share_calls_and_all_tasks(spark):
+    rows = [(f"b{g}", str(u), str(v), t) for g in range(300) for t, (u, v) in enumerate([(1, 2), (2, 3), (3, 1), (3, 4)])]
+    kept = cycles.acyclic(spark.createDataFrame(rows, "book_id string, src string, dst string, t int"), F.col("t"))
+    assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[3] != 2)
+    work = spark.createDataFrame([(f"p{g}", u, v, 4 * g + k, -1) for g in range(300) for k, (u, v) in enumerate([("1", "2"), ("2", "1")])], "piece string, u string, v string, t long, low long")
+    closed = cycles._closed(work)
+    assert sorted(r.t for r in closed.collect()) == [4 * g + 1 for g in range(300)]
+    assert closed.rdd.getNumPartitions() == max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
