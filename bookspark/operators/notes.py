@@ -80,11 +80,17 @@ def refer_to_explained(notes: DataFrame) -> DataFrame:
     earlier = met.join(bullets.select("book_id", "id", "ord"), ["book_id", "id"]).where("title.first < ord")
     kept = earlier.groupBy("book_id", "id").agg(leftmost_longest(F.collect_set(F.struct("start", "size", F.col("title.name").alias("name")))).alias("m"))
     rows = bullets.join(kept, ["book_id", "id"], "left")
-    own, gaps = _words(F.col("bullet")), F.split("bullet", WORD)
-    first = F.get("m", F.lit(0))
     after = F.map_from_entries(F.transform("m", lambda x: F.struct(x["start"] + x["size"] - 1, F.concat(F.lit(" (see ["), x["name"], F.lit("] for details)")))))
-    marked = F.concat(F.array_join(F.transform(own, lambda w, i: F.concat(F.get(gaps, i), w, F.coalesce(F.element_at(after, i), F.lit("")))), ""), F.get(gaps, F.size(own)))
-    line = F.when(F.col("m").isNull(), F.col("bullet")).when((first["start"] == 0) & (first["size"] == F.size(own)), F.concat(F.lit("- See ["), first["name"], F.lit("] for details"))).otherwise(marked)
+    first = F.get("m", F.lit(0))
+
+    def shown(b: Column) -> Column:
+        marked = F.transform(b["own"], lambda w, i: F.concat(F.get(b["gaps"], i), w, F.coalesce(F.element_at(b["after"], i), F.lit(""))))
+        whole = F.concat(F.array_join(marked, ""), F.get(b["gaps"], F.size(b["own"])))
+        return F.when((first["start"] == 0) & (first["size"] == F.size(b["own"])), F.concat(F.lit("- See ["), first["name"], F.lit("] for details"))).otherwise(whole)
+
+    # an array of one, so that a bullet is cut once and not for each of its words
+    cuts = F.array(F.struct(_words(F.col("bullet")).alias("own"), F.split("bullet", WORD).alias("gaps"), after.alias("after")))
+    line = F.when(F.col("m").isNull(), F.col("bullet")).otherwise(F.get(F.transform(cuts, shown), F.lit(0)))
     return rows.groupBy("book_id", "node").agg(joined(line, F.col("pos"), "\n").alias("note"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -79,3 +80,12 @@ def test_plan_has_equi_joins_only(spark):
     rows = spark.createDataFrame([("b", 0, 0, "A", "- a")], NOTES)
     plan = notes.refer_to_explained(rows)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_long_bullet_is_cut_once(spark):
+    words = 8000
+    rows = [("b", 0, 0, "Tort", "- A wrong."), ("b", 1, 1, "Long", "- " + "word " * words + "tort")]
+    began = time.time()
+    got = {r["node"]: r["note"] for r in notes.refer_to_explained(spark.createDataFrame(rows, NOTES)).collect()}
+    assert got == {0: "- A wrong.", 1: "- " + "word " * words + "tort (see [Tort] for details)"}
+    assert time.time() - began < 40
