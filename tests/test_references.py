@@ -83,7 +83,7 @@ def test_plan_has_equi_joins_only(spark):
 
 
 def test_a_long_bullet_is_cut_once(spark):
-    words = 8000
+    words = 60_000
     rows = [("b", 0, 0, "Tort", "- A wrong."), ("b", 1, 1, "Long", "- " + "word " * words + "tort")]
     began = time.time()
     got = {r["node"]: r["note"] for r in notes.refer_to_explained(spark.createDataFrame(rows, NOTES)).collect()}
