@@ -11,8 +11,9 @@ component.
 A bucket's members are first compared with two leaders, which joins most
 copies. Members that are then still in different components are compared with
 each other: pair by pair in a small bucket, and in a crowded one by an exact
-similarity join, so that no pair that shares a band is left out. Pairs whose
-set sizes rule a link out are dropped before their texts are fetched.
+similarity join over what sets each line apart from the bucket's common text,
+so that no pair that shares a band is left out. Pairs whose set sizes rule a
+link out are dropped before their texts are fetched.
 
 Shingles are SHINGLE UTF-16 units, so a character beyond the basic plane
 counts as two, and they are compared by 64-bit hashes.
@@ -24,6 +25,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bookspark.llm._shared import components, cut, small, stored, unused, without
 
@@ -34,7 +36,7 @@ SIMILARITY = 0.8
 #: Lines with fewer characters between their white space are left alone; 1 leaves only blank lines alone.
 LEAST_CHARS = 1
 #: Open members of a bucket up to which its pairs are listed.
-CROWD = 5000
+CROWD = 32
 
 #: White space that is no part of a line.
 _BLANK = " \t\r\f\v"
@@ -96,18 +98,52 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def crossing(crowded: DataFrame, texts: DataFrame) -> DataFrame:
-    """crowded(a, c, size) of different a -> (a, b, ca, cb): candidates of different c; no pair of SIMILARITY is lost.
-
-    Prefix filter: shingles are ordered by rarity, and two similar lines share
-    one of each other's first n - ceil(SIMILARITY * n) + 1.
+    """crowded(a, c, band, first) -> (a, b, ca, cb): candidates of one band and different c; no link between components is lost.
+
+    Buckets of one leader, first, share a common text: the shingles that two of
+    three of its lines have. D, a line's difference from it, is small in near
+    copies, and with x(a) = |D(a)| - (1 - s) / (1 + s) * |a| two lines have a
+    similarity of s or more where x(a) + x(b) <= 2 * |D(a) and D(b) in common|.
+    Where the left side is not above 0, a and b are both linked to the line of
+    least x in their bucket. All others need a common difference. These go by
+    rarity: the first of them stands early enough in both lines that as many as
+    are needed can follow (prefix and position filter).
     """
-    own = crowded.select("a", "c").join(texts.select("a", "line"), "a").select("a", "c", F.array_distinct(shingles(F.col("line"))).alias("s"))
-    own = own.select("a", "c", F.size("s").alias("size"), F.explode("s").alias("t"))
-    sizes = own.groupBy("t").agg(F.count("*").alias("n"))
-    ranked = own.join(sizes, "t").groupBy("a", "c", "size").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("s"))
-    most = F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1
-    first = ranked.select("a", "c", "size", F.explode(F.slice("s", F.lit(1), most.cast("int"))).alias("x")).where("x.n > 1")
-    return _pairs(cut(first.select("a", "c", "size", F.col("x.t").alias("t"))), "t")
+    spots = crowded.select("a", "c", "first").distinct()
+    sets = spots.join(texts.select("a", "line"), "a").select("a", "c", "first", F.array_distinct(shingles(F.col("line"))).alias("s"))
+    three = spots.groupBy("first").agg(F.array_distinct(F.array(F.min("a"), F.max("a"), F.min_by("a", F.xxhash64("a")))).alias("a"))
+    three = three.select("first", F.explode("a").alias("a")).join(texts.select("a", "line"), "a")
+    three = three.groupBy("first").agg(F.collect_list(F.array_distinct(shingles(F.col("line")))).alias("s"))
+    x, y, z = (F.coalesce(F.get("s", k), F.array().cast("array<bigint>")) for k in range(3))
+    common = cut(three.select("first", F.array_union(F.array_union(F.array_intersect(x, y), F.array_intersect(x, z)), F.array_intersect(y, z)).alias("m")))
+    own = sets.join(small(common, F.size("m")), "first", "left").withColumn("m", F.coalesce("m", F.array().cast("array<bigint>")))
+    own = own.select("a", "c", "first", F.size("s").alias("size"), F.concat(F.array_except("s", "m"), F.array_except("m", "s")).alias("d"))
+    own = cut(own.select("a", "c", "first", (F.size("d") - (1 - SIMILARITY) / (1 + SIMILARITY) * F.col("size")).alias("x"), "d"))
+
+    placed = crowded.select("a", "c", "band", "first").join(own.select("a", "first", "x"), ["a", "first"])
+    centres = placed.groupBy("band").agg(F.min(F.struct("x", "a", "c")).alias("least"))
+    stars = placed.join(centres, "band").where((F.col("c") != F.col("least.c")) & (F.col("x") + F.col("least.x") <= 1e-6))
+    stars = stars.select("a", F.col("least.a").alias("b"), F.col("c").alias("ca"), F.col("least.c").alias("cb")).distinct()
+
+    # the least x that a partner, which is of another component, can have
+    least = own.groupBy("first", "c").agg(F.min("x").alias("x"))
+    best = least.groupBy("first").agg(F.min(F.struct("x", "c")).alias("best"))
+    second = least.join(best, "first").where("c != best.c").groupBy("first").agg(F.min("x").alias("second"), F.first("best").alias("best"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("x") + F.when(F.col("c") == F.col("best.c"), F.col("second")).otherwise(F.col("best.x"))) / 2 - 1e-6)).cast("int")
+    open_ = own.join(small(cut(second)), "first").select("a", "c", "first", "x", "d", (F.size("d") - need + 1).alias("most")).where("most > 0")
+    terms = open_.select("a", "c", "first", "x", "most", F.explode("d").alias("t"))
+    ranked = terms.withColumn("n", F.count("*").over(Window.partitionBy("first", "t"))).groupBy("a", "c", "first", "x", "most").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("d"))
+    ranked = ranked.select("a", "c", "first", "x", F.size("d").alias("size"), F.posexplode(F.slice("d", F.lit(1), F.col("most"))).alias("at", "e"))
+    # room: the common differences that there can be if this is the first
+    heads = cut(ranked.where("e.n > 1").select("first", F.col("e.t").alias("t"), "a", "c", "x", (F.col("size") - F.col("at")).alias("room")))
+    its = heads.select("first", "t", F.col("a").alias("b"), F.col("c").alias("cb"), F.col("x").alias("y"), F.col("room").alias("its_room"))
+    pairs = heads.withColumnRenamed("c", "ca").join(its, ["first", "t"]).where(
+        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("x") + F.col("y") > 0) & (2 * F.least("room", "its_room") >= F.col("x") + F.col("y") - 1e-6)
+    )
+    pairs = cut(pairs.select("a", "b", "ca", "cb").distinct())
+    mine, theirs = (crowded.groupBy(F.col("a").alias(k)).agg(F.collect_set("band").alias(f"bands_{k}")) for k in "ab")
+    pairs = pairs.join(mine, "a").join(theirs, "b").where(F.arrays_overlap("bands_a", "bands_b")).select("a", "b", "ca", "cb")
+    return stars.unionByName(pairs)
 
 
 def _pairs(rows: DataFrame, key: str) -> DataFrame:
@@ -133,10 +169,10 @@ def linked(signed: DataFrame, lines: DataFrame) -> DataFrame:
     stars = stars.select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b")).distinct()
     groups = cut(components(similar(stars, texts)))
     # leaders have met all others
-    rest = members.where("a != first and a != other").select("a", "size", "band").join(groups, F.col("a") == F.col("node"), "left").select("a", "size", "band", F.coalesce("component", "a").alias("c"))
+    rest = members.where("a != first and a != other").select("a", "size", "band", "first").join(groups, F.col("a") == F.col("node"), "left").select("a", "size", "band", "first", F.coalesce("component", "a").alias("c"))
     counts = rest.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
     rest = cut(rest.join(counts.select("band", "n"), "band"))
-    few, crowded = rest.where(F.col("n") <= CROWD), rest.where(F.col("n") > CROWD).select("a", "c", "size").distinct()
+    few, crowded = rest.where(F.col("n") <= CROWD), rest.where(F.col("n") > CROWD).select("a", "c", "band", "first")
     pairs = _pairs(few, "band")
     if not crowded.isEmpty():
         pairs = pairs.unionByName(crossing(cut(crowded), texts)).distinct()
