@@ -36,7 +36,7 @@ SIMILARITY = 0.8
 #: Lines with fewer characters between their white space are left alone; 1 leaves only blank lines alone.
 LEAST_CHARS = 1
 #: Open members of a bucket up to which its pairs are listed.
-CROWD = 32
+CROWD = 64
 
 #: White space that is no part of a line.
 _BLANK = " \t\r\f\v"
@@ -130,12 +130,13 @@ def crossing(crowded: DataFrame, texts: DataFrame) -> DataFrame:
     best = least.groupBy("first").agg(F.min(F.struct("x", "c")).alias("best"))
     second = least.join(best, "first").where("c != best.c").groupBy("first").agg(F.min("x").alias("second"), F.first("best").alias("best"))
     need = F.greatest(F.lit(1), F.ceil((F.col("x") + F.when(F.col("c") == F.col("best.c"), F.col("second")).otherwise(F.col("best.x"))) / 2 - 1e-6)).cast("int")
-    open_ = own.join(small(cut(second)), "first").select("a", "c", "first", "x", "d", (F.size("d") - need + 1).alias("most")).where("most > 0")
-    terms = open_.select("a", "c", "first", "x", "most", F.explode("d").alias("t"))
-    ranked = terms.withColumn("n", F.count("*").over(Window.partitionBy("first", "t"))).groupBy("a", "c", "first", "x", "most").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("d"))
+    open_ = cut(own.join(small(cut(second)), "first").select("a", "c", "first", "x", "d", (F.size("d") - need + 1).alias("most")).where("most > 0"))
+    # rows of differences are many, so that they are kept narrow
+    terms = open_.select("a", "first", F.explode("d").alias("t")).withColumn("n", F.count("*").over(Window.partitionBy("first", "t")).cast("int"))
+    ranked = terms.groupBy("a", "first").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("d")).join(open_.drop("d"), ["a", "first"])
     ranked = ranked.select("a", "c", "first", "x", F.size("d").alias("size"), F.posexplode(F.slice("d", F.lit(1), F.col("most"))).alias("at", "e"))
     # room: the common differences that there can be if this is the first
-    heads = cut(ranked.where("e.n > 1").select("first", F.col("e.t").alias("t"), "a", "c", "x", (F.col("size") - F.col("at")).alias("room")))
+    heads = ranked.where("e.n > 1").select("first", F.col("e.t").alias("t"), "a", "c", "x", (F.col("size") - F.col("at")).alias("room"))
     its = heads.select("first", "t", F.col("a").alias("b"), F.col("c").alias("cb"), F.col("x").alias("y"), F.col("room").alias("its_room"))
     pairs = heads.withColumnRenamed("c", "ca").join(its, ["first", "t"]).where(
         (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("x") + F.col("y") > 0) & (2 * F.least("room", "its_room") >= F.col("x") + F.col("y") - 1e-6)
