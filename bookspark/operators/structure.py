@@ -99,17 +99,28 @@ def map_by_mention(sentences: DataFrame, titles: DataFrame) -> DataFrame:
     """(book_id, s_id, sentence) x (book_id, title) -> pairs where the sentence has the title, and each of its words as a word.
 
     They meet by the title's rarest word in the book; titles without words are looked for in all sentences of their book.
+    Sentences and titles are dealt by book once, so that their words are counted and met where they are; what is shuffled
+    besides are pairs that share such a word, by numbers of sentences, and the sentences for them.
     """
     words = lambda c: F.array_distinct(py_words(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))))
-    in_text = sentences.select("book_id", "s_id", "sentence", F.explode(words(F.col("sentence"))).alias("w"))
-    sizes = in_text.groupBy("book_id", "w").agg(F.count("*").alias("n"))
-    asked = titles.select("book_id", "title", F.explode(words(F.col("title"))).alias("w")).join(sizes, ["book_id", "w"])
-    rare = asked.groupBy("book_id", "title").agg(F.min(F.struct("n", "w")).alias("r")).select("book_id", "title", F.col("r.w").alias("w"))
+    number = F.xxhash64("book_id", "s_id")
+    parts = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sentences.select("book_id", number.alias("h"), F.lit(None).cast("string").alias("title"), F.col("sentence").alias("text"))
+    rows = rows.unionAll(titles.where("title is not null").select("book_id", F.lit(None).cast("long").alias("h"), "title", F.col("title").alias("text")))
+    rows = rows.where("book_id is not null and text is not null").repartition(parts, "book_id").withColumn("ws", words(F.col("text")))
+    # the empty word is every sentence's, and that of a title without words
+    ws = F.when(F.col("title").isNull() | (F.size("ws") == 0), F.concat("ws", F.array(F.lit("")))).otherwise(F.col("ws"))
+    rows = rows.select("book_id", "h", "title", F.explode(F.transform(ws, lambda w: F.xxhash64(w))).alias("w"))
+    rows = rows.withColumn("n", F.count("h").over(Window.partitionBy("book_id", "w")))
+    # each title's rarest word, and all words of sentences
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("book_id", "title").orderBy("n", "w"))).where("title is null or k = 1")
+    lists = rows.groupBy("book_id", "w").agg(F.collect_list("h").alias("hs"), F.collect_set("title").alias("ts")).where("size(hs) > 0 and size(ts) > 0")
+    met = lists.select("book_id", "hs", F.explode("ts").alias("title")).select(F.struct(F.col("book_id").alias("b"), "title").alias("t"), F.explode("hs").alias("h"))
+    # two sentences of one number: each is held against the titles of both
+    met = met.groupBy("h").agg(F.collect_set("t").alias("ts"))
     has = F.lower("sentence").contains(F.lower("title"))
-    found = in_text.join(rare, ["book_id", "w"]).where(has).where(F.size(F.array_except(words(F.col("title")), words(F.col("sentence")))) == 0)
-    bare = sentences.join(titles.where(F.size(words(F.col("title"))) == 0).select("book_id", "title").distinct(), "book_id").where(has)
-    columns = ["book_id", "s_id", "title", "sentence"]
-    return found.select(columns).unionByName(bare.select(columns))
+    found = sentences.withColumn("h", number).join(met, "h").select("book_id", "s_id", "sentence", F.inline("ts")).where("b = book_id").where(has)
+    return found.where(F.size(F.array_except(words(F.col("title")), words(F.col("sentence")))) == 0).select("book_id", "s_id", "title", "sentence")
 
 
 def topic_rows(content: DataFrame) -> DataFrame:
