@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bookspark.functions import joined, py_strip
 from bookspark.plans.scan import scan
@@ -42,21 +43,24 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 
 
-def mentions_of(texts: DataFrame, titles: DataFrame) -> DataFrame:
-    """texts(book_id, id, words) and titles(book_id, title, words) -> (book_id, id, start, size, title) wherever a title's words follow each other in a text of its book.
+def met_by_rarest_word(texts: DataFrame, titles: DataFrame) -> DataFrame:
+    """texts(book_id, id, text) and titles(book_id, title, text) -> (book_id, id, start, title) where a text of the book has the title's rarest word, so that the title may start there.
 
-    A title meets the texts on its word that the book's texts have least often,
-    at the word's place; so neither texts nor titles are compared in pairs.
+    Both are dealt by book once; words go by hash from there, and are counted and met
+    where they are. Neither texts nor titles are compared in pairs, and no word of a text is shuffled.
     """
-    placed = texts.select("book_id", "id", F.posexplode("words").alias("at", "w"))
-    counts = placed.groupBy("book_id", "w").agg(F.count("*").alias("n"))
-    own = titles.select("book_id", "title", F.col("words").alias("tw"), F.posexplode("words").alias("offset", "w")).join(counts, ["book_id", "w"], "left")
-    # a title with a word that no text has is nowhere
-    rare = own.groupBy("book_id", "title", "tw").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "w")).alias("r")).where("r.n > 0")
-    rare = rare.select("book_id", "title", "tw", F.col("r.offset").alias("offset"), F.col("r.w").alias("w"))
-    met = placed.join(rare, ["book_id", "w"]).where("at >= offset").select("book_id", "id", (F.col("at") - F.col("offset")).alias("start"), "title", "tw")
-    with_words = met.join(texts.select("book_id", "id", "words"), ["book_id", "id"])
-    return with_words.where(F.slice("words", F.col("start") + 1, F.size("tw")) == F.col("tw")).select("book_id", "id", "start", F.size("tw").alias("size"), "title")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = lambda rows, c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+    rows = texts.select("book_id", "id", none(titles, "title"), "text").unionAll(titles.select("book_id", none(texts, "id"), "title", "text"))
+    rows = rows.where("book_id is not null and text is not null").repartition(parts, "book_id")
+    rows = rows.select("book_id", "id", "title", F.posexplode(F.transform(_words(F.lower("text")), lambda w: F.xxhash64(w))).alias("at", "w"))
+    word = Window.partitionBy("book_id", "w")
+    rows = rows.withColumn("n", F.count("id").over(word))
+    # each title's rarest word, and all words of texts
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("book_id", "title").orderBy("n", "at"))).where("title is null or k = 1")
+    own = F.when(F.col("title").isNotNull(), F.struct("title", F.col("at").alias("offset")))
+    rows = rows.select("book_id", "id", "at", own.alias("own"), F.collect_list(own).over(word).alias("ts")).where("own is null and size(ts) > 0")
+    return rows.select("book_id", "id", "at", F.inline("ts")).where("at >= offset").select("book_id", "id", (F.col("at") - F.col("offset")).alias("start"), "title")
 
 
 def leftmost_longest(found: Column) -> Column:
@@ -74,12 +78,19 @@ def refer_to_explained(notes: DataFrame) -> DataFrame:
     word by word, in any case, from the left, the longest first, without overlap.
     """
     firsts = notes.where(py_strip(F.col("note")) != "").groupBy("book_id", _words(F.lower("title")).alias("words")).agg(F.min("ord").alias("first"), F.min_by("title", "ord").alias("name")).where("size(words) > 0")
-    bullets = notes.select("book_id", "node", "ord", F.posexplode_outer(F.split("note", "\n")).alias("pos", "bullet")).withColumn("id", F.struct("node", "pos"))
-    texts = bullets.select("book_id", "id", _words(F.lower("bullet")).alias("words"))
-    met = mentions_of(texts, firsts.select("book_id", F.struct("first", "name").alias("title"), "words"))
-    earlier = met.join(bullets.select("book_id", "id", "ord"), ["book_id", "id"]).where("title.first < ord")
-    kept = earlier.groupBy("book_id", "id").agg(leftmost_longest(F.collect_set(F.struct("start", "size", F.col("title.name").alias("name")))).alias("m"))
-    rows = bullets.join(kept, ["book_id", "id"], "left")
+    bullets = notes.select("book_id", "node", "ord", F.posexplode_outer(F.split("note", "\n")).alias("pos", "bullet"))
+    texts = bullets.select("book_id", F.struct("node", "pos", "ord").alias("id"), F.col("bullet").alias("text"))
+    met = met_by_rarest_word(texts, firsts.select("book_id", F.struct("first", "name").alias("title"), F.col("name").alias("text"))).where("title.first < id.ord")
+    met = met.select("book_id", "id.node", "id.pos", F.lit(None).cast("string").alias("bullet"), F.struct("start", F.col("title.name").alias("name")).alias("x"))
+    # bullets and what may stand in them come together by node, in which the lines are joined
+    parts = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bullets.select("book_id", "node", "pos", "bullet", F.lit(None).cast(met.schema["x"].dataType).alias("x")).unionAll(met).repartition(parts, "book_id", "node")
+    rows = rows.groupBy("book_id", "node", "pos").agg(F.collect_list("bullet").alias("bs"), F.collect_set("x").alias("xs")).select("book_id", "node", "pos", F.explode_outer("bs").alias("bullet"), "xs")
+    sized = F.transform("xs", lambda x: F.struct(x["start"].alias("start"), F.size(_words(F.lower(x["name"]))).alias("size"), x["name"].alias("name")))
+    # an array of one, so that a bullet is cut once and not for each title
+    stands = lambda low: F.filter(sized, lambda x: F.slice(low, x["start"] + 1, x["size"]) == _words(F.lower(x["name"])))
+    found = F.get(F.transform(F.array(_words(F.lower("bullet"))), stands), F.lit(0))
+    rows = rows.withColumn("found", F.when(F.size("xs") > 0, found)).withColumn("m", F.when(F.size("found") > 0, leftmost_longest(F.col("found"))))
     after = F.map_from_entries(F.transform("m", lambda x: F.struct(x["start"] + x["size"] - 1, F.concat(F.lit(" (see ["), x["name"], F.lit("] for details)")))))
     first = F.get("m", F.lit(0))
 

@@ -89,3 +89,22 @@ def test_a_long_bullet_is_cut_once(spark):
     got = {r["node"]: r["note"] for r in notes.refer_to_explained(spark.createDataFrame(rows, NOTES)).collect()}
     assert got == {0: "- A wrong.", 1: "- " + "word " * words + "tort (see [Tort] for details)"}
     assert time.time() - began < 40
+
+
+def test_words_of_texts_are_not_shuffled(spark):
+    rows = [("b", k, k, f"t{k} x", "- " + " ".join(f"w{k}x{i}" for i in range(200)) + f" t{k - 1} x") for k in range(12)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = notes.refer_to_explained(spark.createDataFrame(rows, NOTES))._jdf.queryExecution().executedPlan()
+        assert plan.execute().count() == len(rows)
+        sent, left = [], [plan]
+        while left:
+            p = left.pop()
+            left += [p.children().apply(k) for k in range(p.children().size())]
+            if p.nodeName() == "Exchange":
+                sent.append(p.metrics().apply("shuffleRecordsWritten").value())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sent and max(sent) <= 4 * len(rows)
